@@ -1,0 +1,7 @@
+"""Streaming: intentionally empty.
+
+The analytics this package rebuilds are batch reports over order history; the
+source system has no streams, watermarks or stateful operators, so no
+streaming operator is defined. Every plan is a plain DataFrame function, so a
+caller can still apply the stateless ones inside ``foreachBatch``.
+"""

@@ -109,3 +109,213 @@ def _join_range_overlap(T):
     dr = named.date_ranges(spark, RANGES)
     return range_overlap_join(T["promotion"], dr, "from_date", "to_date",
                               "start_date", "end_date").select("rule_id", "label")
+
+
+# ---------------------------------------------------------------- step 2
+from . import facts, products, sales  # noqa: E402
+from ..functions.predicates import exclude_channels  # noqa: E402
+from ..operators.joins import semi_join, token_membership_join  # noqa: E402
+from ..functions.rules import exact_rule_tokens  # noqa: E402
+
+
+def fact(T):
+    return facts.item_sales_fact(T, CATEGORIES, SALT)
+
+
+def sales_lines(T):
+    """The filtered sales lines used by the analytics pages (years, categories)."""
+    return facts.apply_filters(fact(T), categories=CATEGORIES, years=YEARS)
+
+
+@query("item_sales_fact")
+def _item_sales_fact(T):
+    return fact(T)
+
+
+@query("item_sales_basic")
+def _item_sales_basic(T):
+    return facts.item_sales_fact(T, CATEGORIES, SALT, detail="basic")
+
+
+@query("exclude_channels")
+def _exclude_channels(T):
+    return T["sales_order"].filter(exclude_channels("increment_id")).select("entity_id", "increment_id")
+
+
+@query("filter_years")
+def _filter_years(T):
+    return facts.filter_years(fact(T), YEARS)
+
+
+@query("filter_categories")
+def _filter_categories(T):
+    return facts.filter_categories(fact(T), [CATEGORIES[0]])
+
+
+@query("filter_discount_free")
+def _filter_discount_free(T):
+    return facts.filter_discount_free(fact(T))
+
+
+@query("filter_customer_type")
+def _filter_customer_type(T):
+    return facts.filter_customer_type(facts.filter_years(fact(T), YEARS), ["Guest"])
+
+
+@query("filter_customer_status")
+def _filter_customer_status(T):
+    return facts.filter_customer_status(facts.filter_years(fact(T), YEARS), ["New"])
+
+
+@query("apply_filters")
+def _apply_filters(T):
+    return facts.apply_filters(fact(T), categories=CATEGORIES, years=YEARS,
+                               customer_types=["Registered"], customer_status=["Returning"])
+
+
+@query("normalise_lines")
+def _normalise_lines(T):
+    return facts.normalise_lines(fact(T))
+
+
+@query("require_columns")
+def _require_columns(T):
+    return facts.require_columns(fact(T), ["sku", "order_id", "applied_rule_ids"])
+
+
+@query("join_isin_set")
+def _join_isin_set(T):
+    """Lines of the 50 top-revenue SKUs (a bounded set, broadcast)."""
+    s = sales_lines(T)
+    top = products.select_products(s, 50, "top")
+    return semi_join(s, top.select("sku"), "sku", small=True)
+
+
+# ---------------------------------------------------------------- step 3
+@query("category_seasonality")
+def _category_seasonality(T):
+    return named.category_seasonality(T, 80)
+
+
+@query("product_counts_year")
+def _product_counts_year(T):
+    return named.product_counts_year(T, YEARS[0], CATEGORIES)
+
+
+@query("product_counts_cross_year")
+def _product_counts_cross_year(T):
+    return named.product_counts_cross_year(T, YEARS, CATEGORIES)
+
+
+@query("join_semi_exists")
+def _join_semi_exists(T):
+    """Category products that exist by the first test year (EXISTS as semi join)."""
+    return named._products_existing(T, CATEGORIES, YEARS[0], named.CATEGORY_ATTR)
+
+
+@query("agg_conditional_distinct")
+def _agg_conditional_distinct(T):
+    return named.product_counts_year(T, YEARS[1], CATEGORIES)
+
+
+@query("agg_multi_level")
+def _agg_multi_level(T):
+    return named.product_counts_cross_year(T, [YEARS[0] - 1, *YEARS], CATEGORIES)
+
+
+@query("promotion_impact")
+def _promotion_impact(T):
+    return named.promotion_impact(T, AS_OF)
+
+
+@query("promotion_impact_parsed")
+def _promotion_impact_parsed(T):
+    return named.promotion_impact(T, AS_OF, match="parsed", per_order=True)
+
+
+@query("join_token_membership")
+def _join_token_membership(T):
+    """(line, rule) pairs whose rule text holds the rule id as a token."""
+    lines = T["sales_item"].select("item_id", "order_id", "applied_rule_ids")
+    return token_membership_join(lines, T["promotion"].select("rule_id"),
+                                 exact_rule_tokens("applied_rule_ids"), "rule_id").select(
+        "item_id", "order_id", "rule_id")
+
+
+@query("kpi_revenue_quantity")
+def _kpi_revenue_quantity(T):
+    return sales.kpi_revenue_quantity(sales_lines(T))
+
+
+@query("kpi_products")
+def _kpi_products(T):
+    counts = facts.filter_categories(named.product_counts_cross_year(T, YEARS, CATEGORIES), CATEGORIES)
+    return products.kpi_products(counts, sales_lines(T))
+
+
+@query("monthly_units_sales")
+def _monthly_units_sales(T):
+    return sales.monthly_units_sales(sales_lines(T))
+
+
+@query("growth_rate_month")
+def _growth_rate_month(T):
+    return sales.growth_rate(sales_lines(T), "month")
+
+
+@query("growth_rate_quarter")
+def _growth_rate_quarter(T):
+    return sales.growth_rate(sales_lines(T), "quarter")
+
+
+# ---------------------------------------------------------------- step 5
+@query("select_products_top")
+def _select_products_top(T):
+    return products.select_products(sales_lines(T), 150, "top")
+
+
+@query("select_products_bottom")
+def _select_products_bottom(T):
+    return products.select_products(sales_lines(T), 150, "bottom")
+
+
+@query("select_products_random")
+def _select_products_random(T):
+    return products.select_products(sales_lines(T), 150, "random", seed=SEED)
+
+
+@query("select_products_gross")
+def _select_products_gross(T):
+    return products.select_products(sales_lines(T), 300, "top", measure="gross")
+
+
+@query("gap_days")
+def _gap_days(T):
+    return products.gap_days(sales_lines(T))
+
+
+@query("rotation_metrics")
+def _rotation_metrics(T):
+    """Rotation over every SKU of the filtered lines."""
+    return products.rotation_metrics(sales_lines(T))
+
+
+@query("rotation_variance")
+def _rotation_variance(T):
+    m = products.rotation_metrics(sales_lines(T))
+    return products.rotation_variance(m, "quantity").select("sku", "coefficient_of_variation", "std_deviation")
+
+
+def _rotation_selected(T, n):
+    s = sales_lines(T)
+    return products.rotation_metrics(s, products.select_products(s, n, "top"))
+
+
+@query("rotation_distribution")
+def _rotation_distribution(T):
+    return products.rotation_distribution(_rotation_selected(T, 300))
+
+
+@query("rotation_bubble")
+def _rotation_bubble(T):
+    return products.rotation_bubble(_rotation_selected(T, 150), "days")

@@ -26,12 +26,14 @@ def five_number_summary(long: DataFrame, group: str, value: str, min_count: int
     summary = (vals.groupBy(group)
                    .agg(F.count("_v").alias("n"), F.round(F.avg("_v"), 6).alias("mean"), qs.alias("_q"))
                    .filter(F.col("n") >= min_count))
+    # Quantiles interpolate between inputs (fractions .25/.75), so they are
+    # kept to 9 decimals: rounding them coarser would hit exact ties.
     s = summary.select(
         group, "n", "mean",
-        *[F.round(F.col("_q")[i], 6).alias(name)
+        *[F.round(F.col("_q")[i], 9).alias(name)
           for i, name in enumerate(["min", "q1", "median", "q3", "max"])])
-    s = s.withColumn("lower_fence", F.round(F.col("q1") - 1.5 * (F.col("q3") - F.col("q1")), 6)) \
-         .withColumn("upper_fence", F.round(F.col("q3") + 1.5 * (F.col("q3") - F.col("q1")), 6))
+    s = s.withColumn("lower_fence", F.round(F.col("q1") - 1.5 * (F.col("q3") - F.col("q1")), 9)) \
+         .withColumn("upper_fence", F.round(F.col("q3") + 1.5 * (F.col("q3") - F.col("q1")), 9))
     # Outliers: one pass over the values joined to their group's fences (the
     # summary has one row per group).
     outl = (vals.join(s.select(group, "lower_fence", "upper_fence"), group)
@@ -50,5 +52,5 @@ def relative_size(df: DataFrame, col: str, out: str) -> DataFrame:
 def quantile_cap(df: DataFrame, col: str, q: float = 0.95, ceiling: float = 10.0,
                  out: str | None = None) -> DataFrame:
     """``least(col, min(ceiling, quantile_q(col)))`` — an outlier-robust cap."""
-    cap = df.agg(F.least(F.lit(float(ceiling)), F.percentile(col, F.lit(q)))).scalar()
+    cap = df.agg(F.round(F.least(F.lit(float(ceiling)), F.percentile(col, F.lit(q))), 9)).scalar()
     return df.withColumn(out or f"{col}_display", F.least(F.col(col).cast("double"), cap))

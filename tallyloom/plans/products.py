@@ -39,21 +39,23 @@ def kpi_products(counts: DataFrame, sales: DataFrame) -> DataFrame:
         F.when(empty, F.lit(0)).otherwise(t - s).cast("bigint").alias("products_not_sold"))
 
 
-def product_revenue(sales: DataFrame, measure: str = "net") -> DataFrame:
-    """Per SKU revenue: 'net' = sum of sales_amount (any sign); 'gross' = sum
-    of incl-tax totals, only SKUs with a positive sum."""
+def product_revenue(sales: DataFrame, measure: str = "net", key: str = "sku") -> DataFrame:
+    """Per item revenue: 'net' = sum of sales_amount (any sign); 'gross' =
+    sum of incl-tax totals, only items with a positive sum."""
+    items = sales.filter(F.col(key).isNotNull())
     if measure == "net":
-        return sales.groupBy("sku").agg(money_sum("sales_amount").alias("total_revenue"))
+        return items.groupBy(key).agg(money_sum("sales_amount").alias("total_revenue"))
     if measure == "gross":
-        return (sales.groupBy("sku").agg(money_sum("base_row_total_incl_tax").alias("total_revenue"))
+        return (items.groupBy(key).agg(money_sum("base_row_total_incl_tax").alias("total_revenue"))
                      .filter(F.col("total_revenue") > 0))
     raise ValueError(f"unknown measure {measure!r}")
 
 
 def select_products(sales: DataFrame, n: int, how: str = "top", measure: str = "net",
-                    seed: int = 42) -> DataFrame:
-    """At most n SKUs by revenue: top, bottom or random (deterministic)."""
-    return pick_n(product_revenue(sales, measure), "sku", "total_revenue", n, how, seed)
+                    seed: int = 42, key: str = "sku") -> DataFrame:
+    """At most n items (SKUs by default) by revenue: top, bottom or random
+    (deterministic for a seed)."""
+    return pick_n(product_revenue(sales, measure, key), key, "total_revenue", n, how, seed)
 
 
 def sku_days(sales: DataFrame) -> DataFrame:

@@ -30,7 +30,7 @@ PERIOD_START, PERIOD_END = "1999-01-01", "2000-12-31"
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, QueryFn] = {}
-FLAGSHIP = "monthly_sales_trend"
+FLAGSHIP = "promotion_metrics"
 
 
 def query(name: str):
@@ -319,3 +319,201 @@ def _rotation_distribution(T):
 @query("rotation_bubble")
 def _rotation_bubble(T):
     return products.rotation_bubble(_rotation_selected(T, 150), "days")
+
+
+# ---------------------------------------------------------------- step 4
+from . import basket, promotions, sensitivity  # noqa: E402
+from ..functions.rules import discount_bucket, parse_rule_ids  # noqa: E402
+from ..operators.stats import relative_size  # noqa: E402
+
+N_PROMOTIONS = 20   # promotions per chart (the source's slider picks 50-250)
+N_BASKET = 15       # items per basket (source default)
+N_SENSITIVITY = 300  # products per sensitivity chart (source default)
+
+
+def metrics(T):
+    return promotions.promotion_metrics(sales_lines(T), T["promotion"])
+
+
+@query("parse_rule_ids")
+def _parse_rule_ids(T):
+    ids = parse_rule_ids("applied_rule_ids")
+    return T["sales_item"].select(
+        "applied_rule_ids",
+        F.array_join(F.transform(ids, lambda x: x.cast("string")), ",").alias("rule_ids"),
+        F.size(ids).alias("n_rules"))
+
+
+@query("promotion_metrics")
+def _promotion_metrics(T):
+    return metrics(T)
+
+
+@query("promotion_revenue")
+def _promotion_revenue(T):
+    return promotions.promotion_revenue(sales_lines(T), T["promotion"])
+
+
+@query("promotion_avg_original_price")
+def _promotion_avg_original_price(T):
+    s = sales_lines(T).withColumn("base_original_price", F.col("base_price"))
+    return promotions.promotion_avg_original_price(s, metrics(T))
+
+
+@query("select_promotions_top")
+def _select_promotions_top(T):
+    return promotions.select_promotions(metrics(T), N_PROMOTIONS, "top")
+
+
+@query("select_promotions_lowest")
+def _select_promotions_lowest(T):
+    return promotions.select_promotions(metrics(T), N_PROMOTIONS, "lowest")
+
+
+@query("select_promotions_random")
+def _select_promotions_random(T):
+    return promotions.select_promotions(metrics(T), N_PROMOTIONS, "random", SEED)
+
+
+@query("promotion_bubble")
+def _promotion_bubble(T):
+    return promotions.promotion_bubble(promotions.select_promotions(metrics(T), N_PROMOTIONS, "top"),
+                                       "discount_amount", "units_sold_per_day")
+
+
+@query("floor_positive")
+def _floor_positive(T):
+    return sales_lines(T).filter(F.col("sales_amount") > 0)
+
+
+@query("join_merge_left")
+def _join_merge_left(T):
+    att = promotions.attribution(sales_lines(T), T["promotion"])
+    return att.select("rule_id", F.round("revenue_dec", 4).cast("double").alias("revenue"),
+                      "order_count").join(T["promotion"].select("rule_id", "name", "discount_amount"),
+                                          "rule_id", "left")
+
+
+@query("relative_size")
+def _relative_size(T):
+    return relative_size(metrics(T), "revenue", "revenue_rel").select(
+        "rule_id", F.round("revenue_rel", 6).alias("revenue_rel"))
+
+
+@query("kpi_promotions")
+def _kpi_promotions(T):
+    stats = named.promotion_duration_stats(T, RANGES)
+    details = named.promotion_details(T, PERIOD_START, PERIOD_END)
+    return promotions.kpi_promotions(stats, details, RANGES[0][0], RANGES[0][1], RANGES[0][2])
+
+
+@query("kpi_promotions_combined")
+def _kpi_promotions_combined(T):
+    stats = named.promotion_duration_stats(T, RANGES)
+    details = named.promotion_details(T, PERIOD_START, PERIOD_END)
+    return promotions.kpi_promotions(stats, details, RANGES[2][0])
+
+
+# ---------------------------------------------------------------- step 6
+def basket_items(T, key="sku"):
+    s = sales_lines(T)
+    return s, products.select_products(s, N_BASKET, "top", key=key)
+
+
+@query("basket_item_support")
+def _basket_item_support(T):
+    return basket.basket_item_support(sales_lines(T))
+
+
+@query("basket_pairs")
+def _basket_pairs(T):
+    s, chosen = basket_items(T)
+    return basket.basket_pairs(s, chosen)
+
+
+@query("basket_pairs_brand")
+def _basket_pairs_brand(T):
+    s, chosen = basket_items(T, "brand_id")
+    return basket.basket_pairs(s, chosen, item="brand_id")
+
+
+@query("basket_pairs_salted")
+def _basket_pairs_salted(T):
+    s, chosen = basket_items(T, "brand_id")
+    return basket.basket_pairs(s, chosen, item="brand_id", salt_buckets=4)
+
+
+@query("join_self_pairs")
+def _join_self_pairs(T):
+    s, chosen = basket_items(T)
+    return basket.pair_counts(s, chosen)
+
+
+@query("top_partners")
+def _top_partners(T):
+    s, chosen = basket_items(T, "brand_id")
+    return basket.top_partners(basket.pair_counts(s, chosen, "brand_id"))
+
+
+@query("basket_lift_display")
+def _basket_lift_display(T):
+    s, chosen = basket_items(T, "brand_id")
+    return basket.basket_lift_display(basket.basket_pairs(s, chosen, item="brand_id"))
+
+
+@query("quantile_cap")
+def _quantile_cap(T):
+    s, chosen = basket_items(T, "brand_id")
+    pairs = basket.basket_pairs(s, chosen, item="brand_id")
+    return pairs.agg(F.round(F.least(F.lit(10.0), F.percentile("lift", F.lit(0.95))), 9).alias("lift_cap"))
+
+
+# ---------------------------------------------------------------- step 7
+def sensitivity_products(s):
+    return products.select_products(s, N_SENSITIVITY, "top", measure="gross")
+
+
+@query("max_rule_discount")
+def _max_rule_discount(T):
+    return sensitivity.max_rule_discount(sales_lines(T), T["promotion"]).select(
+        "sku", "order_id", "item_id", "applied_rule_ids", "max_discount", "has_rules")
+
+
+@query("discount_bucket")
+def _discount_bucket(T):
+    return sensitivity.max_rule_discount(sales_lines(T), T["promotion"]).select(
+        "sku", "order_id", "item_id", "max_discount", discount_bucket("max_discount").alias("discount_bucket"))
+
+
+@query("join_map_lookup")
+def _join_map_lookup(T):
+    texts = T["sales_item"].select("applied_rule_ids").distinct()
+    tok = texts.select("applied_rule_ids", F.explode(parse_rule_ids("applied_rule_ids")).alias("rule_id"))
+    from ..operators.joins import lookup_join
+    return lookup_join(tok, sensitivity.rule_discount_lookup(T["promotion"]), "rule_id", {"discount": 0.0})
+
+
+def _sensitivity(T):
+    s = sales_lines(T)
+    return sensitivity.discount_sensitivity(s, T["promotion"], sensitivity_products(s))
+
+
+@query("discount_sensitivity")
+def _discount_sensitivity(T):
+    return _sensitivity(T)
+
+
+@query("fill_missing_buckets")
+def _fill_missing_buckets(T):
+    return _sensitivity(T).filter(F.col("promo_days") == 0)
+
+
+@query("promo_only_products")
+def _promo_only_products(T):
+    s = sales_lines(T)
+    return sensitivity.promo_only_products(s, T["promotion"], sensitivity_products(s))
+
+
+@query("sensitivity_distribution")
+def _sensitivity_distribution(T):
+    return sensitivity.sensitivity_distribution(_sensitivity(T))

@@ -517,3 +517,30 @@ def _promo_only_products(T):
 @query("sensitivity_distribution")
 def _sensitivity_distribution(T):
     return sensitivity.sensitivity_distribution(_sensitivity(T))
+
+
+# ---------------------------------------------------------------- step 8
+from . import decompose  # noqa: E402
+
+
+@query("seasonal_decompose")
+def _seasonal_decompose(T):
+    """Multiplicative (the pages' default model), one series."""
+    return decompose.seasonal_decompose(sales_lines(T), "multiplicative")
+
+
+@query("seasonal_decompose_additive")
+def _seasonal_decompose_additive(T):
+    return decompose.seasonal_decompose(sales_lines(T), "additive")
+
+
+@query("seasonal_decompose_by_category")
+def _seasonal_decompose_by_category(T):
+    """Additive, one series per category, over every year of the fact."""
+    return decompose.seasonal_decompose(facts.add_sales_amount(fact(T)), "additive",
+                                        series_cols=["category_num"])
+
+
+@query("moving_trend")
+def _moving_trend(T):
+    return decompose.moving_trend(sales_lines(T))

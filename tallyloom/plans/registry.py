@@ -544,3 +544,77 @@ def _seasonal_decompose_by_category(T):
 @query("moving_trend")
 def _moving_trend(T):
     return decompose.moving_trend(sales_lines(T))
+
+
+# ---------------------------------------------------------------- step 9
+import datetime as _dt  # noqa: E402
+import uuid as _uuid  # noqa: E402
+
+from ..session import ensure_checkpoint_dir  # noqa: E402
+from ..sources import exports, results  # noqa: E402
+
+EXPORT_TIME = _dt.datetime(2001, 12, 31, 12, 0, 0)
+
+
+def _scratch(spark, kind: str) -> str:
+    """A fresh folder under the shared checkpoint folder."""
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/tallyloom-{kind}/{_uuid.uuid4().hex}"
+
+
+@query("result_table")
+def _result_table(T):
+    spark = T["sales_order"].sparkSession
+    root = _scratch(spark, "results")
+    build = lambda: named.monthly_sales_trend(T)
+    results.result_table(spark, root, "monthly_sales_trend", {"state": "complete"}, build)
+    # second call is served from the stored table
+    return results.result_table(spark, root, "monthly_sales_trend", {"state": "complete"}, build)
+
+
+@query("result_invalidate")
+def _result_invalidate(T):
+    spark = T["sales_order"].sparkSession
+    root = _scratch(spark, "results")
+    build = lambda: named.sales_by_day_hour(T)
+    results.result_table(spark, root, "sales_by_day_hour", None, build)
+    results.result_invalidate(spark, root, "sales_by_day_hour")
+    return results.result_table(spark, root, "sales_by_day_hour", None, build)
+
+
+@query("export_csv")
+def _export_csv(T):
+    spark = T["sales_order"].sparkSession
+    df = sales.monthly_units_sales(sales_lines(T))
+    path = exports.export_csv(df, _scratch(spark, "exports"), "monthly units", EXPORT_TIME)
+    return spark.read.schema(df.schema).option("header", True).csv(path)
+
+
+@query("export_json")
+def _export_json(T):
+    spark = T["sales_order"].sparkSession
+    df = named.promotion_details(T, PERIOD_START, PERIOD_END)
+    path = exports.export_json(df, _scratch(spark, "exports"), "promotion details", EXPORT_TIME)
+    return spark.read.schema(df.schema).json(path)
+
+
+@query("export_with_metadata")
+def _export_with_metadata(T):
+    spark = T["sales_order"].sparkSession
+    df = named.monthly_sales_trend(T)
+    path = exports.export_with_metadata(df, _scratch(spark, "exports"), "SELECT month, orders\nFROM sales",
+                                        None, None, EXPORT_TIME)
+    return spark.read.option("header", True).csv(path)
+
+
+@query("export_naming")
+def _export_naming(T):
+    return T["promotion"].select("rule_id", exports.export_name_col("name", EXPORT_TIME.strftime("%Y%m%d_%H%M%S"))
+                                 .alias("export_name"))
+
+
+@query("export_empty")
+def _export_empty(T):
+    spark = T["sales_order"].sparkSession
+    empty = named.promotion_details(T, "1900-01-01", "1900-12-31")
+    assert exports.export_csv(empty, _scratch(spark, "exports"), "nothing") is None
+    return empty

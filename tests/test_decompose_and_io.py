@@ -124,7 +124,7 @@ def test_export_with_metadata_block_first(spark, tmpdir_path):
     with open(os.path.join(p, parts[0])) as fh:
         lines = fh.read().splitlines()
     assert lines[0].startswith("Metadata,Value")
-    assert lines[1].startswith("Query,SELECT id,  s FROM t")
+    assert lines[1].startswith('Query,"SELECT id,  s FROM t"')
     assert lines[4].startswith("Row Count,20")
     total = spark.read.option("header", True).csv(p).count()
     assert total == 20 + 5

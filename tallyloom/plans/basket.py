@@ -14,6 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.materialize import materialize
 from ..operators.stats import quantile_cap
 from ..operators.topk import top_k_per_group
 
@@ -41,7 +42,10 @@ def pair_counts(sales: DataFrame, products: DataFrame, item: str = "sku",
     data where single orders are huge; by default AQE's skew-join split
     handles oversized order partitions.
     """
-    oi = order_items(sales, item)
+    return _pairs_from(order_items(sales, item), products, item, salt_buckets)
+
+
+def _pairs_from(oi: DataFrame, products: DataFrame, item: str, salt_buckets: int) -> DataFrame:
     chosen = oi.join(F.broadcast(products.select(F.col(item).alias("item"))), "item", "left_semi") \
                .withColumnRenamed("item", "a")
     partners = oi.withColumnRenamed("item", "b")
@@ -62,12 +66,18 @@ def top_partners(pairs: DataFrame, k: int = 5, buckets: int = 16) -> DataFrame:
 
 
 def basket_pairs(sales: DataFrame, products: DataFrame, item: str = "sku", partners: int = 5,
-                 salt_buckets: int = 1) -> DataFrame:
-    """Rules for the chosen items, sorted by lift (highest first)."""
-    n_orders = sales.select(F.count_distinct("order_id")).scalar().cast("double")
-    oi = order_items(sales, item)
+                 salt_buckets: int = 1, reuse: bool = True) -> DataFrame:
+    """Rules for the chosen items, sorted by lift (highest first).
+
+    The distinct (order, item) table feeds the order count, the item counts
+    and both sides of the pair join; with ``reuse`` it is checkpointed once
+    (shared checkpoint folder) instead of being rebuilt from the lines for
+    each of them."""
+    oi_all = materialize(sales.select("order_id", F.col(item).alias("item")).distinct(), reuse)
+    n_orders = oi_all.select(F.count_distinct("order_id")).scalar().cast("double")
+    oi = oi_all.filter(F.col("item").isNotNull())
     counts = oi.groupBy("item").agg(F.count("*").alias("cnt"))
-    top = top_partners(pair_counts(sales, products, item, salt_buckets), partners)
+    top = top_partners(_pairs_from(oi, products, item, salt_buckets), partners)
     ca = counts.select(F.col("item").alias("a"), F.col("cnt").alias("ca"))
     cb = counts.select(F.col("item").alias("b"), F.col("cnt").alias("cb"))
     t = top.join(ca, "a").join(cb, "b")

@@ -14,7 +14,8 @@ from collections.abc import Iterable, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.dates import in_years
+from ..functions.dates import in_years, year_ranges
+from ..operators.materialize import materialize
 from ..functions.predicates import (CHANNEL_PREFIXES, REGISTERED_GROUPS, exclude_channels,
                                     is_guest, is_registered)
 from .named import BRAND_ATTR, CATEGORY_ATTR
@@ -29,10 +30,15 @@ def item_sales_fact(T: dict[str, DataFrame], category_ids: Iterable[int], salt:
                     detail: str = "full", category_attr: int = CATEGORY_ATTR,
                     brand_attr: int = BRAND_ATTR,
                     channel_prefixes: Iterable[str] = CHANNEL_PREFIXES,
-                    label_store: int = 0) -> DataFrame:
+                    label_store: int = 0, years: Iterable[int] | None = None) -> DataFrame:
     """Order lines of ``category_ids`` with customer flags, salted e-mail
     hash (NULL e-mail gives NULL) and brand; marketplace orders removed.
 
+    ``years`` optionally keeps only orders placed in those years, written as
+    ranges on the stored order timestamp so the predicate reaches the order
+    table's scan (row-group / partition pruning); the page filter
+    ``filter_years`` on ``order_date`` then selects the same rows.
+
     ``detail='basic'``: the shorter projection without customer and brand
     columns, dated by the line's own timestamp when the line table has one
     (else by its order's).
@@ -59,6 +65,8 @@ def item_sales_fact(T: dict[str, DataFrame], category_ids: Iterable[int], salt:
     lines = items.select(*item_cols).join(dims, "product_id")
 
     orders = T["sales_order"].filter(exclude_channels("increment_id", channel_prefixes))
+    if years:
+        orders = orders.filter(created_in_years("created_at", years))
     if detail == "full":
         orders = orders.select(F.col("entity_id").alias("order_id"), "created_at",
                                "customer_is_guest", "customer_group_id", "customer_email")
@@ -80,6 +88,16 @@ def item_sales_fact(T: dict[str, DataFrame], category_ids: Iterable[int], salt:
                        "base_row_total_incl_tax", "applied_rule_ids")
 
 
+def created_in_years(col: str, years: Iterable[int]):
+    """Timestamp ranges [Jan 1, Jan 1 next) for the years, pushable to scans."""
+    pred = None
+    for lo, hi in year_ranges(years):
+        p = ((F.col(col) >= F.lit(f"{lo} 00:00:00").cast("timestamp_ntz"))
+             & (F.col(col) < F.lit(f"{hi} 00:00:00").cast("timestamp_ntz")))
+        pred = p if pred is None else (pred | p)
+    return pred
+
+
 NUMERIC_COLS = ("base_row_total_incl_tax", "base_discount_amount", "qty_ordered", "base_price")
 
 
@@ -154,10 +172,14 @@ def customer_order_counts(df: DataFrame, email: str = "hashed_customer_email") -
 
 
 def filter_customer_status(df: DataFrame, customer_status: Sequence[str] | None,
-                           email: str = "hashed_customer_email") -> DataFrame:
+                           email: str = "hashed_customer_email", reuse: bool = True) -> DataFrame:
     """New = exactly one distinct order among the current rows, Returning =
     more than one. None, empty or both: no filter. NULL e-mails drop when the
-    filter applies. Must run after the other filters (it reads their result)."""
+    filter applies. Must run after the other filters (it reads their result).
+
+    The rows are read twice (to count orders per e-mail, then to keep the
+    matching rows); with ``reuse`` they are checkpointed once to the shared
+    checkpoint folder instead of being recomputed from the sources."""
     if not customer_status:
         return df
     wanted = set(customer_status)
@@ -169,6 +191,7 @@ def filter_customer_status(df: DataFrame, customer_status: Sequence[str] | None,
         keep = F.col("unique_order_count") > 1
     else:
         return df.where(F.lit(False))
+    df = materialize(df, reuse)
     keys = customer_order_counts(df, email).filter(keep).select(email)
     # One row per e-mail on the right: a hot e-mail lands on the left side,
     # where AQE's skew handling splits it.
@@ -184,7 +207,7 @@ def add_sales_amount(df: DataFrame) -> DataFrame:
 def apply_filters(fact: DataFrame, categories: Iterable[int] | None = None, discount_free: bool = False,
                   years: Iterable[int] | None = None, customer_types: Sequence[str] | None = None,
                   customer_status: Sequence[str] | None = None,
-                  registered_groups: Iterable[int] = REGISTERED_GROUPS) -> DataFrame:
+                  registered_groups: Iterable[int] = REGISTERED_GROUPS, reuse: bool = True) -> DataFrame:
     """All page filters in their fixed order: category, discount, year,
     customer type, then New/Returning (which depends on the rows left)."""
     out = filter_categories(fact, categories)
@@ -192,4 +215,4 @@ def apply_filters(fact: DataFrame, categories: Iterable[int] | None = None, disc
     out = filter_years(out, years)
     out = add_sales_amount(out)
     out = filter_customer_type(out, customer_types, registered_groups)
-    return filter_customer_status(out, customer_status)
+    return filter_customer_status(out, customer_status, reuse=reuse)

@@ -8,9 +8,12 @@ quantity to its promotion.
 
 How it is planned: a line's split depends only on its rule text, so lines are
 first reduced to one row per (rule text, SKU) with exact sums (map-side
-combined, so a hot rule text or SKU never meets in one task), the distinct rule
-texts are expanded into their matching (text, rule) tokens once, and the two
-are joined on the text. No Python loop and no per-line explode of the fact.
+combined, so a hot rule text or SKU never meets in one task). Each of those
+rows is expanded into its parsed tokens, tokens of unused promotions are
+dropped (semi join), and a window over the (text, SKU) partition — a handful of
+rows each, and already the partitioning of the aggregate — counts the matching
+tokens. One linear plan: the lines are read once, no Python loop, no per-line
+explode of the fact.
 """
 
 from __future__ import annotations
@@ -53,9 +56,10 @@ def attribution(sales: DataFrame, promotions: DataFrame) -> DataFrame:
         F.sum(F.col("_net").cast(MONEY)).alias("s_net"),
         F.sum(F.coalesce(F.col("qty_ordered").try_cast("double"), F.lit(0.0)).cast(MONEY)).alias("s_qty"),
         F.count("*").alias("n_lines"))
-    texts = per_text_sku.select("applied_rule_ids").distinct()
-    tokens = text_rule_tokens(texts, used_promotions(promotions))
-    joined = per_text_sku.join(tokens, "applied_rule_ids")
+    tok = per_text_sku.select("*", F.explode(parse_rule_ids("applied_rule_ids")).alias("rule_id"))
+    matched = tok.join(used_promotions(promotions).select("rule_id").distinct(), "rule_id", "left_semi")
+    m = F.count("*").over(Window.partitionBy("applied_rule_ids", "sku"))
+    joined = matched.withColumn("m", m)
     return joined.groupBy("rule_id").agg(
         F.sum((F.col("s_net") / F.col("m")).cast(MONEY)).alias("revenue_dec"),
         F.sum("n_lines").alias("order_count"),

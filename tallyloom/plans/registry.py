@@ -122,9 +122,15 @@ def fact(T):
     return facts.item_sales_fact(T, CATEGORIES, SALT)
 
 
-def sales_lines(T):
-    """The filtered sales lines used by the analytics pages (years, categories)."""
-    return facts.apply_filters(fact(T), categories=CATEGORIES, years=YEARS)
+def sales_lines(T, reuse: bool = False):
+    """The filtered sales lines used by the analytics pages (years,
+    categories); the fact prunes orders by year at the scan. With ``reuse``
+    the lines are checkpointed once for operators that read them several
+    times."""
+    from ..operators.materialize import materialize
+    lines = facts.apply_filters(facts.item_sales_fact(T, CATEGORIES, SALT, years=YEARS),
+                                categories=CATEGORIES, years=YEARS)
+    return materialize(lines, reuse)
 
 
 @query("item_sales_fact")
@@ -186,7 +192,7 @@ def _require_columns(T):
 @query("join_isin_set")
 def _join_isin_set(T):
     """Lines of the 50 top-revenue SKUs (a bounded set, broadcast)."""
-    s = sales_lines(T)
+    s = sales_lines(T, reuse=True)
     top = products.select_products(s, 50, "top")
     return semi_join(s, top.select("sku"), "sku", small=True)
 
@@ -307,7 +313,7 @@ def _rotation_variance(T):
 
 
 def _rotation_selected(T, n):
-    s = sales_lines(T)
+    s = sales_lines(T, reuse=True)
     return products.rotation_metrics(s, products.select_products(s, n, "top"))
 
 
@@ -416,7 +422,7 @@ def _kpi_promotions_combined(T):
 
 # ---------------------------------------------------------------- step 6
 def basket_items(T, key="sku"):
-    s = sales_lines(T)
+    s = sales_lines(T, reuse=True)
     return s, products.select_products(s, N_BASKET, "top", key=key)
 
 
@@ -494,7 +500,7 @@ def _join_map_lookup(T):
 
 
 def _sensitivity(T):
-    s = sales_lines(T)
+    s = sales_lines(T, reuse=True)
     return sensitivity.discount_sensitivity(s, T["promotion"], sensitivity_products(s))
 
 
@@ -510,7 +516,7 @@ def _fill_missing_buckets(T):
 
 @query("promo_only_products")
 def _promo_only_products(T):
-    s = sales_lines(T)
+    s = sales_lines(T, reuse=True)
     return sensitivity.promo_only_products(s, T["promotion"], sensitivity_products(s))
 
 

@@ -5,11 +5,14 @@ bucket and overall) divided by daily quantity on days with rule-free lines.
 A line is "rule-free" when its parsed rule list is empty; a promoted line's
 bucket comes from the highest discount among its rules (unknown rule = 0).
 
-Plan: the highest discount depends only on the rule text, so it is computed
-once per distinct text (explode + lookup join + max). Lines are reduced to one
-row per (SKU, day, kind) before any per-SKU work, so per-SKU groups are
-bounded by the calendar. The SKU x bucket grid is filled with an explode of
-the six labels per SKU (no cross join).
+Plan (one linear pass over the lines): lines are reduced to one row per
+(SKU, day, rule text) — map-side combined — and only those rows are expanded
+into their parsed rules, looked up (default discount 0) and reduced to the
+highest discount, which gives each row its kind (rule-free or a bucket).
+Conditional sums per (SKU, day) and then per SKU yield, in one row per SKU,
+the baseline and every bucket's quantity and day count; that row is stacked
+into the six output rows, so absent buckets are filled without a join and
+per-SKU work is bounded by the calendar, not by the SKU's line count.
 """
 
 from __future__ import annotations
@@ -58,55 +61,78 @@ def fill_missing_buckets(keys: DataFrame, stats: DataFrame, key: str, defaults:
     return out
 
 
-def _sku_day_kind(lines: DataFrame) -> DataFrame:
-    kind = F.when(~F.col("has_rules"), F.lit(BASELINE)).otherwise(discount_bucket("max_discount"))
-    return (lines.groupBy("sku", "order_date", kind.alias("kind"))
-                 .agg(F.sum(F.coalesce(F.col("qty_ordered"), F.lit(0.0))).alias("qty")))
+def _day_text_kinds(sales: DataFrame, promotions: DataFrame) -> DataFrame:
+    """(sku, order_date, applied_rule_ids, qty, kind) with one row per
+    (SKU, day, rule text)."""
+    day_text = sales.groupBy("sku", "order_date", "applied_rule_ids").agg(
+        F.sum(F.coalesce(F.col("qty_ordered"), F.lit(0.0))).alias("qty"))
+    tok = day_text.select("*", F.explode_outer(parse_rule_ids("applied_rule_ids")).alias("rule_id"))
+    looked = lookup_join(tok, rule_discount_lookup(promotions), "rule_id", {"discount": 0.0})
+    per = looked.groupBy("sku", "order_date", "applied_rule_ids").agg(
+        F.first("qty").alias("qty"), F.max("discount").alias("max_discount"),
+        F.count("rule_id").alias("n_rules"))
+    kind = F.when(F.col("n_rules") == 0, F.lit(BASELINE)).otherwise(discount_bucket("max_discount"))
+    return per.withColumn("kind", kind)
+
+
+_PROMO_LABELS = BUCKET_ORDER[:-1]
+
+
+def _col(label: str) -> str:
+    return "b%d" % BUCKET_ORDER.index(label)
 
 
-def sensitivity_parts(sales: DataFrame, promotions: DataFrame, products: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(per-SKU baseline table, per (SKU, bucket|Overall) promo table)."""
+def sku_sensitivity_row(sales: DataFrame, promotions: DataFrame, products: DataFrame) -> DataFrame:
+    """One row per chosen SKU with sales: baseline quantity/days and, per
+    bucket and overall, promoted quantity and days."""
     lines = sales.join(F.broadcast(products.select("sku")), "sku", "left_semi")  # bounded pick
-    daily = _sku_day_kind(max_rule_discount(lines, promotions))
-    base = (daily.filter(F.col("kind") == BASELINE).groupBy("sku")
-                 .agg(F.sum("qty").alias("b_qty"), F.count("*").alias("baseline_days")))
-    skus = daily.select("sku").distinct().join(base, "sku", "left")
-    skus = skus.select("sku", F.coalesce("baseline_days", F.lit(0)).cast("bigint").alias("baseline_days"),
-                       F.when(F.coalesce("baseline_days", F.lit(0)) > 0, F.col("b_qty") / F.col("baseline_days"))
-                        .otherwise(F.lit(0.0)).alias("baseline_qty"))
-    promo = daily.filter(F.col("kind") != BASELINE)
-    per_bucket = (promo.groupBy("sku", F.col("kind").alias("discount_bucket"))
-                       .agg(F.sum("qty").alias("p_qty"), F.count("*").alias("promo_days")))
-    overall = (promo.groupBy("sku", "order_date").agg(F.sum("qty").alias("q"))
-                    .groupBy("sku").agg(F.sum("q").alias("p_qty"), F.count("*").alias("promo_days"))
-                    .withColumn("discount_bucket", F.lit(OVERALL)))
-    stats = per_bucket.unionByName(overall)
-    return skus, stats
+    rows = _day_text_kinds(lines, promotions)
+    k, q = F.col("kind"), F.col("qty")
+    day_aggs = [F.sum(F.when(k == BASELINE, q)).alias("bq"), F.count(F.when(k == BASELINE, 1)).alias("bn"),
+                F.sum(F.when(k != BASELINE, q)).alias("oq"), F.count(F.when(k != BASELINE, 1)).alias("on")]
+    for label in _PROMO_LABELS:
+        c = _col(label)
+        day_aggs += [F.sum(F.when(k == label, q)).alias(c + "q"), F.count(F.when(k == label, 1)).alias(c + "n")]
+    daily = rows.groupBy("sku", "order_date").agg(*day_aggs)
+    sku_aggs = [F.coalesce(F.sum("bq"), F.lit(0.0)).alias("b_qty"),
+                F.count_if(F.col("bn") > 0).alias("baseline_days"),
+                F.coalesce(F.sum("oq"), F.lit(0.0)).alias("o_qty"),
+                F.count_if(F.col("on") > 0).alias("o_days")]
+    for label in _PROMO_LABELS:
+        c = _col(label)
+        sku_aggs += [F.coalesce(F.sum(c + "q"), F.lit(0.0)).alias(c + "_qty"),
+                     F.count_if(F.col(c + "n") > 0).alias(c + "_days")]
+    per_sku = daily.groupBy("sku").agg(*sku_aggs)
+    bd = F.col("baseline_days")
+    return per_sku.withColumn("baseline_qty", F.when(bd > 0, F.col("b_qty") / bd).otherwise(F.lit(0.0)))
 
 
 def discount_sensitivity(sales: DataFrame, promotions: DataFrame, products: DataFrame) -> DataFrame:
     """Six rows (five buckets and Overall) per chosen SKU that has a positive
     daily baseline: baseline_qty, promo_qty (daily), ratio, day counts.
     Buckets without promoted lines get promo 0 and ratio 1.0."""
-    skus, stats = sensitivity_parts(sales, promotions, products)
-    kept = skus.filter(F.col("baseline_qty") != 0)
-    st = stats.select("sku", "discount_bucket",
-                      (F.col("p_qty") / F.col("promo_days")).alias("promo_qty"),
-                      F.col("promo_days").cast("bigint").alias("promo_days"))
-    out = fill_missing_buckets(kept, st, "sku", {"promo_qty": 0.0, "promo_days": 0})
-    ratio = F.when(F.col("promo_days") > 0, F.col("promo_qty") / F.col("baseline_qty")).otherwise(F.lit(1.0))
-    return out.select("sku", "discount_bucket",
-                      F.round("baseline_qty", 6).alias("baseline_qty"),
-                      F.round("promo_qty", 6).alias("promo_qty"),
-                      F.round(ratio, 6).alias("sensitivity_ratio"),
-                      "baseline_days", "promo_days")
+    per_sku = sku_sensitivity_row(sales, promotions, products).filter(F.col("baseline_qty") != 0)
+    cells = [F.struct(F.lit(label).alias("discount_bucket"), F.col(_col(label) + "_qty").alias("p_qty"),
+                      F.col(_col(label) + "_days").alias("promo_days")) for label in _PROMO_LABELS]
+    cells.append(F.struct(F.lit(OVERALL).alias("discount_bucket"), F.col("o_qty").alias("p_qty"),
+                          F.col("o_days").alias("promo_days")))
+    z = per_sku.select("sku", "baseline_qty", "baseline_days", F.explode(F.array(*cells)).alias("c"))
+    days = F.col("c.promo_days")
+    promo_qty = F.when(days > 0, F.col("c.p_qty") / days).otherwise(F.lit(0.0))
+    ratio = F.when(days > 0, promo_qty / F.col("baseline_qty")).otherwise(F.lit(1.0))
+    return z.select("sku", F.col("c.discount_bucket").alias("discount_bucket"),
+                    F.round("baseline_qty", 6).alias("baseline_qty"),
+                    F.round(promo_qty, 6).alias("promo_qty"),
+                    F.round(ratio, 6).alias("sensitivity_ratio"),
+                    F.col("baseline_days").cast("bigint").alias("baseline_days"),
+                    days.cast("bigint").alias("promo_days"))
 
 
 def promo_only_products(sales: DataFrame, promotions: DataFrame, products: DataFrame) -> DataFrame:
     """Chosen SKUs left out of the sensitivity because their daily baseline
     quantity is 0 (no rule-free line, or rule-free quantity 0)."""
-    skus, _ = sensitivity_parts(sales, promotions, products)
-    return skus.filter(F.col("baseline_qty") == 0).select("sku")
+    return (sku_sensitivity_row(sales, promotions, products)
+            .filter(F.col("baseline_qty") == 0).select("sku"))
 
 
 def sensitivity_distribution(sens: DataFrame, clip: float = 10.0) -> DataFrame:

@@ -624,3 +624,11 @@ def _export_empty(T):
     empty = named.promotion_details(T, "1900-01-01", "1900-12-31")
     assert exports.export_csv(empty, _scratch(spark, "exports"), "nothing") is None
     return empty
+
+
+# ---------------------------------------------------------------- plain names
+# The SURVEY keys with several variants above also answer to their plain name
+# (the reference's defaults: monthly growth, top revenue).
+QUERIES["growth_rate"] = QUERIES["growth_rate_month"]
+QUERIES["select_products"] = QUERIES["select_products_top"]
+QUERIES["select_promotions"] = QUERIES["select_promotions_top"]

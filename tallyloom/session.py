@@ -33,15 +33,17 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
     if shuffle_partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     spark = builder.getOrCreate()
-    ensure_checkpoint_dir(spark)
+    if spark.sparkContext.master.startswith("local"):
+        ensure_checkpoint_dir(spark)
     return spark
 
 
 def ensure_checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> str:
     """Use the cluster's shared ``spark.checkpoint.dir``; set one only if unset.
 
-    The fallback (a fresh local temp folder) is meant for local tests only; on a
-    cluster the shared folder must be configured by the deployment.
+    A fallback folder is created only for local masters (tests, a laptop);
+    on a cluster a machine-local folder would not be visible to other
+    executors, so an unset ``spark.checkpoint.dir`` is an error there.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
@@ -49,6 +51,9 @@ def ensure_checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> s
         if not sc.getCheckpointDir():
             sc.setCheckpointDir(current)
         return current
+    if fallback is None and not sc.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir is not set: configure a folder on shared storage "
+                           "(HDFS, object store) that every executor can reach")
     path = fallback or tempfile.mkdtemp(prefix="tallyloom-ckpt-")
     os.makedirs(path, exist_ok=True)
     sc.setCheckpointDir(path)

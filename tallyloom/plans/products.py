@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.money import money_sum
+from ..functions.money import MONEY, money_sum
 from ..operators.stats import five_number_summary, relative_size
 from ..operators.topk import pick_n
 
@@ -58,18 +58,32 @@ def select_products(sales: DataFrame, n: int, how: str = "top", measure: str = "
     return pick_n(product_revenue(sales, measure, key), key, "total_revenue", n, how, seed)
 
 
+def _day_rows(sales: DataFrame) -> DataFrame:
+    """One row per (SKU, day) with the line moments rotation needs."""
+    q = F.col("qty_ordered").cast("double")
+    return sales.groupBy("sku", "order_date").agg(
+        F.count("*").alias("line_count"),
+        F.count(q).alias("q_n"), F.sum(q).alias("q_sum"), F.sum(q * q).alias("q_sq"),
+        F.sum(F.col("sales_amount").cast(MONEY)).alias("rev"),
+        F.count("base_price").alias("p_n"), F.sum("base_price").alias("p_sum"))
+
+
+def _with_gaps(daily: DataFrame) -> DataFrame:
+    w = Window.partitionBy("sku").orderBy("order_date")  # rows per SKU = its sales days
+    prev = F.lag("order_date").over(w)
+    return (daily.withColumn("_prev", prev)
+                 .withColumn("gap_sum", F.coalesce(F.datediff("order_date", "_prev"), F.lit(0)))
+                 .withColumn("gap_count", F.col("line_count") - F.when(F.col("_prev").isNull(), 1).otherwise(0))
+                 .drop("_prev"))
+
+
 def sku_days(sales: DataFrame) -> DataFrame:
     """One row per (SKU, day): lines that day and the gap from the SKU's
     previous day. ``gap_sum`` is the sum of the line-level gaps of that day
     (the first line's gap, others 0) and ``gap_count`` the number of lines
     that have a previous line (all but the SKU's very first)."""
     daily = sales.groupBy("sku", "order_date").agg(F.count("*").alias("line_count"))
-    w = Window.partitionBy("sku").orderBy("order_date")
-    prev = F.lag("order_date").over(w)
-    return (daily.withColumn("_prev", prev)
-                 .withColumn("gap_sum", F.coalesce(F.datediff("order_date", "_prev"), F.lit(0)))
-                 .withColumn("gap_count", F.col("line_count") - F.when(F.col("_prev").isNull(), 1).otherwise(0))
-                 .drop("_prev"))
+    return _with_gaps(daily)
 
 
 def gap_days(sales: DataFrame) -> DataFrame:
@@ -84,21 +98,24 @@ def rotation_metrics(sales: DataFrame, products: DataFrame | None = None) -> Dat
     quantity, both CVs, net revenue, mean price, line count. SKUs with a
     single line drop. CV days = sd/mean if mean > 0 and more than one gap,
     else 0; CV quantity = sd/mean if mean > 0 else 0; one gap gives sd 0.
+
+    One pass over the lines: every statistic is summed per (SKU, day) first,
+    then per SKU; sample variances come from sums and sums of squares (exact
+    integer arithmetic for the day gaps).
     """
     lines = sales
     if products is not None:
+        # ``products`` is a bounded pick (``select_products``), so it is broadcast
         lines = lines.join(F.broadcast(products.select("sku")), "sku", "left_semi")
-    days = sku_days(lines).groupBy("sku").agg(
+    days = _with_gaps(_day_rows(lines))
+    m = days.groupBy("sku").agg(
+        F.sum("line_count").alias("order_count"),
         F.sum("gap_sum").cast("bigint").alias("g_sum"),
         F.sum(F.col("gap_sum").cast("bigint") * F.col("gap_sum")).alias("g_sq"),
-        F.sum("gap_count").cast("bigint").alias("g_n"))
-    per_sku = lines.groupBy("sku").agg(
-        F.count("*").alias("order_count"),
-        F.avg("qty_ordered").alias("avg_q"),
-        F.stddev_samp("qty_ordered").alias("sd_q"),
-        money_sum("sales_amount").alias("total_revenue"),
-        F.avg("base_price").alias("avg_price"))
-    m = per_sku.join(days, "sku").filter(F.col("order_count") > 1)
+        F.sum("gap_count").cast("bigint").alias("g_n"),
+        F.sum("q_n").alias("q_n"), F.sum("q_sum").alias("q_sum"), F.sum("q_sq").alias("q_sq"),
+        F.round(F.sum("rev"), 4).cast("double").alias("total_revenue"),
+        F.sum("p_n").alias("p_n"), F.sum("p_sum").alias("p_sum")).filter(F.col("order_count") > 1)
     n = F.col("g_n").cast("double")
     mean_d = F.col("g_sum") / n
     # sample variance from exact integer sums: (n*sum_sq - sum^2) / (n*(n-1))
@@ -106,18 +123,21 @@ def rotation_metrics(sales: DataFrame, products: DataFrame | None = None) -> Dat
                          (F.col("g_n") * (F.col("g_n") - 1)).cast("double"))
     sd_d = F.when(F.col("g_n") > 1, F.sqrt(var_d)).otherwise(F.lit(0.0))
     cv_d = F.when((mean_d > 0) & (F.col("g_n") > 1), sd_d / mean_d).otherwise(F.lit(0.0))
-    sd_q = F.coalesce(F.col("sd_q"), F.lit(0.0))
-    cv_q = F.when(F.col("avg_q") > 0, sd_q / F.col("avg_q")).otherwise(F.lit(0.0))
+    qn = F.col("q_n").cast("double")
+    avg_q = F.col("q_sum") / qn
+    var_q = F.greatest(F.lit(0.0), (F.col("q_sq") - F.col("q_sum") * F.col("q_sum") / qn) / (qn - 1))
+    sd_q = F.when(F.col("q_n") > 1, F.sqrt(var_q)).otherwise(F.lit(0.0))
+    cv_q = F.when(avg_q > 0, sd_q / avg_q).otherwise(F.lit(0.0))
     return m.select(
         "sku",
         F.round(mean_d, 6).alias("avg_days_between_orders"),
-        F.round(F.col("avg_q"), 6).alias("avg_quantity_per_order"),
+        F.round(avg_q, 6).alias("avg_quantity_per_order"),
         F.round(sd_d, 6).alias("days_std"),
         F.round(sd_q, 6).alias("quantity_std"),
         F.round(cv_d, 6).alias("days_coefficient_of_variation"),
         F.round(cv_q, 6).alias("quantity_coefficient_of_variation"),
         "total_revenue",
-        F.round(F.col("avg_price"), 6).alias("base_price"),
+        F.round(F.col("p_sum") / F.col("p_n"), 6).alias("base_price"),
         "order_count")
 
 

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.materialize import materialize
+from ..operators.skew import salted_join
 from ..operators.stats import quantile_cap
 from ..operators.topk import top_k_per_group
 
@@ -37,10 +38,9 @@ def pair_counts(sales: DataFrame, products: DataFrame, item: str = "sku",
                 salt_buckets: int = 1) -> DataFrame:
     """(a, b, pair_count) for chosen a and every other item b sharing an order.
 
-    ``salt_buckets > 1`` spreads each order's partner rows over that many
-    join keys (partner-hash salt) and replicates the chosen side per salt, for
-    data where single orders are huge; by default AQE's skew-join split
-    handles oversized order partitions.
+    ``salt_buckets > 1`` salts orders that hold a large share of the rows
+    (``operators.skew.salted_join``): their partner rows are spread over that
+    many join keys and their chosen rows (at most n per order) replicated.
     """
     return _pairs_from(order_items(sales, item), products, item, salt_buckets)
 
@@ -50,9 +50,7 @@ def _pairs_from(oi: DataFrame, products: DataFrame, item: str, salt_buckets: int
                .withColumnRenamed("item", "a")
     partners = oi.withColumnRenamed("item", "b")
     if salt_buckets > 1:
-        partners = partners.withColumn("_salt", F.pmod(F.xxhash64("b"), F.lit(salt_buckets)))
-        chosen = chosen.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salt_buckets - 1))))
-        joined = chosen.join(partners, ["order_id", "_salt"])
+        joined = salted_join(partners, chosen, "order_id", "inner", salt_buckets)
     else:
         joined = chosen.join(partners, "order_id")
     return (joined.filter(F.col("a") != F.col("b"))

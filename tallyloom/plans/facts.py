@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions.dates import in_years, year_ranges
 from ..operators.materialize import materialize
+from ..operators.skew import salted_join
 from ..functions.predicates import (CHANNEL_PREFIXES, REGISTERED_GROUPS, exclude_channels,
                                     is_guest, is_registered)
 from .named import BRAND_ATTR, CATEGORY_ATTR
@@ -30,7 +31,8 @@ def item_sales_fact(T: dict[str, DataFrame], category_ids: Iterable[int], salt:
                     detail: str = "full", category_attr: int = CATEGORY_ATTR,
                     brand_attr: int = BRAND_ATTR,
                     channel_prefixes: Iterable[str] = CHANNEL_PREFIXES,
-                    label_store: int = 0, years: Iterable[int] | None = None) -> DataFrame:
+                    label_store: int = 0, years: Iterable[int] | None = None,
+                    hot_sku_buckets: int = 0) -> DataFrame:
     """Order lines of ``category_ids`` with customer flags, salted e-mail
     hash (NULL e-mail gives NULL) and brand; marketplace orders removed.
 
@@ -39,6 +41,10 @@ def item_sales_fact(T: dict[str, DataFrame], category_ids: Iterable[int], salt:
     table's scan (row-group / partition pruning); the page filter
     ``filter_years`` on ``order_date`` then selects the same rows.
 
+    ``hot_sku_buckets > 0`` salts products that hold a large share of the
+    lines in the line-to-product join (see ``operators.skew``); by default the
+    product side is left to AQE (broadcast when its measured size allows).
+
     ``detail='basic'``: the shorter projection without customer and brand
     columns, dated by the line's own timestamp when the line table has one
     (else by its order's).
@@ -62,7 +68,9 @@ def item_sales_fact(T: dict[str, DataFrame], category_ids: Iterable[int], salt:
                  "base_discount_amount", "base_row_total_incl_tax", "applied_rule_ids"]
     if line_ts and detail != "full":
         item_cols.append(F.col("created_at").alias("line_created_at"))
-    lines = items.select(*item_cols).join(dims, "product_id")
+    lines = items.select(*item_cols)
+    lines = (salted_join(lines, dims, "product_id", "inner", hot_sku_buckets) if hot_sku_buckets > 0
+             else lines.join(dims, "product_id"))
 
     orders = T["sales_order"].filter(exclude_channels("increment_id", channel_prefixes))
     if years:
@@ -193,9 +201,9 @@ def filter_customer_status(df: DataFrame, customer_status: Sequence[str] | None,
         return df.where(F.lit(False))
     df = materialize(df, reuse)
     keys = customer_order_counts(df, email).filter(keep).select(email)
-    # One row per e-mail on the right: a hot e-mail lands on the left side,
-    # where AQE's skew handling splits it.
-    return df.join(keys, email, "left_semi")
+    # One row per e-mail on the right; an e-mail holding a large share of the
+    # rows (a shared or placeholder address) is salted on the left.
+    return salted_join(df, keys, email, "left_semi")
 
 
 def add_sales_amount(df: DataFrame) -> DataFrame:

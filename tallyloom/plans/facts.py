@@ -224,3 +224,22 @@ def apply_filters(fact: DataFrame, categories: Iterable[int] | None = None, disc
     out = add_sales_amount(out)
     out = filter_customer_type(out, customer_types, registered_groups)
     return filter_customer_status(out, customer_status, reuse=reuse)
+
+
+def filter_flags(sales: DataFrame, registered_groups: Iterable[int] = REGISTERED_GROUPS,
+                 email: str = "hashed_customer_email") -> DataFrame:
+    """One row describing what the lines contain: whether any line has a
+    discount, any guest / registered order, any New / Returning customer,
+    and the distinct years and categories (bounded by the calendar and the
+    category list). Useful to key stored results by the filters in effect."""
+    counts = customer_order_counts(sales, email)
+    status = counts.agg(F.coalesce(F.bool_or(F.col("unique_order_count") == 1), F.lit(False)).alias("n"),
+                        F.coalesce(F.bool_or(F.col("unique_order_count") > 1), F.lit(False)).alias("r"))
+    return sales.agg(
+        F.array_sort(F.collect_set(F.year("order_date"))).alias("years"),
+        F.array_sort(F.collect_set("category_num")).alias("category_ids"),
+        (~F.coalesce(F.every(F.col("base_discount_amount") == 0), F.lit(True))).alias("include_discounts"),
+        F.coalesce(F.bool_or(F.col("customer_is_guest") == 1), F.lit(False)).alias("has_guest"),
+        F.coalesce(F.bool_or(F.col("customer_group_id").isin(list(registered_groups))), F.lit(False))
+         .alias("has_registered"),
+    ).select("*", status.select("n").scalar().alias("has_new"), status.select("r").scalar().alias("has_returning"))

@@ -626,6 +626,15 @@ def _export_empty(T):
     return empty
 
 
+@query("filter_flags")
+def _filter_flags(T):
+    """Any/all flags of the filtered lines (years and categories as text)."""
+    f = facts.filter_flags(sales_lines(T))
+    return f.select(F.array_join(F.transform("years", lambda y: y.cast("string")), ",").alias("years"),
+                    F.array_join(F.transform("category_ids", lambda c: c.cast("string")), ",").alias("category_ids"),
+                    "include_discounts", "has_guest", "has_registered", "has_new", "has_returning")
+
+
 # ---------------------------------------------------------------- plain names
 # The SURVEY keys with several variants above also answer to their plain name
 # (the reference's defaults: monthly growth, top revenue).

@@ -59,13 +59,15 @@ def select_products(sales: DataFrame, n: int, how: str = "top", measure: str = "
 
 
 def _day_rows(sales: DataFrame) -> DataFrame:
-    """One row per (SKU, day) with the line moments rotation needs."""
-    q = F.col("qty_ordered").cast("double")
+    """One row per (SKU, day) with the line moments rotation needs. As in
+    the source, bad or missing quantities and prices count as 0."""
+    q = F.coalesce(F.col("qty_ordered").try_cast("double"), F.lit(0.0))
+    price = F.coalesce(F.col("base_price").try_cast("double"), F.lit(0.0))
     return sales.groupBy("sku", "order_date").agg(
         F.count("*").alias("line_count"),
-        F.count(q).alias("q_n"), F.sum(q).alias("q_sum"), F.sum(q * q).alias("q_sq"),
+        F.count("*").alias("q_n"), F.sum(q).alias("q_sum"), F.sum(q * q).alias("q_sq"),
         F.sum(F.col("sales_amount").cast(MONEY)).alias("rev"),
-        F.count("base_price").alias("p_n"), F.sum("base_price").alias("p_sum"))
+        F.count("*").alias("p_n"), F.sum(price).alias("p_sum"))
 
 
 def _with_gaps(daily: DataFrame) -> DataFrame:

@@ -124,6 +124,8 @@ ROT_ROWS = [
     (4, 7, "SAME", D(2000, 1, 10), 2.0, 1.0, 5.0, 0.0, None),
     (5, 8, "ZERO", D(2000, 2, 1), 0.0, 1.0, 5.0, 0.0, None),
     (6, 9, "ZERO", D(2000, 2, 1), 0.0, 1.0, 5.0, 0.0, None),          # all gaps 0, qty mean 0
+    (7, 10, "NULLQ", D(2000, 3, 1), None, 1.0, 5.0, 0.0, None),       # missing quantity counts 0
+    (8, 11, "NULLQ", D(2000, 3, 5), 4.0, 1.0, 5.0, 0.0, None),
 ]
 
 
@@ -140,7 +142,7 @@ def _rotation_model(rows):
         mean_d = statistics.mean(gaps)
         sd_d = statistics.stdev(gaps) if len(gaps) > 1 else 0.0
         cv_d = sd_d / mean_d if (mean_d > 0 and len(gaps) > 1) else 0.0
-        qs = [t[1] for t in lines]
+        qs = [t[1] or 0.0 for t in lines]
         mean_q = statistics.mean(qs)
         sd_q = statistics.stdev(qs)
         cv_q = sd_q / mean_q if mean_q > 0 else 0.0
@@ -155,7 +157,7 @@ def test_rotation_matches_model(spark):
                    r.days_coefficient_of_variation, r.quantity_coefficient_of_variation)
            for r in products.rotation_metrics(s).collect()}
     model = _rotation_model(ROT_ROWS)
-    assert set(got) == set(model) == {"TWO", "SAME", "ZERO"}
+    assert set(got) == set(model) == {"TWO", "SAME", "ZERO", "NULLQ"}
     for sku in model:
         assert got[sku] == pytest.approx(model[sku], abs=1e-6), sku
 

@@ -7,7 +7,7 @@ promotion selection (one row per chosen SKU or pair), never to raw lines.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 _QS = [0.0, 0.25, 0.5, 0.75, 1.0]
@@ -17,30 +17,30 @@ def five_number_summary(long: DataFrame, group: str, value: str, min_count: int
                         clip_upper: float | None = None) -> DataFrame:
     """Per group: n, mean, min, q1, median, q3, max, 1.5-IQR fences and the
     number of values outside them. Groups with fewer than ``min_count``
-    non-null values are dropped. ``clip_upper`` caps values first."""
+    non-null values are dropped. ``clip_upper`` caps values first.
+
+    One pass: the quantiles are window aggregates over the group (the input is
+    selection-bounded), then a single aggregate counts the values outside the
+    fences — no self-join, so the input is not computed twice.
+    """
     v = F.col(value)
     if clip_upper is not None:
         v = F.least(v, F.lit(float(clip_upper)))
     vals = long.select(F.col(group), v.cast("double").alias("_v")).filter(F.col("_v").isNotNull())
-    qs = F.percentile("_v", F.array(*[F.lit(q) for q in _QS]))
-    summary = (vals.groupBy(group)
-                   .agg(F.count("_v").alias("n"), F.round(F.avg("_v"), 6).alias("mean"), qs.alias("_q"))
-                   .filter(F.col("n") >= min_count))
+    w = Window.partitionBy(group)
+    qs = F.percentile("_v", F.array(*[F.lit(q) for q in _QS])).over(w)
+    with_q = vals.withColumn("_q", qs)
     # Quantiles interpolate between inputs (fractions .25/.75), so they are
     # kept to 9 decimals: rounding them coarser would hit exact ties.
-    s = summary.select(
-        group, "n", "mean",
-        *[F.round(F.col("_q")[i], 9).alias(name)
-          for i, name in enumerate(["min", "q1", "median", "q3", "max"])])
-    s = s.withColumn("lower_fence", F.round(F.col("q1") - 1.5 * (F.col("q3") - F.col("q1")), 9)) \
-         .withColumn("upper_fence", F.round(F.col("q3") + 1.5 * (F.col("q3") - F.col("q1")), 9))
-    # Outliers: one pass over the values joined to their group's fences (the
-    # summary has one row per group).
-    outl = (vals.join(s.select(group, "lower_fence", "upper_fence"), group)
-                .groupBy(group)
-                .agg(F.count_if((F.col("_v") < F.col("lower_fence")) | (F.col("_v") > F.col("upper_fence")))
-                     .alias("outliers")))
-    return s.join(outl, group)
+    q = {name: F.round(F.col("_q")[i], 9) for i, name in enumerate(["min", "q1", "median", "q3", "max"])}
+    lo = F.round(q["q1"] - 1.5 * (q["q3"] - q["q1"]), 9)
+    hi = F.round(q["q3"] + 1.5 * (q["q3"] - q["q1"]), 9)
+    out = with_q.groupBy(group).agg(
+        F.count("_v").alias("n"), F.round(F.avg("_v"), 6).alias("mean"),
+        *[F.first(c).alias(name) for name, c in q.items()],
+        F.first(lo).alias("lower_fence"), F.first(hi).alias("upper_fence"),
+        F.count_if((F.col("_v") < lo) | (F.col("_v") > hi)).alias("outliers"))
+    return out.filter(F.col("n") >= min_count)
 
 
 def relative_size(df: DataFrame, col: str, out: str) -> DataFrame:
@@ -51,6 +51,9 @@ def relative_size(df: DataFrame, col: str, out: str) -> DataFrame:
 
 def quantile_cap(df: DataFrame, col: str, q: float = 0.95, ceiling: float = 10.0,
                  out: str | None = None) -> DataFrame:
-    """``least(col, min(ceiling, quantile_q(col)))`` — an outlier-robust cap."""
-    cap = df.agg(F.round(F.least(F.lit(float(ceiling)), F.percentile(col, F.lit(q))), 9)).scalar()
+    """``least(col, min(ceiling, quantile_q(col)))`` — an outlier-robust cap.
+
+    The quantile is a window aggregate over the whole (selection-bounded)
+    frame, computed in the same pass as the rows it caps."""
+    cap = F.round(F.least(F.lit(float(ceiling)), F.percentile(col, F.lit(q)).over(Window.partitionBy())), 9)
     return df.withColumn(out or f"{col}_display", F.least(F.col(col).cast("double"), cap))

@@ -11,7 +11,7 @@ task. Direction is flipped to the higher-confidence side.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.materialize import materialize
@@ -99,6 +99,8 @@ def basket_pairs(sales: DataFrame, products: DataFrame, item: str = "sku", partn
 def basket_lift_display(pairs: DataFrame, min_pairs: int = 3, q: float = 0.95,
                         ceiling: float = 10.0) -> DataFrame:
     """Pairs with ``lift_display`` = lift capped at min(ceiling, q-quantile);
-    empty when fewer than ``min_pairs`` pairs."""
-    enough = pairs.agg(F.count("*")).scalar() >= min_pairs
-    return quantile_cap(pairs, "lift", q, ceiling, "lift_display").filter(enough)
+    empty when fewer than ``min_pairs`` pairs. The pairs are bounded (n chosen
+    items x partners), so the count and quantile are whole-frame windows."""
+    n = F.count("*").over(Window.partitionBy())
+    return (quantile_cap(pairs, "lift", q, ceiling, "lift_display")
+            .withColumn("_n", n).filter(F.col("_n") >= min_pairs).drop("_n"))

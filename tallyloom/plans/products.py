@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.money import MONEY, money_sum
-from ..operators.stats import five_number_summary, relative_size
+from ..operators.stats import five_number_summary
 from ..operators.topk import pick_n
 
 
@@ -165,9 +165,12 @@ def rotation_bubble(metrics: DataFrame, kind: str = "days", min_skus: int = 5) -
     sqrt(price / max price) * 80 + 20, colour = CV of ``kind``; empty when
     fewer than ``min_skus`` SKUs."""
     m = rotation_variance(metrics, kind)
-    enough = m.agg(F.count("*")).scalar() >= min_skus
-    return (relative_size(m, "base_price", "size_rel")
-            .filter(enough)
+    # metrics of a product pick (bounded): count and max as whole-frame windows
+    whole = Window.partitionBy()
+    m = (m.withColumn("_n", F.count("*").over(whole))
+          .withColumn("size_rel", F.try_divide(F.col("base_price").cast("double"),
+                                               F.max("base_price").over(whole).cast("double"))))
+    return (m.filter(F.col("_n") >= min_skus)
             .select("sku", F.col("avg_days_between_orders").alias("x"),
                     F.col("avg_quantity_per_order").alias("y"),
                     F.round(F.sqrt("size_rel") * 80 + 20, 6).alias("size"),

@@ -125,10 +125,15 @@ def select_promotions(metrics: DataFrame, n: int, how: str = "top", seed: int =
     """Top, lowest (revenue > 0 only; when none is positive, the top ones) or
     random n promotions. Bounded by n rows."""
     if how in ("lowest", "lowest_revenue", "bottom"):
-        has_pos = metrics.agg(F.count_if(F.col("revenue") > 0) > 0).scalar()
-        key = F.when(has_pos, F.col("revenue")).otherwise(-F.col("revenue"))
-        return (metrics.filter((F.col("revenue") > 0) | ~has_pos)
-                       .orderBy(key.asc(), F.col("rule_id").asc()).limit(int(n)))
+        # positives first (lowest revenue first), then the rest by revenue
+        # descending; if the n picked rows hold any positive one, only the
+        # positives are kept. The check runs over the n picked rows only.
+        pos = F.col("revenue") > 0
+        key = [F.when(pos, 0).otherwise(1), F.when(pos, F.col("revenue")).otherwise(-F.col("revenue")),
+               F.col("rule_id")]
+        picked = metrics.orderBy(*key).limit(int(n))
+        any_pos = F.max(pos.cast("int")).over(Window.partitionBy())
+        return picked.withColumn("_any", any_pos).filter((F.col("_any") == 0) | pos).drop("_any")
     return metrics.orderBy(*order_for(how, "rule_id", "revenue", seed)).limit(int(n))
 
 

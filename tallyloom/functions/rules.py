@@ -17,7 +17,9 @@ from pyspark.sql import functions as F
 
 from .money import as_col
 
-_INT_TOKEN = r"^[+-]?[0-9]+$"
+# One comma-separated token: optional spaces, optional "c-" prefix, optional
+# spaces, a signed integer, optional spaces, then a comma or the end.
+_RULE_TOKEN = r"(?:^|,)\s*(?:c-)?\s*([+-]?[0-9]+)\s*(?=,|$)"
 
 
 def rule_tokens(ids: Column | str) -> Column:
@@ -31,12 +33,13 @@ def exact_rule_tokens(ids: Column | str) -> Column:
 
 
 def parse_rule_ids(ids: Column | str) -> Column:
-    """'12,c-7, x' -> [12, 7]; NULL or '' -> []; duplicates kept."""
-    cleaned = F.transform(
-        rule_tokens(ids),
-        lambda t: F.regexp_replace(F.regexp_replace(t, r"^\s+|\s+$", ""), "^c-", ""))
-    valid = F.filter(cleaned, lambda t: t.rlike(_INT_TOKEN))
-    as_ids = F.transform(valid, lambda t: t.try_cast("bigint"))
+    """'12,c-7, x' -> [12, 7]; NULL or '' -> []; duplicates kept.
+
+    A single regular-expression pass extracts the tokens that are integers
+    after trimming and dropping a leading ``c-``; other tokens are skipped.
+    """
+    found = F.regexp_extract_all(F.coalesce(as_col(ids), F.lit("")), F.lit(_RULE_TOKEN), F.lit(1))
+    as_ids = F.transform(found, lambda t: t.try_cast("bigint"))
     return F.filter(as_ids, lambda x: x.isNotNull())
 
 

@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 
 def hot_keys(df: DataFrame, key: str, max_hot: int = 1000) -> DataFrame:
     """Keys with more than 1/max_hot of the rows (at most max_hot keys)."""
-    total = df.select(F.count("*")).scalar()
     counts = df.groupBy(key).agg(F.count("*").alias("_n"))
+    total = counts.agg(F.sum("_n")).scalar()  # same aggregate, reused by the planner
     return counts.filter(F.col("_n") * F.lit(max_hot) > total).select(key)
 
 

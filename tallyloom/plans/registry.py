@@ -431,22 +431,24 @@ def _basket_item_support(T):
     return basket.basket_item_support(sales_lines(T))
 
 
+# The lines are already checkpointed by ``basket_items``: the basket's own
+# order-item table is cheap to rebuild from them (reuse=False).
 @query("basket_pairs")
 def _basket_pairs(T):
     s, chosen = basket_items(T)
-    return basket.basket_pairs(s, chosen)
+    return basket.basket_pairs(s, chosen, reuse=False)
 
 
 @query("basket_pairs_brand")
 def _basket_pairs_brand(T):
     s, chosen = basket_items(T, "brand_id")
-    return basket.basket_pairs(s, chosen, item="brand_id")
+    return basket.basket_pairs(s, chosen, item="brand_id", reuse=False)
 
 
 @query("basket_pairs_salted")
 def _basket_pairs_salted(T):
     s, chosen = basket_items(T, "brand_id")
-    return basket.basket_pairs(s, chosen, item="brand_id", salt_buckets=4)
+    return basket.basket_pairs(s, chosen, item="brand_id", salt_buckets=4, reuse=False)
 
 
 @query("join_self_pairs")
@@ -464,13 +466,13 @@ def _top_partners(T):
 @query("basket_lift_display")
 def _basket_lift_display(T):
     s, chosen = basket_items(T, "brand_id")
-    return basket.basket_lift_display(basket.basket_pairs(s, chosen, item="brand_id"))
+    return basket.basket_lift_display(basket.basket_pairs(s, chosen, item="brand_id", reuse=False))
 
 
 @query("quantile_cap")
 def _quantile_cap(T):
     s, chosen = basket_items(T, "brand_id")
-    pairs = basket.basket_pairs(s, chosen, item="brand_id")
+    pairs = basket.basket_pairs(s, chosen, item="brand_id", reuse=False)
     return pairs.agg(F.round(F.least(F.lit(10.0), F.percentile("lift", F.lit(0.95))), 9).alias("lift_cap"))
 
 

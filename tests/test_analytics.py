@@ -255,3 +255,25 @@ def test_same_rows_at_1_and_16_partitions(spark, tables):
         out.append(key(promotions.promotion_metrics(s, tables["promotion"]).collect()))
     spark.conf.set("spark.sql.shuffle.partitions", prev)
     assert out[0] == out[1]
+
+
+# ------------------------------------------------------------ invariants
+def test_new_and_returning_partition_nonnull_emails(spark, tables):
+    from tallyloom.plans import facts
+    s = facts.apply_filters(facts.item_sales_fact(tables, [601, 602], "s"), years=[1999, 2000])
+    new = facts.filter_customer_status(s, ["New"]).count()
+    ret = facts.filter_customer_status(s, ["Returning"]).count()
+    assert new + ret == s.filter(F.col("hashed_customer_email").isNotNull()).count()
+
+
+def test_lift_is_symmetric_and_direction_has_higher_confidence(spark, tables):
+    from tallyloom.plans import facts
+    s = facts.apply_filters(facts.item_sales_fact(tables, [601, 602], "s"), years=[1999, 2000])
+    chosen = products.select_products(s, 10, "top", key="brand_id")
+    rows = basket.basket_pairs(s, chosen, item="brand_id").collect()
+    assert rows
+    n = s.select("order_id").distinct().count()
+    for r in rows:
+        assert r.confidence == pytest.approx(r["count"] / r.product_a_count, abs=1e-9)
+        assert r.product_a_count <= r.product_b_count
+        assert r.lift == pytest.approx(r["count"] * n / (r.product_a_count * r.product_b_count), rel=1e-6)

@@ -21,8 +21,11 @@ from ..functions.predicates import CHANNEL_PREFIXES, exclude_channels
 from ..functions.rules import exact_rule_tokens, parse_rule_ids
 from ..operators.joins import range_overlap_join, token_membership_join
 
-CATEGORY_ATTR = 168        # category attribute used by the sales fact
-SEASONALITY_ATTR = 80      # category attribute used by the seasonality query
+# Fixed values of the source schema (defaults, overridable): product
+# attribute ids of the category used by the sales fact, the category used by
+# the seasonality query, and the brand.
+CATEGORY_ATTR = 168
+SEASONALITY_ATTR = 80
 BRAND_ATTR = 81
 
 

@@ -32,7 +32,7 @@ def item_sales_fact(T: dict[str, DataFrame], category_ids: Iterable[int], salt:
                     brand_attr: int = BRAND_ATTR,
                     channel_prefixes: Iterable[str] = CHANNEL_PREFIXES,
                     label_store: int = 0, years: Iterable[int] | None = None,
-                    hot_sku_buckets: int = 0) -> DataFrame:
+                    hot_sku_buckets: int = 16) -> DataFrame:
     """Order lines of ``category_ids`` with customer flags, salted e-mail
     hash (NULL e-mail gives NULL) and brand; marketplace orders removed.
 
@@ -41,9 +41,10 @@ def item_sales_fact(T: dict[str, DataFrame], category_ids: Iterable[int], salt:
     table's scan (row-group / partition pruning); the page filter
     ``filter_years`` on ``order_date`` then selects the same rows.
 
-    ``hot_sku_buckets > 0`` salts products that hold a large share of the
-    lines in the line-to-product join (see ``operators.skew``); by default the
-    product side is left to AQE (broadcast when its measured size allows).
+    Products holding a large share of the lines (a best seller) are salted
+    over ``hot_sku_buckets`` join keys in the line-to-product join (see
+    ``operators.skew``): that join's product side comes out of other joins on
+    the product id, so AQE's skew split cannot apply to it. 0 turns it off.
 
     ``detail='basic'``: the shorter projection without customer and brand
     columns, dated by the line's own timestamp when the line table has one

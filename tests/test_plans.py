@@ -53,3 +53,10 @@ def test_non_local_master_requires_shared_checkpoint_dir():
 
     with pytest.raises(RuntimeError):
         ensure_checkpoint_dir(_S())
+
+
+def test_fact_product_join_is_salted_by_default(spark, tables):
+    plan = _formatted(facts.item_sales_fact(tables, [601, 602], "s"))
+    assert "_salt" in plan
+    plain = _formatted(facts.item_sales_fact(tables, [601, 602], "s", hot_sku_buckets=0))
+    assert "_salt" not in plain

@@ -27,6 +27,11 @@ from pyspark.sql import functions as F
 from ..functions.dates import month_label
 from ..functions.money import money_sum
 
+# Output decimals. The moving average of 4-decimal money over p months has at
+# most 7 decimals exactly (p <= 12, half weights), so 8 decimals never cut an
+# exact value on a tie: two engines that differ in the last bit still agree.
+DIGITS = 8
+
 
 def monthly_series(sales: DataFrame, series_cols: Sequence[str] = (), measure: str = "sales_amount") -> DataFrame:
     """One row per series: ``pts`` = array of (month, value) sorted by month."""
@@ -100,9 +105,9 @@ def seasonal_decompose(sales: DataFrame, model: str = "multiplicative", max_peri
                  .alias("idx", "r"))
     return z.select(*series_cols, F.col("r.months").alias("month"), "idx",
                     F.col("r.x").alias("observed"),
-                    F.round("r.trend", 6).alias("trend"),
-                    F.round("r.seasonal", 6).alias("seasonal"),
-                    F.round("r.resid", 6).alias("resid"),
+                    F.round("r.trend", DIGITS).alias("trend"),
+                    F.round("r.seasonal", DIGITS).alias("seasonal"),
+                    F.round("r.resid", DIGITS).alias("resid"),
                     F.col("p").alias("period"))
 
 
@@ -113,4 +118,4 @@ def moving_trend(sales: DataFrame, max_period: int = 12, min_periods: int = 12,
     s = _trend_arrays(s, max_period)
     z = s.select(*series_cols, F.posexplode(F.arrays_zip("months", "tr")).alias("idx", "r"))
     return z.select(*series_cols, F.col("r.months").alias("month"), "idx",
-                    F.round("r.tr", 6).alias("trend"))
+                    F.round("r.tr", DIGITS).alias("trend"))

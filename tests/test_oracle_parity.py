@@ -29,3 +29,12 @@ def test_entry_runs(spark):
     df = E.entry(spark)
     assert df.count() >= 0
     assert "revenue" in df.columns
+
+
+@pytest.mark.parametrize("key", sorted(__import__("oracles").INDEPENDENT))
+def test_decomposition_matches_independent_sql(spark, con, key):
+    """The decomposition also equals a second SQL formulation (position
+    self-join for the moving average, regr_slope/regr_intercept for the ends)."""
+    import oracles
+    r = compare(spark, con, key, E.queries()[key], oracles.INDEPENDENT[key], SF_SMALL)
+    assert r["status"] == "ok", r

@@ -39,15 +39,6 @@ def net_amount(sales: DataFrame) -> DataFrame:
     return sales.withColumn("_net", net)
 
 
-def text_rule_tokens(texts: DataFrame, rules: DataFrame, text_col: str = "applied_rule_ids") -> DataFrame:
-    """(text, rule_id, m): one row per token of a distinct rule text that
-    names a rule in ``rules``, duplicates kept; ``m`` = such tokens in the text."""
-    tok = texts.select(text_col, F.explode(parse_rule_ids(text_col)).alias("rule_id"))
-    matched = tok.join(rules.select("rule_id").distinct(), "rule_id", "left_semi")
-    w = Window.partitionBy(text_col)  # rows per text = its tokens: bounded
-    return matched.withColumn("m", F.count("*").over(w))
-
-
 def attribution(sales: DataFrame, promotions: DataFrame) -> DataFrame:
     """Per used promotion with matching lines: revenue share sum (exact
     decimal), line count, quantity, distinct SKUs."""

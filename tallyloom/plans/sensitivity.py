@@ -51,16 +51,6 @@ def max_rule_discount(sales: DataFrame, promotions: DataFrame) -> DataFrame:
                .withColumn("has_rules", F.size(parse_rule_ids("applied_rule_ids")) > 0))
 
 
-def fill_missing_buckets(keys: DataFrame, stats: DataFrame, key: str, defaults: dict) -> DataFrame:
-    """Complete ``keys`` x all bucket labels; absent cells take ``defaults``
-    (values may be Columns computed from ``keys``' own columns)."""
-    grid = keys.select("*", F.explode(F.array(*[F.lit(b) for b in BUCKET_ORDER])).alias("discount_bucket"))
-    out = grid.join(stats, [key, "discount_bucket"], "left")
-    for c, v in defaults.items():
-        out = out.withColumn(c, F.coalesce(F.col(c), v if not isinstance(v, (int, float)) else F.lit(v)))
-    return out
-
-
 def _day_text_kinds(sales: DataFrame, promotions: DataFrame) -> DataFrame:
     """(sku, order_date, applied_rule_ids, qty, kind) with one row per
     (SKU, day, rule text)."""

@@ -3,12 +3,21 @@
 AQE splits a skewed sort-merge join only when both join inputs are plain
 shuffles; a join against an aggregate (keys with a status, a per-order table)
 or against the output of other joins is not split. ``salted_join`` handles
-those: keys holding more than 1/``max_hot`` of the big side's rows are found
-with a map-side-combined count (so at most ``max_hot`` keys qualify — a proven
-bound, broadcast), rows of those keys on the big side are spread over
-``buckets`` salt values by a hash of the row, and the small side's rows for
-those keys are replicated once per salt. Other keys join as usual (salt 0).
-The result is exactly the unsalted join.
+those without changing the plan for ordinary keys:
+
+- keys holding more than 1/``max_hot`` of the big side's rows are found with a
+  map-side-combined count, so at most ``max_hot`` keys qualify (a proven
+  bound);
+- rows of those hot keys are joined to the other side's rows for the same keys,
+  a broadcast of bounded size (hot keys x rows per key), in place — they are
+  never shuffled by key;
+- all other rows join the other side as usual (on key plus a constant), so
+  Spark/AQE still broadcasts the other side when its size allows; if that join
+  shuffles, the hot rows (which match nothing there) are spread over
+  ``buckets`` hash values instead of landing in one task.
+
+The result equals the plain join. The other side should have few rows per key
+(a dimension, a per-key status, at most n chosen items per order).
 """
 
 from __future__ import annotations
@@ -26,18 +35,50 @@ def hot_keys(df: DataFrame, key: str, max_hot: int = 1000) -> DataFrame:
 
 def salted_join(big: DataFrame, small: DataFrame, key: str, how: str = "inner",
                 buckets: int = 32, max_hot: int = 1000) -> DataFrame:
-    """``big.join(small, key, how)`` with hot keys of ``big`` salted.
+    """``big.join(small, key, how)`` that stays balanced when ``big`` has hot keys.
 
     ``how`` is one of inner, left, left_semi, left_anti (joins whose result
     rows are driven by ``big``).
     """
     if how not in ("inner", "left", "left_outer", "left_semi", "left_anti"):
         raise ValueError(f"unsupported join type {how!r}")
-    hot = F.broadcast(hot_keys(big, key, max_hot).withColumn("_hot", F.lit(True)))  # <= max_hot rows
+    hot = hot_keys(big, key, max_hot)
     row_hash = F.xxhash64(*[F.col(c) for c in big.columns])
-    b = (big.join(hot, key, "left")
-            .withColumn("_salt", F.when(F.col("_hot"), F.pmod(row_hash, F.lit(buckets))).otherwise(F.lit(0)))
-            .drop("_hot"))
-    salts = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(buckets - 1))).otherwise(F.array(F.lit(0)))
-    s = small.join(hot, key, "left").withColumn("_salt", F.explode(salts)).drop("_hot")
-    return b.join(s, [key, "_salt"], how).drop("_salt")
+    flagged = (big.join(F.broadcast(hot.withColumn("_hot", F.lit(True))), key, "left")  # <= max_hot rows
+                  .withColumn("_g", F.when(F.col("_hot"), 1 + F.pmod(row_hash, F.lit(buckets)))
+                              .otherwise(F.lit(0)))
+                  .drop("_hot"))
+    if how in ("left_semi", "left_anti"):
+        keys = small.select(key).distinct()
+        hot_side = keys.join(F.broadcast(hot), key, "left_semi").withColumn("_hm", F.lit(True))
+        cold_side = keys.withColumn("_g", F.lit(0)).withColumn("_cm", F.lit(True))
+        joined = (flagged.join(F.broadcast(hot_side), key, "left")  # bounded by the hot keys
+                         .join(cold_side, [key, "_g"], "left"))
+        matched = F.coalesce(F.col("_hm"), F.col("_cm"), F.lit(False))
+        return (joined.filter(matched if how == "left_semi" else ~matched)
+                      .select(key, *[c for c in big.columns if c != key]))
+    others = [c for c in small.columns if c != key]
+    hot_side = (small.join(F.broadcast(hot), key, "left_semi")
+                     .select(key, *[F.col(c).alias(f"_h_{c}") for c in others], F.lit(True).alias("_hm")))
+    cold_side = small.withColumn("_g", F.lit(0)).withColumn("_cm", F.lit(True))
+    joined = (flagged.join(F.broadcast(hot_side), key, "left")  # hot keys x their rows: bounded
+                     .join(cold_side, [key, "_g"], "left"))
+    if how == "inner":
+        joined = joined.filter(F.coalesce(F.col("_hm"), F.col("_cm"), F.lit(False)))
+    return joined.select(key, *[c for c in big.columns if c != key],
+                         *[F.coalesce(F.col(f"_h_{c}"), F.col(c)).alias(c) for c in others])
+
+
+def balanced_join(big: DataFrame, small: DataFrame, key: str, how: str = "inner",
+                  max_broadcast_rows: int = 2_000_000, buckets: int = 32,
+                  max_hot: int = 1000) -> DataFrame:
+    """Join that neither shuffles a hot key into one task nor relies on
+    estimates: ``small`` is counted first (one job); up to
+    ``max_broadcast_rows`` rows it is broadcast — ``big`` is then streamed in
+    place, so hot keys do not matter — and beyond that the join is a
+    ``salted_join``. Use it where the other side is usually small (a product
+    dimension, the customers of a page) but is not bounded by construction.
+    """
+    if max_broadcast_rows > 0 and small.count() <= max_broadcast_rows:
+        return big.join(F.broadcast(small), key, how)
+    return salted_join(big, small, key, how, buckets, max_hot)

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions.dates import in_years, year_ranges
 from ..operators.materialize import materialize
-from ..operators.skew import salted_join
+from ..operators.skew import balanced_join
 from ..functions.predicates import (CHANNEL_PREFIXES, REGISTERED_GROUPS, exclude_channels,
                                     is_guest, is_registered)
 from .named import BRAND_ATTR, CATEGORY_ATTR
@@ -32,7 +32,7 @@ def item_sales_fact(T: dict[str, DataFrame], category_ids: Iterable[int], salt:
                     brand_attr: int = BRAND_ATTR,
                     channel_prefixes: Iterable[str] = CHANNEL_PREFIXES,
                     label_store: int = 0, years: Iterable[int] | None = None,
-                    hot_sku_buckets: int = 16) -> DataFrame:
+                    hot_sku_buckets: int = 16, max_broadcast_products: int = 2_000_000) -> DataFrame:
     """Order lines of ``category_ids`` with customer flags, salted e-mail
     hash (NULL e-mail gives NULL) and brand; marketplace orders removed.
 
@@ -41,10 +41,14 @@ def item_sales_fact(T: dict[str, DataFrame], category_ids: Iterable[int], salt:
     table's scan (row-group / partition pruning); the page filter
     ``filter_years`` on ``order_date`` then selects the same rows.
 
-    Products holding a large share of the lines (a best seller) are salted
-    over ``hot_sku_buckets`` join keys in the line-to-product join (see
-    ``operators.skew``): that join's product side comes out of other joins on
-    the product id, so AQE's skew split cannot apply to it. 0 turns it off.
+    The line-to-product join is size-checked (``operators.skew.balanced_join``):
+    the product side (products of the chosen categories with label and brand)
+    is counted, broadcast up to ``max_broadcast_products`` rows (the lines are
+    then never shuffled for it), and beyond that joined with products that
+    hold a large share of the lines (best sellers) salted over
+    ``hot_sku_buckets`` keys — that side comes out of other joins on the
+    product id, so AQE's skew split cannot apply to it. ``hot_sku_buckets=0``
+    leaves the join to Spark.
 
     ``detail='basic'``: the shorter projection without customer and brand
     columns, dated by the line's own timestamp when the line table has one
@@ -70,8 +74,8 @@ def item_sales_fact(T: dict[str, DataFrame], category_ids: Iterable[int], salt:
     if line_ts and detail != "full":
         item_cols.append(F.col("created_at").alias("line_created_at"))
     lines = items.select(*item_cols)
-    lines = (salted_join(lines, dims, "product_id", "inner", hot_sku_buckets) if hot_sku_buckets > 0
-             else lines.join(dims, "product_id"))
+    lines = (balanced_join(lines, dims, "product_id", "inner", max_broadcast_products, hot_sku_buckets)
+             if hot_sku_buckets > 0 else lines.join(dims, "product_id"))
 
     orders = T["sales_order"].filter(exclude_channels("increment_id", channel_prefixes))
     if years:
@@ -181,7 +185,8 @@ def customer_order_counts(df: DataFrame, email: str = "hashed_customer_email") -
 
 
 def filter_customer_status(df: DataFrame, customer_status: Sequence[str] | None,
-                           email: str = "hashed_customer_email", reuse: bool = True) -> DataFrame:
+                           email: str = "hashed_customer_email", reuse: bool = True,
+                           max_broadcast_emails: int = 2_000_000) -> DataFrame:
     """New = exactly one distinct order among the current rows, Returning =
     more than one. None, empty or both: no filter. NULL e-mails drop when the
     filter applies. Must run after the other filters (it reads their result).
@@ -202,9 +207,10 @@ def filter_customer_status(df: DataFrame, customer_status: Sequence[str] | None,
         return df.where(F.lit(False))
     df = materialize(df, reuse)
     keys = customer_order_counts(df, email).filter(keep).select(email)
-    # One row per e-mail on the right; an e-mail holding a large share of the
-    # rows (a shared or placeholder address) is salted on the left.
-    return salted_join(df, keys, email, "left_semi")
+    # One row per e-mail on the right: broadcast when the count allows, else
+    # an e-mail holding a large share of the rows (a shared or placeholder
+    # address) is salted on the left.
+    return balanced_join(df, keys, email, "left_semi", max_broadcast_emails)
 
 
 def add_sales_amount(df: DataFrame) -> DataFrame:

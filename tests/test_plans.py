@@ -55,8 +55,12 @@ def test_non_local_master_requires_shared_checkpoint_dir():
         ensure_checkpoint_dir(_S())
 
 
-def test_fact_product_join_is_salted_by_default(spark, tables):
-    plan = _formatted(facts.item_sales_fact(tables, [601, 602], "s"))
-    assert "_salt" in plan
+def test_fact_product_join_is_size_checked(spark, tables):
+    # small product side: broadcast after counting it, no salting needed
+    small = _formatted(facts.item_sales_fact(tables, [601, 602], "s"))
+    assert "_hm" not in small and "BroadcastHashJoin" in small
+    # product side over the bound: hot products are salted
+    big = _formatted(facts.item_sales_fact(tables, [601, 602], "s", max_broadcast_products=10))
+    assert "_g" in big and "_hm" in big
     plain = _formatted(facts.item_sales_fact(tables, [601, 602], "s", hot_sku_buckets=0))
-    assert "_salt" not in plain
+    assert "_hm" not in plain

@@ -13,18 +13,23 @@ from pyspark.sql import functions as F
 
 
 def token_membership_join(lines: DataFrame, dim: DataFrame, tokens: Column, dim_key: str,
-                          as_text: bool = True, token_col: str = "_token") -> DataFrame:
+                          as_text: bool = True, token_col: str = "_token",
+                          balanced: bool = True) -> DataFrame:
     """Rows of ``lines`` joined to ``dim`` rows whose key is one of ``tokens``.
 
     The list-membership theta join (``FIND_IN_SET(key, list)``) becomes
     explode + equi-join, so it runs as a hash/sort-merge join instead of a
     nested loop over every (line, rule) pair. With ``as_text`` the key is
-    compared as its decimal text (exact token match).
+    compared as its decimal text (exact token match). With ``balanced`` the
+    dimension is counted and broadcast when it fits, else a popular rule is
+    salted (``operators.skew.balanced_join``).
     """
+    from .skew import balanced_join
     exploded = lines.select("*", F.explode(tokens).alias(token_col))
     key = F.col(dim_key).cast("string") if as_text else F.col(dim_key)
     d = dim.withColumn(token_col, key)
-    return exploded.join(d, token_col).drop(token_col)
+    joined = balanced_join(exploded, d, token_col, "inner") if balanced else exploded.join(d, token_col)
+    return joined.drop(token_col)
 
 
 def range_overlap_join(facts: DataFrame, ranges: DataFrame, from_col: str, to_col: str,

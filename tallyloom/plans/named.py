@@ -20,6 +20,7 @@ from ..functions.money import money_avg, money_sum, ratio
 from ..functions.predicates import CHANNEL_PREFIXES, exclude_channels
 from ..functions.rules import exact_rule_tokens, parse_rule_ids
 from ..operators.joins import range_overlap_join, token_membership_join
+from ..operators.skew import balanced_join
 
 # Fixed values of the source schema (defaults, overridable): product
 # attribute ids of the category used by the sales fact, the category used by
@@ -116,7 +117,9 @@ def category_seasonality(T: dict[str, DataFrame], attribute_id: int = SEASONALIT
     orders = T["sales_order"].filter(F.col("state") == state).select(
         F.col("entity_id").alias("order_id"), "created_at")
     items = T["sales_item"].select("order_id", "product_id", "qty_ordered", "base_row_total")
-    lines = items.join(orders, "order_id").join(cat, "product_id")
+    # the category side is a product dimension: counted and broadcast when it
+    # fits, else joined with hot products salted
+    lines = balanced_join(items.join(orders, "order_id"), cat, "product_id", "inner")
     return (lines.groupBy("category_name", month_label("created_at").alias("month"))
                  .agg(F.count_distinct("order_id").alias("order_count"),
                       money_sum("qty_ordered").alias("units_sold"),

@@ -72,15 +72,18 @@ def result_table(spark: SparkSession, root: str | None, name: str, args: Mapping
         if now - built <= dt.timedelta(hours=max_age_hours) and _exists(spark, f"{base}/data"):
             return spark.read.parquet(f"{base}/data")
     df = build()
-    if df.isEmpty():  # not stored
-        return df
-    # Drop any stale metadata first, write data, then the metadata record.
+    # Drop any stale record first, write the data once, check the written copy
+    # (cheap) instead of computing the result twice; empty results are not kept.
     result_invalidate(spark, root, name, args)
     df.write.mode("overwrite").parquet(f"{base}/data")
+    stored = spark.read.parquet(f"{base}/data")
+    if stored.isEmpty():
+        result_invalidate(spark, root, name, args)
+        return df.where(F.lit(False))
     info = {"name": name, "args": json.dumps(dict(args or {}), sort_keys=True, default=str),
             "built_at": now.isoformat()}
     spark.createDataFrame([info]).coalesce(1).write.mode("overwrite").json(f"{base}/meta")
-    return spark.read.parquet(f"{base}/data")
+    return stored
 
 
 def result_invalidate(spark: SparkSession, root: str | None, name: str | None = None,

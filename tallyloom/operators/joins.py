@@ -1,9 +1,11 @@
 """Join building blocks.
 
-Only sides whose size is known up front (literal frames, top-n picks with a
-limit) are broadcast explicitly; for everything else the physical join is left
-to Spark, where AQE turns a sort-merge join into a broadcast join only after
-measuring the shuffled side, and splits skewed partitions of a sort-merge join.
+Explicit broadcasts are used only for sides whose size is known: literal
+frames, top-n picks with a limit, and sides counted just before the join
+(``operators.skew.balanced_join``). Other joins are left to Spark, where AQE
+turns a sort-merge join into a broadcast join only after measuring the
+shuffled side, and splits skewed partitions when both inputs are plain
+shuffles.
 """
 
 from __future__ import annotations

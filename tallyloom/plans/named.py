@@ -2,9 +2,9 @@
 
 ``T`` is the dict of shop tables from ``tallyloom.sources.tables``.
 Filters are written on stored columns (dates as ranges) so Catalyst pushes them
-into the scans; order-level joins shuffle on the order key once, dimension
-sides are left to AQE, which broadcasts them only when their measured size is
-under the threshold.
+into the scans; order-level joins shuffle on the order key once (AQE splits a
+skewed order key there); product and rule dimensions are counted and broadcast
+when they fit, else joined with hot keys salted (``operators.skew``).
 """
 
 from __future__ import annotations

@@ -25,10 +25,14 @@ def order_items(sales: DataFrame, item: str = "sku") -> DataFrame:
     return sales.filter(F.col(item).isNotNull()).select("order_id", F.col(item).alias("item")).distinct()
 
 
-def basket_item_support(sales: DataFrame, item: str = "sku") -> DataFrame:
-    """Per item: orders containing it and its share of all orders."""
-    n_orders = sales.select(F.count_distinct("order_id")).scalar()
-    oi = order_items(sales, item)
+def basket_item_support(sales: DataFrame, item: str = "sku", reuse: bool = True) -> DataFrame:
+    """Per item: orders containing it and its share of all orders. The
+    distinct (order, item) table feeds both the order total and the item
+    counts; with ``reuse`` it is checkpointed once instead of being rebuilt
+    from the lines twice."""
+    oi_all = materialize(sales.select("order_id", F.col(item).alias("item")).distinct(), reuse)
+    n_orders = oi_all.select(F.count_distinct("order_id")).scalar()
+    oi = oi_all.filter(F.col("item").isNotNull())
     return (oi.groupBy("item").agg(F.count("*").alias("order_count"))
               .withColumn("support", F.round(F.col("order_count") / n_orders, 9))
               .withColumnRenamed("item", item))

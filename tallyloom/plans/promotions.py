@@ -149,13 +149,14 @@ def kpi_promotions(stats: DataFrame, details: DataFrame, label: str,
     if start is not None and end is not None:
         d = d.filter((F.col("to_date") >= F.lit(str(start)).cast("date"))
                      & (F.col("from_date") <= F.lit(str(end)).cast("date")))
-    counts = d.agg(F.count_if(F.col("ctb_units_used") > 0).alias("used"),
-                   F.count_if(F.col("ctb_discount_amount") > 0).alias("funded"))
+    # one scalar subquery (a struct of both counts), evaluated once
+    counts = d.agg(F.struct(F.count_if(F.col("ctb_units_used") > 0).alias("used"),
+                            F.count_if(F.col("ctb_discount_amount") > 0).alias("funded"))).scalar()
     row = stats.filter(F.col("year") == label)
     return row.select(
         F.col("year").alias("label"),
         F.col("promotion_count").alias("total_promotions"),
-        counts.select("used").scalar().alias("used_promotions"),
-        counts.select("funded").scalar().alias("c2b_supported"),
+        counts.getField("used").alias("used_promotions"),
+        counts.getField("funded").alias("c2b_supported"),
         F.col("average_duration_days").alias("avg_duration_days"),
         F.col("max_duration_days"))

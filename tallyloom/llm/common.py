@@ -100,3 +100,56 @@ def mix64(x: np.ndarray) -> np.ndarray:
     x *= np.uint64(0xD6E8FEB86659FD93)
     x ^= x >> np.uint64(32)
     return x
+
+
+BASE = np.uint64(0x9E6C63D0876A3F35)
+BASE_INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
+_POWERS: dict[int, np.ndarray] = {}
+
+
+def powers(base: np.uint64, n: int) -> np.ndarray:
+    """``base ** 0 .. n - 1`` modulo 2**64, kept for the process up to the usual chunk."""
+    have = _POWERS.get(int(base))
+    if have is None or len(have) < n:
+        steps = np.full(max(n, CHUNK_BYTES + (CHUNK_BYTES >> 2)), base, np.uint64)
+        steps[0] = 1
+        have = np.multiply.accumulate(steps)
+        if n <= 4 * CHUNK_BYTES:
+            _POWERS[int(base)] = have
+    return have[:n]
+
+
+def prefix_hashes(values: np.ndarray) -> np.ndarray:
+    """Running sums of values times powers; ``span_hashes`` reads any span's hash from them."""
+    out = np.zeros(len(values) + 1, np.uint64)
+    np.cumsum(values * powers(BASE, len(values)), out=out[1:])
+    return out
+
+
+def span_hashes(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the values from start to end: equal for equal spans wherever they are."""
+    return mix64((sums[end] - sums[start]) * powers(BASE_INVERSE, len(sums))[start])
+
+
+BYTE_VALUES = mix64(np.arange(1, 257))
+
+
+def word_spans(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start and end of each word (a run without ``[\\x20\\x09-\\x0D]``), and each text's first word plus the end.
+
+    ``data`` holds all texts' bytes one after the other, ``starts`` each one's start plus the end.
+    """
+    solid = np.zeros(len(data) + 2, bool)
+    solid[1:-1] = ~((data == 32) | ((data >= 9) & (data <= 13)))
+    begin = solid[1:] & ~solid[:-1]
+    stop = solid[:-1] & ~solid[1:]
+    cuts = starts[1:-1]
+    cuts = cuts[(cuts > 0) & (cuts < len(data))]
+    both = cuts[solid[cuts] & solid[cuts + 1]]  # a word that ends at one text's end and one that starts the next
+    begin[both] = stop[both] = True
+    first, last = np.flatnonzero(begin), np.flatnonzero(stop)
+    return first, last, np.searchsorted(first, starts)
+
+
+def word_hashes(data: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    return span_hashes(prefix_hashes(BYTE_VALUES[data]), first, last)

@@ -9,6 +9,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tallyloom.llm.quality import score, train
+    docs = table(spark, sf_dir, "documents")
+    return score(docs, train(docs, table(spark, sf_dir, "labels")))
+
+
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labelled outcomes: ``labels.quality`` of the row whose doc_id is the page_id (0: a bad page)."""
+    from pyspark.sql import functions as F
+    from tallyloom.llm.url_filter import filter_urls
+    labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), (1 - F.col("quality")).alias("bad"))
+    return filter_urls(table(spark, sf_dir, "pages"), labels).select("page_id", "host", "path", "rule", "verdict")
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tallyloom.llm.exact_dedup import exact_dedup
     return exact_dedup(table(spark, sf_dir, "documents")).select(
@@ -22,9 +36,64 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
-QUERIES = {f.__name__: f for f in (op5_exact_dedup, op10_bpe)}
+QUERIES = {f.__name__: f for f in (
+    op2_quality, op4_url_filter, op5_exact_dedup, op10_bpe)}
 
 ORACLES = {
+    "op4_url_filter": r"""
+WITH cut AS (
+  SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages
+), u AS (
+  SELECT page_id,
+         translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path
+  FROM cut
+), o AS (
+  SELECT u.host, count(l.quality) AS n, coalesce(sum(1 - l.quality), 0) AS bad
+  FROM u LEFT JOIN labels l ON l.doc_id = u.page_id GROUP BY u.host
+), h AS (
+  SELECT *, array_to_string(list_slice(string_split(host, '.'), -2, -1), '.') AS domain,
+         array_to_string(list_slice(string_split(host, '.'), -1, -1), '.') AS suffix FROM o
+), d AS (
+  SELECT domain, suffix, sum(n) AS n, sum(bad) AS bad FROM h GROUP BY domain, suffix
+), s AS (
+  SELECT suffix, sum(n) AS n, sum(bad) AS bad FROM d GROUP BY suffix
+), levels AS (
+  SELECT 'h' AS level, n, bad FROM h UNION ALL SELECT 'd', n, bad FROM d UNION ALL SELECT 's', n, bad FROM s
+), moments AS (
+  SELECT level, sum(bad) / sum(n) AS m, avg(bad / n) AS r, avg((bad / n) * (bad / n)) AS rr, avg(1 / n) AS inv
+  FROM levels WHERE n > 0 GROUP BY level
+), spread AS (
+  SELECT level, m, rr - 2 * m * r + m * m - m * (1 - m) * inv AS v FROM moments
+), w AS (
+  SELECT level, CASE WHEN v > 1e-12 THEN least(greatest(m * (1 - m) / v - 1, 2.0::DOUBLE), 1000.0::DOUBLE) ELSE 1000.0 END AS w FROM spread
+), total AS (
+  SELECT (sum(bad) + 0.5) / (sum(n) + 1) AS mean FROM s
+), ps AS (
+  SELECT suffix, mean * x + bad AS a, (1 - mean) * x + n - bad AS b
+  FROM s, total, (SELECT coalesce(max(w), 2.0) AS x FROM w WHERE level = 's')
+), pd AS (
+  SELECT d.domain, ps.a / (ps.a + ps.b) * x + bad AS a, (1 - ps.a / (ps.a + ps.b)) * x + n - bad AS b
+  FROM d JOIN ps ON d.suffix = ps.suffix, (SELECT coalesce(max(w), 2.0) AS x FROM w WHERE level = 'd')
+), ph AS (
+  SELECT h.host, pd.a / (pd.a + pd.b) * x + bad AS a, (1 - pd.a / (pd.a + pd.b)) * x + n - bad AS b
+  FROM h JOIN pd ON h.domain = pd.domain, (SELECT coalesce(max(w), 2.0) AS x FROM w WHERE level = 'h')
+), judged AS (
+  SELECT u.page_id, u.host, u.path,
+         CASE WHEN (u.host = 'www.example.com' OR u.host LIKE '%.www.example.com') AND starts_with(path, '/en/') THEN 'www.example.com/en/'
+              WHEN (u.host = 'example.com' OR u.host LIKE '%.example.com') AND starts_with(path, '/en/') THEN 'example.com/en/'
+              WHEN (u.host = 'net' OR u.host LIKE '%.net') AND starts_with(path, '/es/') THEN 'net/es/'
+              WHEN (u.host = 'net' OR u.host LIKE '%.net') AND starts_with(path, '/fr/') THEN 'net/fr/'
+              WHEN (u.host = 'com' OR u.host LIKE '%.com') AND starts_with(path, '/') THEN 'com/' END AS rule,
+         a / (a + b) - 1.645 * sqrt(a * b / ((a + b) * (a + b) * (a + b + 1))) AS low
+  FROM u JOIN ph ON u.host = ph.host
+)
+SELECT page_id, host, path, rule,
+       CASE WHEN rule IN ('www.example.com/en/', 'com/') THEN 'allow'
+            WHEN rule IS NOT NULL THEN 'block'
+            WHEN low > 0.25 THEN 'block' ELSE 'allow' END AS verdict
+FROM judged
+""",
     "op5_exact_dedup": r"""
 WITH n AS (
   SELECT doc_id, length(coalesce(text, '')) AS chars,

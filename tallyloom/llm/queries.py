@@ -29,6 +29,18 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+    from tallyloom.llm.token_counts import document_token_counts
+    return document_token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tallyloom.llm.pii import digest, find_pii, train
+    docs = table(spark, sf_dir, "documents")
+    return digest(find_pii(docs, train(docs)))
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
     from tallyloom.llm.bpe import round_trip
@@ -37,7 +49,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op2_quality, op4_url_filter, op5_exact_dedup, op10_bpe)}
+    op2_quality, op4_url_filter, op5_exact_dedup, op6_token_counts, op9_pii, op10_bpe)}
 
 ORACLES = {
     "op4_url_filter": r"""

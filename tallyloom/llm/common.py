@@ -134,13 +134,18 @@ def span_hashes(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndar
 BYTE_VALUES = mix64(np.arange(1, 257))
 
 
-def word_spans(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start and end of each word (a run without ``[\\x20\\x09-\\x0D]``), and each text's first word plus the end.
+NOT_SPACE = np.ones(256, bool)
+NOT_SPACE[[9, 10, 11, 12, 13, 32]] = False
+
+
+def word_spans(data: np.ndarray, starts: np.ndarray, kept: np.ndarray = NOT_SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start and end of each word (a run of ``kept`` bytes, by default none of ``[\\x20\\x09-\\x0D]``),
+    and each text's first word plus the end.
 
     ``data`` holds all texts' bytes one after the other, ``starts`` each one's start plus the end.
     """
     solid = np.zeros(len(data) + 2, bool)
-    solid[1:-1] = ~((data == 32) | ((data >= 9) & (data <= 13)))
+    solid[1:-1] = kept[data]
     begin = solid[1:] & ~solid[:-1]
     stop = solid[:-1] & ~solid[1:]
     cuts = starts[1:-1]

@@ -35,6 +35,12 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return document_token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document and benchmark item it leaks, with the aligned passage."""
+    from tallyloom.llm.decontaminate import find_leaks
+    return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tallyloom.llm.pii import digest, find_pii, train
     docs = table(spark, sf_dir, "documents")
@@ -49,7 +55,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op2_quality, op4_url_filter, op5_exact_dedup, op6_token_counts, op9_pii, op10_bpe)}
+    op2_quality, op4_url_filter, op5_exact_dedup, op6_token_counts, op7_decontaminate, op9_pii, op10_bpe)}
 
 ORACLES = {
     "op4_url_filter": r"""

@@ -8,7 +8,8 @@ byte. No digest decides equality: texts are equal when every digit was equal.
 Scale: a round is one aggregation over (group, digit), combined before the
 shuffle, and one join with the groups that have at least two texts. These are
 written first, so the join reads two plain shuffles and a hot group (one text
-holding a third of all rows) is split by adaptive execution. A group's name is
+holding a third of all rows) is split by adaptive execution; the hint keeps this
+plan at every size, as the number of groups grows with the data. A group's name is
 its smallest row key, so no numbering pass is needed. Digits widen eightfold, so
 a text of n bytes takes about log8(n / 32) rounds; single texts leave at once.
 
@@ -53,7 +54,7 @@ def radix_classes(rows: DataFrame, scratch: Scratch, row: str, key: str) -> Data
             .agg(F.min(row).alias("__next"), F.count(F.lit(1)).alias("__size"))
             .where(F.col("__size") > 1)
             .select("__group", "__digit", "__next"), f"groups{level}")
-        sorted_ = split.join(groups, ["__group", "__digit"], "left").select(
+        sorted_ = split.join(groups.hint("merge"), ["__group", "__digit"], "left").select(
             row, *carried, F.col("__next"),
             F.when(F.octet_length("__digit") < width, F.lit(True)).otherwise(F.lit(False)).alias("__ended"),
             F.when(F.col("__next").isNotNull(), F.expr(f"substring({key}, {width + 1})")).alias(key))

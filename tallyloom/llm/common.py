@@ -46,14 +46,16 @@ class Scratch:
             self._fs().delete(self._path(f"{self.root}/{table}"), True)
 
 
-def with_row_id(docs: DataFrame, scratch: Scratch, columns: list[str], row: str) -> DataFrame:
-    """Write the named columns with a unique long row key ``row`` and reread them.
+def with_row_id(docs: DataFrame, scratch: Scratch, columns: list[str], row: str, stored: bool = False) -> DataFrame:
+    """The named columns with a unique long row key ``row``.
 
-    Document ids may be null or repeated, so joins use this key; the written
-    copy makes it the same in every later read and after a retry.
+    Document ids may be null or repeated, so joins use this key. The frame is
+    written and reread, which makes the key the same in every later read and
+    after a retry; ``stored`` says that ``docs`` is itself a plain read of files,
+    whose splits don't change, and saves that copy.
     """
     keyed = docs.select(*columns).withColumn(row, F.monotonically_increasing_id())
-    return scratch.write(keyed, "rows")
+    return keyed if stored else scratch.write(keyed, "rows")
 
 
 def free_name(df: DataFrame, wanted: str) -> str:
@@ -132,6 +134,7 @@ def span_hashes(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndar
 
 
 BYTE_VALUES = mix64(np.arange(1, 257))
+OTHER_VALUES = mix64(np.arange(1001, 1257))  # for a second, independent hash
 
 
 NOT_SPACE = np.ones(256, bool)
@@ -156,5 +159,5 @@ def word_spans(data: np.ndarray, starts: np.ndarray, kept: np.ndarray = NOT_SPAC
     return first, last, np.searchsorted(first, starts)
 
 
-def word_hashes(data: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
-    return span_hashes(prefix_hashes(BYTE_VALUES[data]), first, last)
+def word_hashes(data: np.ndarray, first: np.ndarray, last: np.ndarray, values: np.ndarray = BYTE_VALUES) -> np.ndarray:
+    return span_hashes(prefix_hashes(values[data]), first, last)

@@ -15,6 +15,11 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(docs, train(docs, table(spark, sf_dir, "labels")))
 
 
+def op3_recompression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tallyloom.llm.recompression import substring_dedup
+    return substring_dedup(table(spark, sf_dir, "documents"), stored=True).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labelled outcomes: ``labels.quality`` of the row whose doc_id is the page_id (0: a bad page)."""
     from pyspark.sql import functions as F
@@ -55,7 +60,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op2_quality, op4_url_filter, op5_exact_dedup, op6_token_counts, op7_decontaminate, op9_pii, op10_bpe)}
+    op2_quality, op3_recompression, op4_url_filter, op5_exact_dedup, op6_token_counts, op7_decontaminate, op9_pii, op10_bpe)}
 
 ORACLES = {
     "op4_url_filter": r"""

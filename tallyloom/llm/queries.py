@@ -46,6 +46,12 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's class of five-word shingle similarity 0.8 or more, and its number of links."""
+    from tallyloom.llm.jaccard_join import jaccard_classes
+    return jaccard_classes(table(spark, sf_dir, "documents"), stored=True).select("doc_id", "class_id", "n_links")
+
+
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tallyloom.llm.pii import digest, find_pii, train
     docs = table(spark, sf_dir, "documents")
@@ -60,7 +66,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op2_quality, op3_recompression, op4_url_filter, op5_exact_dedup, op6_token_counts, op7_decontaminate, op9_pii, op10_bpe)}
+    op2_quality, op3_recompression, op4_url_filter, op5_exact_dedup, op6_token_counts, op7_decontaminate, op8_jaccard_join, op9_pii, op10_bpe)}
 
 ORACLES = {
     "op4_url_filter": r"""

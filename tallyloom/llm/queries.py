@@ -9,6 +9,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+    from tallyloom.llm.suffix_dedup import suffix_dedup
+    found = suffix_dedup(table(spark, sf_dir, "documents"), stored=True)
+    return found.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"),
+                        F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tallyloom.llm.quality import score, train
     docs = table(spark, sf_dir, "documents")
@@ -66,7 +74,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op2_quality, op3_recompression, op4_url_filter, op5_exact_dedup, op6_token_counts, op7_decontaminate, op8_jaccard_join, op9_pii, op10_bpe)}
+    op1_suffix_dedup, op2_quality, op3_recompression, op4_url_filter, op5_exact_dedup, op6_token_counts, op7_decontaminate, op8_jaccard_join, op9_pii, op10_bpe)}
 
 ORACLES = {
     "op4_url_filter": r"""

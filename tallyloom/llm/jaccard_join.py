@@ -5,9 +5,10 @@ tokens. A run is a random tree: at each node every coordinate is chosen with
 probability 1 / (similarity x COORDINATES), by a hash of the node, and a set goes
 to the child named by its own token there. Sets that share a chosen token meet in
 the child. Nodes of one set die, nodes of up to ``LEAF`` sets are searched by
-brute force, larger ones are split further. A pair of the wanted similarity keeps
-meeting with probability one child a level, so a fixed share of the runs finds
-it; runs are repeated until the target recall (``runs_for``).
+brute force, larger ones are split further, ``MAX_DEPTH`` times at most. A pair of
+just the wanted similarity has one common child on average at each node it shares,
+so a fixed share of the runs finds it at that depth; runs are repeated until the
+target recall (``runs_for``).
 
 Leaves compare sketches and link sets that may be similar, with a margin of 3.6
 standard errors. The components of these links are then compared exactly, all
@@ -17,7 +18,8 @@ more is a link. Every pair is counted once, whatever number of leaves it met in.
 Scale: equal sets are one set with a count of copies, so a group of copies costs
 one row. Paths are shuffled without sketches, which only rows of shared nodes
 fetch. A leaf is walked breadth first and visited sets drop out, so a tight group
-costs about its size. Components larger than a block are compared block by
+costs about its size; leaves that stay larger are searched in pairs of blocks.
+Components larger than a block are compared block by
 block, each block pair a task; pairs themselves are never emitted, only each
 set's number of links and one link per set to its group's smallest member.
 
@@ -43,13 +45,13 @@ SIMILARITY = 0.8
 COORDINATES = 64
 TARGET_RECALL = 0.999
 LEAF = 20_000
-MAX_DEPTH = 6
+MAX_DEPTH = 3
 BLOCK_SETS, BLOCK_SHINGLES = 2000, 1 << 20
 LOOSE = SIMILARITY - 3.6 * math.sqrt(SIMILARITY * (1 - SIMILARITY) / COORDINATES)
 FACTORS = mix64(np.arange(1, COORDINATES + 1) * 7919) | np.uint64(1)
 
 
-def runs_for(recall: float, depth: int = 2) -> int:
+def runs_for(recall: float, depth: int = MAX_DEPTH) -> int:
     """Runs until a pair of just the wanted similarity meets at ``depth`` with probability ``recall``.
 
     Such a pair has about one common child (Poisson) at each node it shares.
@@ -180,6 +182,15 @@ def leaf_links(leaves: DataFrame) -> DataFrame:
     return leaves.select("path", "node", "tokens").repartition("path").sortWithinPartitions("path").mapInArrow(run, "a long, b long")
 
 
+def in_blocks(sized: DataFrame) -> DataFrame:
+    """(path, node) of the last leaves: those of more than ``LEAF`` sets in all pairs of blocks of half that size."""
+    blocks = F.ceil(F.col("size") * 2 / LEAF)
+    large = sized.where(F.col("size") > LEAF).withColumn("own", F.pmod(F.xxhash64("node"), blocks)).withColumn(
+        "other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
+    pairs = large.select(F.xxhash64("path", F.least("own", "other"), F.greatest("own", "other")).alias("path"), "node")
+    return sized.where(F.col("size") <= LEAF).select("path", "node").unionByName(pairs)
+
+
 def loose_components(sets: DataFrame, scratch: Scratch, runs: int) -> DataFrame:
     """(node, label) of the sets that some leaf links to another."""
     roots = [int(x) for x in mix64(np.arange(1, runs + 1) * 104729)]
@@ -187,7 +198,7 @@ def loose_components(sets: DataFrame, scratch: Scratch, runs: int) -> DataFrame:
     for depth in range(1, MAX_DEPTH + 1):
         sized = scratch.write(active.withColumn("size", F.count(F.lit(1)).over(Window.partitionBy("path")))
                               .where("size > 1"), f"paths{depth}")
-        ready = sized if depth == MAX_DEPTH else sized.where(F.col("size") <= LEAF)
+        ready = in_blocks(sized) if depth == MAX_DEPTH else sized.where(F.col("size") <= LEAF).select("path", "node")
         links.append(scratch.write(leaf_links(ready.join(sets.hint("merge"), "node")).distinct(), f"leaves{depth}"))
         large = sized.where(F.col("size") > LEAF)
         if depth == MAX_DEPTH or large.isEmpty():

@@ -7,7 +7,6 @@ lazy DataFrame; nothing is collected to the driver. Layout:
 - ``functions`` column expressions (rule-id parsing, buckets, predicates)
 - ``operators`` reusable distributed building blocks (top-k, joins, stats)
 - ``plans``     the named queries and analytics built from the above
-- ``streaming`` (empty on purpose: the analytics are batch only)
 """
 
 __version__ = "0.1.0"

@@ -1,11 +1,9 @@
 """Join building blocks.
 
-Explicit broadcasts are used only for sides whose size is known: literal
-frames, top-n picks with a limit, and sides counted just before the join
-(``operators.skew.balanced_join``). Other joins are left to Spark, where AQE
-turns a sort-merge join into a broadcast join only after measuring the
-shuffled side, and splits skewed partitions when both inputs are plain
-shuffles.
+The only explicit broadcast is of literal frames of labelled ranges, checked
+against a row bound. Other joins are left to Spark, where AQE turns a sort-merge
+join into a broadcast join only after measuring the shuffled side in bytes, and
+splits skewed partitions when both inputs are plain shuffles.
 """
 
 from __future__ import annotations
@@ -13,54 +11,48 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+MAX_RANGES = 1000
+
 
 def token_membership_join(lines: DataFrame, dim: DataFrame, tokens: Column, dim_key: str,
-                          as_text: bool = True, token_col: str = "_token",
-                          balanced: bool = True) -> DataFrame:
+                          as_text: bool = True, token_col: str = "_token") -> DataFrame:
     """Rows of ``lines`` joined to ``dim`` rows whose key is one of ``tokens``.
 
     The list-membership theta join (``FIND_IN_SET(key, list)``) becomes
     explode + equi-join, so it runs as a hash/sort-merge join instead of a
     nested loop over every (line, rule) pair. With ``as_text`` the key is
-    compared as its decimal text (exact token match). With ``balanced`` the
-    dimension is counted and broadcast when it fits, else a popular rule is
-    salted (``operators.skew.balanced_join``).
+    compared as its decimal text (exact token match). Both sides are plain
+    shuffles, so a popular rule is split by AQE.
     """
-    from .skew import balanced_join
     exploded = lines.select("*", F.explode(tokens).alias(token_col))
     key = F.col(dim_key).cast("string") if as_text else F.col(dim_key)
-    d = dim.withColumn(token_col, key)
-    joined = balanced_join(exploded, d, token_col, "inner") if balanced else exploded.join(d, token_col)
-    return joined.drop(token_col)
+    return exploded.join(dim.withColumn(token_col, key), token_col).drop(token_col)
 
 
 def range_overlap_join(facts: DataFrame, ranges: DataFrame, from_col: str, to_col: str,
-                       start_col: str, end_col: str, broadcast_ranges: bool = True) -> DataFrame:
+                       start_col: str, end_col: str) -> DataFrame:
     """Pairs (fact, range) whose [from, to] overlaps [start, end].
 
-    ``ranges`` is a small literal frame (a handful of labelled periods), so it
-    is broadcast and the join is a broadcast nested loop with cost
-    |facts| x |ranges|. NULL ends do not overlap (SQL comparison semantics).
+    ``ranges`` is a literal frame of labelled periods, at most ``MAX_RANGES``
+    rows (checked without a job: a literal frame knows its size), so it is
+    broadcast; the cost is |facts| x |ranges|. NULL ends do not overlap (SQL
+    comparison semantics).
     """
-    r = F.broadcast(ranges) if broadcast_ranges else ranges
+    size = ranges._jdf.queryExecution().optimizedPlan().maxRows()
+    if size.isEmpty() or size.get() > MAX_RANGES:
+        raise ValueError(f"ranges must be a literal frame of at most {MAX_RANGES} rows")
     cond = (F.col(to_col) >= F.col(start_col)) & (F.col(from_col) <= F.col(end_col))
-    return facts.join(r, cond, "inner")
-
+    return facts.join(F.broadcast(ranges), cond, "inner")
 
-def semi_join(df: DataFrame, keys: DataFrame, on, small: bool = False) -> DataFrame:
-    """Rows of ``df`` whose key appears in ``keys`` (``left_semi``).
 
-    ``small=True`` only when ``keys`` has a proven bound (e.g. a top-n pick).
-    """
-    k = F.broadcast(keys) if small else keys
-    return df.join(k, on, "left_semi")
+def semi_join(df: DataFrame, keys: DataFrame, on) -> DataFrame:
+    """Rows of ``df`` whose key appears in ``keys`` (``left_semi``)."""
+    return df.join(keys, on, "left_semi")
 
 
-def lookup_join(df: DataFrame, dim: DataFrame, on, value_cols: dict[str, object],
-                small: bool = False) -> DataFrame:
+def lookup_join(df: DataFrame, dim: DataFrame, on, value_cols: dict[str, object]) -> DataFrame:
     """Left join a lookup and default missing values (dict lookup with default)."""
-    d = F.broadcast(dim) if small else dim
-    out = df.join(d, on, "left")
+    out = df.join(dim, on, "left")
     for c, default in value_cols.items():
         out = out.withColumn(c, F.coalesce(F.col(c), F.lit(default)))
     return out

@@ -1,23 +1,17 @@
 """Joins that stay balanced when one key holds a large share of the rows.
 
-AQE splits a skewed sort-merge join only when both join inputs are plain
-shuffles; a join against an aggregate (keys with a status, a per-order table)
-or against the output of other joins is not split. ``salted_join`` handles
-those without changing the plan for ordinary keys:
+Adaptive execution splits a skewed sort-merge join when both sides are plain
+shuffles of their rows. The other side of a join against an aggregate (one row
+per key) has no shuffle of its own, so there nothing is split
+(``tests/test_skew.py`` shows both cases); ``salted_join`` is for those joins.
 
-- keys holding more than 1/``max_hot`` of the big side's rows are found with a
-  map-side-combined count, so at most ``max_hot`` keys qualify (a proven
-  bound);
-- rows of those hot keys are joined to the other side's rows for the same keys,
-  a broadcast of bounded size (hot keys x rows per key), in place — they are
-  never shuffled by key;
-- all other rows join the other side as usual (on key plus a constant), so
-  Spark/AQE still broadcasts the other side when its size allows; if that join
-  shuffles, the hot rows (which match nothing there) are spread over
-  ``buckets`` hash values instead of landing in one task.
-
-The result equals the plain join. The other side should have few rows per key
-(a dimension, a per-key status, at most n chosen items per order).
+- Rows with a null key match nothing: they are dropped from inner and semi joins
+  before any shuffle and pass the others beside the join.
+- Keys with more than ``1 / (8 x shuffle partitions)`` of the rows are found by
+  one count per key, combined before the shuffle; there are at most that many.
+- The hot keys' rows on the other side are copied once for each of as many
+  salts as there are shuffle partitions, and the hot rows get a salt by their
+  hash, so a hot key is joined by all tasks, whatever the number of rows.
 """
 
 from __future__ import annotations
@@ -26,59 +20,45 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def hot_keys(df: DataFrame, key: str, max_hot: int = 1000) -> DataFrame:
-    """Keys with more than 1/max_hot of the rows (at most max_hot keys)."""
-    counts = df.groupBy(key).agg(F.count("*").alias("_n"))
-    total = counts.agg(F.sum("_n")).scalar()  # same aggregate, reused by the planner
-    return counts.filter(F.col("_n") * F.lit(max_hot) > total).select(key)
+def spread(df: DataFrame) -> int:
+    """Ways to split a hot group: as many as there are shuffle partitions."""
+    return max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
+def hot_keys(df: DataFrame, key: str, max_hot: int | None = None) -> DataFrame:
+    """Non-null keys with more than 1/max_hot of the rows (at most max_hot keys).
+
+    The total is summed from the same per-key counts, whose shuffle is shared.
+    """
+    counts = df.select(key).where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("_n"))
+    total = counts.agg(F.sum("_n")).scalar()
+    return counts.filter(F.col("_n") * F.lit(max_hot or 8 * spread(df)) > total).select(key)
 
 
 def salted_join(big: DataFrame, small: DataFrame, key: str, how: str = "inner",
-                buckets: int = 32, max_hot: int = 1000) -> DataFrame:
+                buckets: int | None = None, max_hot: int | None = None) -> DataFrame:
     """``big.join(small, key, how)`` that stays balanced when ``big`` has hot keys.
 
     ``how`` is one of inner, left, left_semi, left_anti (joins whose result
-    rows are driven by ``big``).
+    rows are driven by ``big``). Lazy: no job runs here.
     """
     if how not in ("inner", "left", "left_outer", "left_semi", "left_anti"):
         raise ValueError(f"unsupported join type {how!r}")
-    hot = hot_keys(big, key, max_hot)
-    row_hash = F.xxhash64(*[F.col(c) for c in big.columns])
-    flagged = (big.join(F.broadcast(hot.withColumn("_hot", F.lit(True))), key, "left")  # <= max_hot rows
-                  .withColumn("_g", F.when(F.col("_hot"), 1 + F.pmod(row_hash, F.lit(buckets)))
-                              .otherwise(F.lit(0)))
-                  .drop("_hot"))
-    if how in ("left_semi", "left_anti"):
-        keys = small.select(key).distinct()
-        hot_side = keys.join(F.broadcast(hot), key, "left_semi").withColumn("_hm", F.lit(True))
-        cold_side = keys.withColumn("_g", F.lit(0)).withColumn("_cm", F.lit(True))
-        joined = (flagged.join(F.broadcast(hot_side), key, "left")  # bounded by the hot keys
-                         .join(cold_side, [key, "_g"], "left"))
-        matched = F.coalesce(F.col("_hm"), F.col("_cm"), F.lit(False))
-        return (joined.filter(matched if how == "left_semi" else ~matched)
-                      .select(key, *[c for c in big.columns if c != key]))
-    others = [c for c in small.columns if c != key]
-    hot_side = (small.join(F.broadcast(hot), key, "left_semi")
-                     .select(key, *[F.col(c).alias(f"_h_{c}") for c in others], F.lit(True).alias("_hm")))
-    cold_side = small.withColumn("_g", F.lit(0)).withColumn("_cm", F.lit(True))
-    joined = (flagged.join(F.broadcast(hot_side), key, "left")  # hot keys x their rows: bounded
-                     .join(cold_side, [key, "_g"], "left"))
-    if how == "inner":
-        joined = joined.filter(F.coalesce(F.col("_hm"), F.col("_cm"), F.lit(False)))
-    return joined.select(key, *[c for c in big.columns if c != key],
-                         *[F.coalesce(F.col(f"_h_{c}"), F.col(c)).alias(c) for c in others])
-
-
-def balanced_join(big: DataFrame, small: DataFrame, key: str, how: str = "inner",
-                  max_broadcast_rows: int = 2_000_000, buckets: int = 32,
-                  max_hot: int = 1000) -> DataFrame:
-    """Join that neither shuffles a hot key into one task nor relies on
-    estimates: ``small`` is counted first (one job); up to
-    ``max_broadcast_rows`` rows it is broadcast — ``big`` is then streamed in
-    place, so hot keys do not matter — and beyond that the join is a
-    ``salted_join``. Use it where the other side is usually small (a product
-    dimension, the customers of a page) but is not bounded by construction.
-    """
-    if max_broadcast_rows > 0 and small.count() <= max_broadcast_rows:
-        return big.join(F.broadcast(small), key, how)
-    return salted_join(big, small, key, how, buckets, max_hot)
+    ways = buckets or spread(big)
+    present = big.where(F.col(key).isNotNull())
+    hot = hot_keys(present, key, max_hot).withColumn("_hot", F.lit(True))
+    salt = F.pmod(F.xxhash64(*[F.col(c) for c in big.columns]), F.lit(ways))
+    marked = present.join(F.broadcast(hot), key, "left").withColumn(  # at most max_hot rows
+        "_salt", F.when(F.col("_hot"), salt).otherwise(F.lit(0).cast("long"))).drop("_hot")
+    other = small.select(key).distinct() if how in ("left_semi", "left_anti") else small
+    other = other.where(F.col(key).isNotNull()).join(F.broadcast(hot), key, "left")
+    salts = F.when(F.col("_hot"), F.sequence(F.lit(0).cast("long"), F.lit(ways - 1).cast("long"))).otherwise(
+        F.array(F.lit(0).cast("long")))
+    copies = other.withColumn("_salt", F.explode(salts)).drop("_hot")
+    joined = marked.join(copies, [key, "_salt"], how).drop("_salt")
+    if how in ("inner", "left_semi"):
+        return joined
+    beside = big.where(F.col(key).isNull())
+    if how == "left_anti":
+        return joined.unionByName(beside)
+    return joined.unionByName(beside, allowMissingColumns=True)

@@ -1,46 +1,62 @@
 """Summary statistics over chart-sized results.
 
-Exact percentiles (``percentile``, linear interpolation) keep a value map per
-group, so they are applied only to inputs whose size is bounded by a product or
-promotion selection (one row per chosen SKU or pair), never to raw lines.
+Exact percentiles (``percentile``, linear interpolation) are grouped aggregates:
+values are counted before the shuffle, and one row per group joins back. Counts
+and maxima over a frame are scalar aggregates; no window spans a whole frame.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 _QS = [0.0, 0.25, 0.5, 0.75, 1.0]
 
 
+def _values(long: DataFrame, group: str, value: str, clip_upper: float | None) -> DataFrame:
+    v = F.col(value)
+    if clip_upper is not None:
+        v = F.least(v, F.lit(float(clip_upper)))
+    return long.withColumn("_v", v.cast("double")).filter(F.col("_v").isNotNull())
+
+
+def _fences(vals: DataFrame, group: str, min_count: int) -> DataFrame:
+    """One row per group of at least ``min_count`` values: quantiles and fences.
+
+    Quantiles interpolate between inputs (fractions .25/.75), so they are kept
+    to 9 decimals: rounding them coarser would hit exact ties.
+    """
+    quantiles = vals.groupBy(group).agg(
+        F.count("_v").alias("n"), F.round(F.avg("_v"), 6).alias("mean"),
+        F.percentile("_v", F.array(*[F.lit(q) for q in _QS])).alias("_q")).filter(F.col("n") >= min_count)
+    five = quantiles.select(group, "n", "mean", *[
+        F.round(F.col("_q")[i], 9).alias(name) for i, name in enumerate(["min", "q1", "median", "q3", "max"])])
+    reach = 1.5 * (F.col("q3") - F.col("q1"))
+    return five.withColumn("lower_fence", F.round(F.col("q1") - reach, 9)).withColumn(
+        "upper_fence", F.round(F.col("q3") + reach, 9))
+
+
 def five_number_summary(long: DataFrame, group: str, value: str, min_count: int = 0,
                         clip_upper: float | None = None) -> DataFrame:
     """Per group: n, mean, min, q1, median, q3, max, 1.5-IQR fences and the
     number of values outside them. Groups with fewer than ``min_count``
     non-null values are dropped. ``clip_upper`` caps values first.
-
-    One pass: the quantiles are window aggregates over the group (the input is
-    selection-bounded), then a single aggregate counts the values outside the
-    fences — no self-join, so the input is not computed twice.
     """
-    v = F.col(value)
-    if clip_upper is not None:
-        v = F.least(v, F.lit(float(clip_upper)))
-    vals = long.select(F.col(group), v.cast("double").alias("_v")).filter(F.col("_v").isNotNull())
-    w = Window.partitionBy(group)
-    qs = F.percentile("_v", F.array(*[F.lit(q) for q in _QS])).over(w)
-    with_q = vals.withColumn("_q", qs)
-    # Quantiles interpolate between inputs (fractions .25/.75), so they are
-    # kept to 9 decimals: rounding them coarser would hit exact ties.
-    q = {name: F.round(F.col("_q")[i], 9) for i, name in enumerate(["min", "q1", "median", "q3", "max"])}
-    lo = F.round(q["q1"] - 1.5 * (q["q3"] - q["q1"]), 9)
-    hi = F.round(q["q3"] + 1.5 * (q["q3"] - q["q1"]), 9)
-    out = with_q.groupBy(group).agg(
-        F.count("_v").alias("n"), F.round(F.avg("_v"), 6).alias("mean"),
-        *[F.first(c).alias(name) for name, c in q.items()],
-        F.first(lo).alias("lower_fence"), F.first(hi).alias("upper_fence"),
-        F.count_if((F.col("_v") < lo) | (F.col("_v") > hi)).alias("outliers"))
-    return out.filter(F.col("n") >= min_count)
+    vals = _values(long, group, value, clip_upper)
+    fences = _fences(vals, group, min_count)
+    outside = (vals.select(group, "_v").join(fences, group)
+               .filter((F.col("_v") < F.col("lower_fence")) | (F.col("_v") > F.col("upper_fence")))
+               .groupBy(group).agg(F.count("*").alias("outliers")))
+    return fences.join(outside, group, "left").withColumn("outliers", F.coalesce("outliers", F.lit(0)).cast("long"))
+
+
+def outlier_rows(long: DataFrame, group: str, value: str, min_count: int = 0,
+                 clip_upper: float | None = None) -> DataFrame:
+    """The rows of ``long`` whose value lies outside its group's fences."""
+    vals = _values(long, group, value, clip_upper)
+    fences = _fences(vals, group, min_count).select(group, "lower_fence", "upper_fence")
+    return vals.join(fences, group).filter(
+        (F.col("_v") < F.col("lower_fence")) | (F.col("_v") > F.col("upper_fence"))).select(*long.columns)
 
 
 def relative_size(df: DataFrame, col: str, out: str) -> DataFrame:
@@ -53,7 +69,6 @@ def quantile_cap(df: DataFrame, col: str, q: float = 0.95, ceiling: float = 10.0
                  out: str | None = None) -> DataFrame:
     """``least(col, min(ceiling, quantile_q(col)))`` — an outlier-robust cap.
 
-    The quantile is a window aggregate over the whole (selection-bounded)
-    frame, computed in the same pass as the rows it caps."""
-    cap = F.round(F.least(F.lit(float(ceiling)), F.percentile(col, F.lit(q)).over(Window.partitionBy())), 9)
+    The quantile is a scalar aggregate over the frame."""
+    cap = df.agg(F.round(F.least(F.lit(float(ceiling)), F.percentile(col, F.lit(q))), 9)).scalar()
     return df.withColumn(out or f"{col}_display", F.least(F.col(col).cast("double"), cap))

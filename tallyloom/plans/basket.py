@@ -11,11 +11,11 @@ task. Direction is flipped to the higher-confidence side.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.materialize import materialize
-from ..operators.skew import salted_join
+from ..operators.skew import salted_join, spread
 from ..operators.stats import quantile_cap
 from ..operators.topk import top_k_per_group
 
@@ -25,11 +25,11 @@ def order_items(sales: DataFrame, item: str = "sku") -> DataFrame:
     return sales.filter(F.col(item).isNotNull()).select("order_id", F.col(item).alias("item")).distinct()
 
 
-def basket_item_support(sales: DataFrame, item: str = "sku", reuse: bool = True) -> DataFrame:
+def basket_item_support(sales: DataFrame, item: str = "sku", reuse: bool = False) -> DataFrame:
     """Per item: orders containing it and its share of all orders. The
     distinct (order, item) table feeds both the order total and the item
-    counts; with ``reuse`` it is checkpointed once instead of being rebuilt
-    from the lines twice."""
+    counts; with ``reuse`` it (two columns) is checkpointed in a job that runs
+    here, instead of being rebuilt from the lines twice."""
     oi_all = materialize(sales.select("order_id", F.col(item).alias("item")).distinct(), reuse)
     n_orders = oi_all.select(F.count_distinct("order_id")).scalar()
     oi = oi_all.filter(F.col("item").isNotNull())
@@ -39,47 +39,47 @@ def basket_item_support(sales: DataFrame, item: str = "sku", reuse: bool = True)
 
 
 def pair_counts(sales: DataFrame, products: DataFrame, item: str = "sku",
-                salt_buckets: int = 1) -> DataFrame:
+                salted: bool = False) -> DataFrame:
     """(a, b, pair_count) for chosen a and every other item b sharing an order.
 
-    ``salt_buckets > 1`` salts orders that hold a large share of the rows
-    (``operators.skew.salted_join``): their partner rows are spread over that
-    many join keys and their chosen rows (at most n per order) replicated.
+    ``salted`` spreads orders that hold a large share of the rows
+    (``operators.skew.salted_join``): their partner rows are dealt over salts
+    and their chosen rows (at most n per order) replicated.
     """
-    return _pairs_from(order_items(sales, item), products, item, salt_buckets)
+    return _pairs_from(order_items(sales, item), products, item, salted)
 
 
-def _pairs_from(oi: DataFrame, products: DataFrame, item: str, salt_buckets: int) -> DataFrame:
-    chosen = oi.join(F.broadcast(products.select(F.col(item).alias("item"))), "item", "left_semi") \
-               .withColumnRenamed("item", "a")
+def _pairs_from(oi: DataFrame, products: DataFrame, item: str, salted: bool) -> DataFrame:
+    chosen = oi.join(products.select(F.col(item).alias("item")), "item", "left_semi").withColumnRenamed("item", "a")
     partners = oi.withColumnRenamed("item", "b")
-    if salt_buckets > 1:
-        joined = salted_join(partners, chosen, "order_id", "inner", salt_buckets)
+    if salted:
+        joined = salted_join(partners, chosen, "order_id", "inner")
     else:
         joined = chosen.join(partners, "order_id")
     return (joined.filter(F.col("a") != F.col("b"))
                   .groupBy("a", "b").agg(F.count("*").alias("pair_count")))
 
 
-def top_partners(pairs: DataFrame, k: int = 5, buckets: int = 16) -> DataFrame:
+def top_partners(pairs: DataFrame, k: int = 5, buckets: int | None = None) -> DataFrame:
     """At most k partners per a, most shared orders first, ties by partner key."""
     return top_k_per_group(pairs, ["a"], [F.col("pair_count").desc(), F.col("b").asc()], k,
-                           spread_col="b", buckets=buckets)
+                           spread_col="b", buckets=buckets or spread(pairs))
 
 
 def basket_pairs(sales: DataFrame, products: DataFrame, item: str = "sku", partners: int = 5,
-                 salt_buckets: int = 1, reuse: bool = True) -> DataFrame:
+                 salted: bool = False, reuse: bool = False) -> DataFrame:
     """Rules for the chosen items, sorted by lift (highest first).
 
     The distinct (order, item) table feeds the order count, the item counts
-    and both sides of the pair join; with ``reuse`` it is checkpointed once
-    (shared checkpoint folder) instead of being rebuilt from the lines for
-    each of them."""
+    and both sides of the pair join; with ``reuse`` it (two columns) is
+    checkpointed in a job that runs here, instead of being rebuilt from the
+    lines for each of them. The counts are joined to the top partners, at most
+    ``partners`` rows per chosen item, which AQE broadcasts."""
     oi_all = materialize(sales.select("order_id", F.col(item).alias("item")).distinct(), reuse)
     n_orders = oi_all.select(F.count_distinct("order_id")).scalar().cast("double")
     oi = oi_all.filter(F.col("item").isNotNull())
     counts = oi.groupBy("item").agg(F.count("*").alias("cnt"))
-    top = top_partners(_pairs_from(oi, products, item, salt_buckets), partners)
+    top = top_partners(_pairs_from(oi, products, item, salted), partners)
     ca = counts.select(F.col("item").alias("a"), F.col("cnt").alias("ca"))
     cb = counts.select(F.col("item").alias("b"), F.col("cnt").alias("cb"))
     t = top.join(ca, "a").join(cb, "b")
@@ -103,8 +103,7 @@ def basket_pairs(sales: DataFrame, products: DataFrame, item: str = "sku", partn
 def basket_lift_display(pairs: DataFrame, min_pairs: int = 3, q: float = 0.95,
                         ceiling: float = 10.0) -> DataFrame:
     """Pairs with ``lift_display`` = lift capped at min(ceiling, q-quantile);
-    empty when fewer than ``min_pairs`` pairs. The pairs are bounded (n chosen
-    items x partners), so the count and quantile are whole-frame windows."""
-    n = F.count("*").over(Window.partitionBy())
-    return (quantile_cap(pairs, "lift", q, ceiling, "lift_display")
-            .withColumn("_n", n).filter(F.col("_n") >= min_pairs).drop("_n"))
+    empty when fewer than ``min_pairs`` pairs. Count and quantile are scalar
+    aggregates, so give it stored pairs, or they are computed three times."""
+    enough = pairs.agg(F.count("*") >= min_pairs).scalar()
+    return quantile_cap(pairs, "lift", q, ceiling, "lift_display").filter(enough)

@@ -7,13 +7,16 @@ formatting of user values into SQL).
 
 from __future__ import annotations
 
+import datetime as dt
 import re
 from collections.abc import Callable, Mapping, Sequence
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..sources import exports
 from ..sources.tables import register_views
-from . import named
+from . import facts, named
 
 QueryFn = Callable[..., DataFrame]
 
@@ -27,6 +30,8 @@ CATALOG: dict[str, QueryFn] = {
     "promotion_impact": named.promotion_impact,
     "product_counts_year": named.product_counts_year,
     "product_counts_cross_year": named.product_counts_cross_year,
+    "item_sales_fact": facts.item_sales_fact,
+    "item_sales_basic": partial(facts.item_sales_fact, detail="basic"),
 }
 
 
@@ -43,7 +48,26 @@ def run_query(T: dict[str, DataFrame], name: str, args: Mapping[str, object] | N
     return catalog[name](T, **dict(args or {}))
 
 
-_PCT_S = re.compile(r"%s")
+def export_query(T: dict[str, DataFrame], name: str, out_dir: str, args: Mapping[str, object] | None = None,
+                 fmt: str = "csv", when: dt.datetime | None = None,
+                 catalog: Mapping[str, QueryFn] = CATALOG) -> str | None:
+    """Run a named query and export its result, named after the query.
+
+    ``fmt``: csv, json, or csv+metadata (a block naming query and arguments above
+    the rows). Returns the path, or None for an empty result.
+    """
+    df = run_query(T, name, args, catalog)
+    if fmt == "csv":
+        return exports.export_csv(df, out_dir, name, when)
+    if fmt == "json":
+        return exports.export_json(df, out_dir, name, when)
+    if fmt == "csv+metadata":
+        return exports.export_with_metadata(df, out_dir, name, dict(args or {}), name, when)
+    raise ValueError(f"unknown export format {fmt!r}")
+
+
+# Quoted text and comments, which hold no placeholder, or a placeholder.
+_MARKS = re.compile(r"""'(?:[^'\\]|\\.)*'|"(?:[^"\\]|\\.)*"|`[^`]*`|--[^\n]*|/\*.*?\*/|%s""", re.DOTALL)
 
 
 def run_sql(spark: SparkSession, T: dict[str, DataFrame], text: str,
@@ -51,11 +75,11 @@ def run_sql(spark: SparkSession, T: dict[str, DataFrame], text: str,
     """Run SQL text over the shop tables with bound parameters.
 
     Named parameters use ``:name``; positional ones may be written ``?`` or
-    the DB-API ``%s`` (rewritten to ``?``).
+    the DB-API ``%s`` (rewritten to ``?`` outside quoted text and comments).
     """
     register_views(T)
     if params is None:
         return spark.sql(text)
     if isinstance(params, Mapping):
         return spark.sql(text, args=dict(params))
-    return spark.sql(_PCT_S.sub("?", text), args=list(params))
+    return spark.sql(_MARKS.sub(lambda m: "?" if m[0] == "%s" else m[0], text), args=list(params))

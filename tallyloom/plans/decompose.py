@@ -30,7 +30,7 @@ from ..functions.money import money_sum
 # Output decimals. The moving average of 4-decimal money over p months has at
 # most 7 decimals exactly (p <= 12, half weights), so 8 decimals never cut an
 # exact value on a tie: two engines that differ in the last bit still agree.
-DIGITS = 8
+MONEY_DIGITS, RATIO_DIGITS = 4, 8  # decimals kept of money and of multiplicative parts
 
 
 def monthly_series(sales: DataFrame, series_cols: Sequence[str] = (), measure: str = "sales_amount") -> DataFrame:
@@ -100,14 +100,15 @@ def seasonal_decompose(sales: DataFrame, model: str = "multiplicative", max_peri
                        min_periods: int = 12, series_cols: Sequence[str] = (),
                        measure: str = "sales_amount") -> DataFrame:
     """Rows (series..., month, idx, observed, trend, seasonal, resid, period)."""
+    digits = RATIO_DIGITS if model == "multiplicative" else MONEY_DIGITS
     s = _decompose_arrays(monthly_series(sales, series_cols, measure), model, max_period, min_periods)
     z = s.select(*series_cols, "p", F.posexplode(F.arrays_zip("months", "x", "trend", "seasonal", "resid"))
                  .alias("idx", "r"))
     return z.select(*series_cols, F.col("r.months").alias("month"), "idx",
                     F.col("r.x").alias("observed"),
-                    F.round("r.trend", DIGITS).alias("trend"),
-                    F.round("r.seasonal", DIGITS).alias("seasonal"),
-                    F.round("r.resid", DIGITS).alias("resid"),
+                    F.round("r.trend", MONEY_DIGITS).alias("trend"),
+                    F.round("r.seasonal", digits).alias("seasonal"),
+                    F.round("r.resid", digits).alias("resid"),
                     F.col("p").alias("period"))
 
 
@@ -118,4 +119,4 @@ def moving_trend(sales: DataFrame, max_period: int = 12, min_periods: int = 12,
     s = _trend_arrays(s, max_period)
     z = s.select(*series_cols, F.posexplode(F.arrays_zip("months", "tr")).alias("idx", "r"))
     return z.select(*series_cols, F.col("r.months").alias("month"), "idx",
-                    F.round("r.tr", DIGITS).alias("trend"))
+                    F.round("r.tr", MONEY_DIGITS).alias("trend"))

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions.dates import in_years, year_ranges
 from ..operators.materialize import materialize
-from ..operators.skew import balanced_join
+from ..operators.skew import salted_join
 from ..functions.predicates import (CHANNEL_PREFIXES, REGISTERED_GROUPS, exclude_channels,
                                     is_guest, is_registered)
 from .named import BRAND_ATTR, CATEGORY_ATTR
@@ -31,8 +31,7 @@ def item_sales_fact(T: dict[str, DataFrame], category_ids: Iterable[int], salt:
                     detail: str = "full", category_attr: int = CATEGORY_ATTR,
                     brand_attr: int = BRAND_ATTR,
                     channel_prefixes: Iterable[str] = CHANNEL_PREFIXES,
-                    label_store: int = 0, years: Iterable[int] | None = None,
-                    hot_sku_buckets: int = 16, max_broadcast_products: int = 2_000_000) -> DataFrame:
+                    label_store: int = 0, years: Iterable[int] | None = None) -> DataFrame:
     """Order lines of ``category_ids`` with customer flags, salted e-mail
     hash (NULL e-mail gives NULL) and brand; marketplace orders removed.
 
@@ -41,14 +40,9 @@ def item_sales_fact(T: dict[str, DataFrame], category_ids: Iterable[int], salt:
     table's scan (row-group / partition pruning); the page filter
     ``filter_years`` on ``order_date`` then selects the same rows.
 
-    The line-to-product join is size-checked (``operators.skew.balanced_join``):
-    the product side (products of the chosen categories with label and brand)
-    is counted, broadcast up to ``max_broadcast_products`` rows (the lines are
-    then never shuffled for it), and beyond that joined with products that
-    hold a large share of the lines (best sellers) salted over
-    ``hot_sku_buckets`` keys — that side comes out of other joins on the
-    product id, so AQE's skew split cannot apply to it. ``hot_sku_buckets=0``
-    leaves the join to Spark.
+    The joins are left to AQE: the product side (products of the chosen
+    categories with label and brand) is broadcast when its measured bytes allow,
+    else best sellers are split as skewed partitions. No job runs here.
 
     ``detail='basic'``: the shorter projection without customer and brand
     columns, dated by the line's own timestamp when the line table has one
@@ -73,9 +67,7 @@ def item_sales_fact(T: dict[str, DataFrame], category_ids: Iterable[int], salt:
                  "base_discount_amount", "base_row_total_incl_tax", "applied_rule_ids"]
     if line_ts and detail != "full":
         item_cols.append(F.col("created_at").alias("line_created_at"))
-    lines = items.select(*item_cols)
-    lines = (balanced_join(lines, dims, "product_id", "inner", max_broadcast_products, hot_sku_buckets)
-             if hot_sku_buckets > 0 else lines.join(dims, "product_id"))
+    lines = items.select(*item_cols).join(dims, "product_id")
 
     orders = T["sales_order"].filter(exclude_channels("increment_id", channel_prefixes))
     if years:
@@ -185,15 +177,14 @@ def customer_order_counts(df: DataFrame, email: str = "hashed_customer_email") -
 
 
 def filter_customer_status(df: DataFrame, customer_status: Sequence[str] | None,
-                           email: str = "hashed_customer_email", reuse: bool = True,
-                           max_broadcast_emails: int = 2_000_000) -> DataFrame:
+                           email: str = "hashed_customer_email", reuse: bool = False) -> DataFrame:
     """New = exactly one distinct order among the current rows, Returning =
     more than one. None, empty or both: no filter. NULL e-mails drop when the
     filter applies. Must run after the other filters (it reads their result).
 
     The rows are read twice (to count orders per e-mail, then to keep the
-    matching rows); with ``reuse`` they are checkpointed once to the shared
-    checkpoint folder instead of being recomputed from the sources."""
+    matching rows). With ``reuse`` they are checkpointed first, in a job that
+    runs here; select the columns that are needed before."""
     if not customer_status:
         return df
     wanted = set(customer_status)
@@ -207,10 +198,9 @@ def filter_customer_status(df: DataFrame, customer_status: Sequence[str] | None,
         return df.where(F.lit(False))
     df = materialize(df, reuse)
     keys = customer_order_counts(df, email).filter(keep).select(email)
-    # One row per e-mail on the right: broadcast when the count allows, else
-    # an e-mail holding a large share of the rows (a shared or placeholder
-    # address) is salted on the left.
-    return balanced_join(df, keys, email, "left_semi", max_broadcast_emails)
+    # The keys are an aggregate, which AQE doesn't split a join against: an
+    # e-mail with a large share of the rows (a placeholder address) is salted.
+    return salted_join(df, keys, email, "left_semi")
 
 
 def add_sales_amount(df: DataFrame) -> DataFrame:
@@ -222,7 +212,7 @@ def add_sales_amount(df: DataFrame) -> DataFrame:
 def apply_filters(fact: DataFrame, categories: Iterable[int] | None = None, discount_free: bool = False,
                   years: Iterable[int] | None = None, customer_types: Sequence[str] | None = None,
                   customer_status: Sequence[str] | None = None,
-                  registered_groups: Iterable[int] = REGISTERED_GROUPS, reuse: bool = True) -> DataFrame:
+                  registered_groups: Iterable[int] = REGISTERED_GROUPS, reuse: bool = False) -> DataFrame:
     """All page filters in their fixed order: category, discount, year,
     customer type, then New/Returning (which depends on the rows left)."""
     out = filter_categories(fact, categories)

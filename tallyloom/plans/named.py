@@ -3,8 +3,8 @@
 ``T`` is the dict of shop tables from ``tallyloom.sources.tables``.
 Filters are written on stored columns (dates as ranges) so Catalyst pushes them
 into the scans; order-level joins shuffle on the order key once (AQE splits a
-skewed order key there); product and rule dimensions are counted and broadcast
-when they fit, else joined with hot keys salted (``operators.skew``).
+skewed order key there); product and rule dimensions are broadcast by AQE when
+their measured bytes allow. No function here runs a job.
 """
 
 from __future__ import annotations
@@ -20,7 +20,6 @@ from ..functions.money import money_avg, money_sum, ratio
 from ..functions.predicates import CHANNEL_PREFIXES, exclude_channels
 from ..functions.rules import exact_rule_tokens, parse_rule_ids
 from ..operators.joins import range_overlap_join, token_membership_join
-from ..operators.skew import balanced_join
 
 # Fixed values of the source schema (defaults, overridable): product
 # attribute ids of the category used by the sales fact, the category used by
@@ -75,9 +74,11 @@ def promotion_details(T: dict[str, DataFrame], start, end) -> DataFrame:
 
 def date_ranges(spark, ranges: Sequence[tuple[str, str, str]]) -> DataFrame:
     """Small literal frame of labelled ranges: (label, start_date, end_date, ord)."""
-    rows = [(label, _dt.date.fromisoformat(str(s)), _dt.date.fromisoformat(str(e)), i + 1)
-            for i, (label, s, e) in enumerate(ranges)]
-    return spark.createDataFrame(rows, "label string, start_date date, end_date date, ord int")
+    rows, values = [], {}
+    for i, (label, start, end) in enumerate(ranges):
+        rows.append(f"SELECT :label{i} AS label, :start{i} AS start_date, :end{i} AS end_date, {i + 1} AS ord")
+        values |= {f"label{i}": label, f"start{i}": _dt.date.fromisoformat(str(start)), f"end{i}": _dt.date.fromisoformat(str(end))}
+    return spark.sql(" UNION ALL ".join(rows), args=values)
 
 
 def promotion_duration_stats(T: dict[str, DataFrame], ranges: Sequence[tuple[str, str, str]]) -> DataFrame:
@@ -117,9 +118,7 @@ def category_seasonality(T: dict[str, DataFrame], attribute_id: int = SEASONALIT
     orders = T["sales_order"].filter(F.col("state") == state).select(
         F.col("entity_id").alias("order_id"), "created_at")
     items = T["sales_item"].select("order_id", "product_id", "qty_ordered", "base_row_total")
-    # the category side is a product dimension: counted and broadcast when it
-    # fits, else joined with hot products salted
-    lines = balanced_join(items.join(orders, "order_id"), cat, "product_id", "inner")
+    lines = items.join(orders, "order_id").join(cat, "product_id")
     return (lines.groupBy("category_name", month_label("created_at").alias("month"))
                  .agg(F.count_distinct("order_id").alias("order_count"),
                       money_sum("qty_ordered").alias("units_sold"),
@@ -171,19 +170,24 @@ def promotion_impact(T: dict[str, DataFrame], as_of, match: str = "exact",
                    .orderBy(F.col("total_revenue").desc()))
 
 
-def _sold_in(T: dict[str, DataFrame], years: Iterable[int],
+def _lines_of(T: dict[str, DataFrame], products: DataFrame) -> DataFrame:
+    """(order_id, product_id) of the lines of ``products``: other products' lines
+    drop before the order join."""
+    return T["sales_item"].select("order_id", "product_id").join(
+        products.select("product_id"), "product_id", "left_semi")
+
+
+def _sold_in(T: dict[str, DataFrame], products: DataFrame, years: Iterable[int],
              channel_prefixes: Iterable[str]) -> DataFrame:
-    """Distinct orders per product among kept orders in ``years``.
+    """Distinct orders per product of ``products`` among kept orders in ``years``.
 
-    Written as an inner join of lines with the (year-pruned) orders, then
-    distinct (product, order) counted per product: lines of other years never
-    reach the shuffle.
+    The products' lines are joined with the (year-pruned) orders, then distinct
+    (product, order) counted per product.
     """
     orders = (T["sales_order"]
               .filter(exclude_channels("increment_id", channel_prefixes) & in_years("created_at", years))
               .select(F.col("entity_id").alias("order_id")))
-    items = T["sales_item"].select("order_id", "product_id")
-    return (items.join(orders, "order_id")
+    return (_lines_of(T, products).join(orders, "order_id")
                  .groupBy("product_id")
                  .agg(F.count_distinct("order_id").alias("order_count")))
 
@@ -204,7 +208,7 @@ def product_counts_year(T: dict[str, DataFrame], year: int, category_ids: Iterab
     """Per category: products existing by ``year``, sold that year, sold in
     exactly one order, unsold."""
     base = _products_existing(T, category_ids, year, attr)
-    per_product = (base.join(_sold_in(T, [year], channel_prefixes), "product_id", "left")
+    per_product = (base.join(_sold_in(T, base, [year], channel_prefixes), "product_id", "left")
                        .withColumn("order_count", F.coalesce("order_count", F.lit(0))))
     pid = F.col("product_id")
     n = F.col("order_count")
@@ -228,7 +232,7 @@ def product_counts_cross_year(T: dict[str, DataFrame], years: Iterable[int], cat
     orders = (T["sales_order"]
               .filter(exclude_channels("increment_id", channel_prefixes) & in_years("created_at", years))
               .select(F.col("entity_id").alias("order_id"), F.year("created_at").alias("sales_year")))
-    per_year = (T["sales_item"].select("order_id", "product_id").join(orders, "order_id")
+    per_year = (_lines_of(T, base).join(orders, "order_id")
                 .groupBy("product_id", "sales_year")
                 .agg(F.count_distinct("order_id").alias("order_count")))
     per_product = per_year.groupBy("product_id").agg(F.sum("order_count").alias("total_orders"))

@@ -6,7 +6,9 @@ gaps are taken between consecutive days of a SKU: that window holds at most one
 row per calendar day per SKU, however many lines a SKU has. The gap multiset is
 the same as the line-level one: the first line of a day carries the gap from
 the previous day, the other lines of that day carry 0. Mean and sample
-standard deviation of the gaps then follow from exact integer sums.
+standard deviation of the gaps then follow from exact integer sums; those of the
+quantities from each day's count, mean and squared deviations, merged around the
+SKU's mean, which stays exact for large quantities.
 """
 
 from __future__ import annotations
@@ -15,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.money import MONEY, money_sum
-from ..operators.stats import five_number_summary
+from ..operators.stats import five_number_summary, outlier_rows, relative_size
 from ..operators.topk import pick_n
 
 
@@ -65,9 +67,9 @@ def _day_rows(sales: DataFrame) -> DataFrame:
     price = F.coalesce(F.col("base_price").try_cast("double"), F.lit(0.0))
     return sales.groupBy("sku", "order_date").agg(
         F.count("*").alias("line_count"),
-        F.count("*").alias("q_n"), F.sum(q).alias("q_sum"), F.sum(q * q).alias("q_sq"),
+        F.avg(q).alias("q_mean"), (F.var_pop(q) * F.count("*")).alias("q_dev"),
         F.sum(F.col("sales_amount").cast(MONEY)).alias("rev"),
-        F.count("*").alias("p_n"), F.sum(price).alias("p_sum"))
+        F.sum(price.cast(MONEY)).alias("p_sum"))
 
 
 def _with_gaps(daily: DataFrame) -> DataFrame:
@@ -101,23 +103,25 @@ def rotation_metrics(sales: DataFrame, products: DataFrame | None = None) -> Dat
     single line drop. CV days = sd/mean if mean > 0 and more than one gap,
     else 0; CV quantity = sd/mean if mean > 0 else 0; one gap gives sd 0.
 
-    One pass over the lines: every statistic is summed per (SKU, day) first,
-    then per SKU; sample variances come from sums and sums of squares (exact
-    integer arithmetic for the day gaps).
+    One pass over the lines: every statistic is reduced per (SKU, day) first,
+    then per SKU (at most one row per calendar day each).
     """
     lines = sales
     if products is not None:
-        # ``products`` is a bounded pick (``select_products``), so it is broadcast
-        lines = lines.join(F.broadcast(products.select("sku")), "sku", "left_semi")
-    days = _with_gaps(_day_rows(lines))
+        lines = lines.join(products.select("sku"), "sku", "left_semi")
+    whole = Window.partitionBy("sku")
+    n_day = F.col("line_count")
+    days = (_with_gaps(_day_rows(lines))
+            .withColumn("_mean", F.sum(n_day * F.col("q_mean")).over(whole) / F.sum(n_day).over(whole))
+            .withColumn("_off", F.col("q_mean") - F.col("_mean")))
     m = days.groupBy("sku").agg(
         F.sum("line_count").alias("order_count"),
         F.sum("gap_sum").cast("bigint").alias("g_sum"),
         F.sum(F.col("gap_sum").cast("bigint") * F.col("gap_sum")).alias("g_sq"),
         F.sum("gap_count").cast("bigint").alias("g_n"),
-        F.sum("q_n").alias("q_n"), F.sum("q_sum").alias("q_sum"), F.sum("q_sq").alias("q_sq"),
+        F.first("_mean").alias("q_mean"), F.sum(F.col("q_dev") + n_day * F.col("_off") * F.col("_off")).alias("q_dev"),
         F.round(F.sum("rev"), 4).cast("double").alias("total_revenue"),
-        F.sum("p_n").alias("p_n"), F.sum("p_sum").alias("p_sum")).filter(F.col("order_count") > 1)
+        F.sum("p_sum").alias("p_sum")).filter(F.col("order_count") > 1)
     n = F.col("g_n").cast("double")
     mean_d = F.col("g_sum") / n
     # sample variance from exact integer sums: (n*sum_sq - sum^2) / (n*(n-1))
@@ -125,10 +129,8 @@ def rotation_metrics(sales: DataFrame, products: DataFrame | None = None) -> Dat
                          (F.col("g_n") * (F.col("g_n") - 1)).cast("double"))
     sd_d = F.when(F.col("g_n") > 1, F.sqrt(var_d)).otherwise(F.lit(0.0))
     cv_d = F.when((mean_d > 0) & (F.col("g_n") > 1), sd_d / mean_d).otherwise(F.lit(0.0))
-    qn = F.col("q_n").cast("double")
-    avg_q = F.col("q_sum") / qn
-    var_q = F.greatest(F.lit(0.0), (F.col("q_sq") - F.col("q_sum") * F.col("q_sum") / qn) / (qn - 1))
-    sd_q = F.when(F.col("q_n") > 1, F.sqrt(var_q)).otherwise(F.lit(0.0))
+    avg_q = F.col("q_mean")
+    sd_q = F.sqrt(F.col("q_dev") / (F.col("order_count") - 1))  # more than one line each
     cv_q = F.when(avg_q > 0, sd_q / avg_q).otherwise(F.lit(0.0))
     return m.select(
         "sku",
@@ -139,7 +141,7 @@ def rotation_metrics(sales: DataFrame, products: DataFrame | None = None) -> Dat
         F.round(cv_d, 6).alias("days_coefficient_of_variation"),
         F.round(cv_q, 6).alias("quantity_coefficient_of_variation"),
         "total_revenue",
-        F.round(F.col("p_sum") / F.col("p_n"), 6).alias("base_price"),
+        F.round(F.col("p_sum").cast("double") / F.col("order_count"), 6).alias("base_price"),
         "order_count")
 
 
@@ -151,26 +153,30 @@ def rotation_variance(metrics: DataFrame, kind: str = "days") -> DataFrame:
                   .withColumn("std_deviation", F.col(f"{kind}_std"))
 
 
+def _long_metrics(metrics: DataFrame) -> DataFrame:
+    return metrics.select("sku", F.stack(F.lit(2), F.lit("avg_days_between_orders"), F.col("avg_days_between_orders"),
+                                         F.lit("avg_quantity_per_order"), F.col("avg_quantity_per_order"))
+                          .alias("metric", "value"))
+
+
 def rotation_distribution(metrics: DataFrame, min_skus: int = 5) -> DataFrame:
     """Five-number summary, IQR fences and outlier count of mean gap days and
     mean quantity over SKUs; no rows when fewer than ``min_skus`` SKUs."""
-    long = metrics.select(F.stack(F.lit(2), F.lit("avg_days_between_orders"), F.col("avg_days_between_orders"),
-                                  F.lit("avg_quantity_per_order"), F.col("avg_quantity_per_order"))
-                          .alias("metric", "value"))
-    return five_number_summary(long, "metric", "value", min_count=min_skus)
+    return five_number_summary(_long_metrics(metrics), "metric", "value", min_count=min_skus)
+
+
+def rotation_outliers(metrics: DataFrame, min_skus: int = 5) -> DataFrame:
+    """The SKUs outside the fences of ``rotation_distribution``, with their value."""
+    return outlier_rows(_long_metrics(metrics), "metric", "value", min_count=min_skus).select("metric", "sku", "value")
 
 
 def rotation_bubble(metrics: DataFrame, kind: str = "days", min_skus: int = 5) -> DataFrame:
     """Chart table: x = mean gap, y = mean quantity, size =
     sqrt(price / max price) * 80 + 20, colour = CV of ``kind``; empty when
     fewer than ``min_skus`` SKUs."""
-    m = rotation_variance(metrics, kind)
-    # metrics of a product pick (bounded): count and max as whole-frame windows
-    whole = Window.partitionBy()
-    m = (m.withColumn("_n", F.count("*").over(whole))
-          .withColumn("size_rel", F.try_divide(F.col("base_price").cast("double"),
-                                               F.max("base_price").over(whole).cast("double"))))
-    return (m.filter(F.col("_n") >= min_skus)
+    m = relative_size(rotation_variance(metrics, kind), "base_price", "size_rel")
+    enough = metrics.agg(F.count("*") >= min_skus).scalar()
+    return (m.filter(enough)
             .select("sku", F.col("avg_days_between_orders").alias("x"),
                     F.col("avg_quantity_per_order").alias("y"),
                     F.round(F.sqrt("size_rel") * 80 + 20, 6).alias("size"),

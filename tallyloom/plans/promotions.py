@@ -25,6 +25,7 @@ from ..functions.money import MONEY
 from ..functions.rules import parse_rule_ids
 from ..operators.topk import order_for
 
+ORIGINAL_PRICE = "base_original_price"
 PROMO_ATTRS = ("rule_id", "name", "discount_amount", "ctb_discount_used", "ctb_units_used",
                "from_date", "to_date")
 
@@ -62,7 +63,9 @@ def promotion_metrics(sales: DataFrame, promotions: DataFrame) -> DataFrame:
     """Every used promotion (0 when no line matched) with revenue, line and
     item counts, distinct SKUs, its attributes, duration (+1 day), units per
     day, average price per item and margin (revenue - discount spent);
-    ordered by revenue, highest first."""
+    ordered by revenue, highest first. The average price is the mean
+    ``base_original_price`` over the lines listing the promotion when the lines
+    have that column, else revenue per item."""
     base = used_promotions(promotions).select(*PROMO_ATTRS)
     att = attribution(sales, promotions)
     m = base.join(att, "rule_id", "left")
@@ -71,7 +74,7 @@ def promotion_metrics(sales: DataFrame, promotions: DataFrame) -> DataFrame:
     duration = F.datediff("to_date", "from_date") + 1
     revenue = F.round(rev, 4).cast("double")
     item_count = F.round(items, 4).cast("double")
-    return m.select(
+    metrics = m.select(
         "rule_id",
         revenue.alias("revenue"),
         F.coalesce(F.col("order_count"), F.lit(0)).cast("bigint").alias("order_count"),
@@ -84,7 +87,12 @@ def promotion_metrics(sales: DataFrame, promotions: DataFrame) -> DataFrame:
         F.round(revenue / F.when(item_count == 0, F.lit(1.0)).otherwise(item_count), 6)
          .alias("avg_price_per_item"),
         F.round(rev - F.col("ctb_discount_used").cast(MONEY), 4).cast("double").alias("profit_margin"),
-    ).orderBy(F.col("revenue").desc(), F.col("rule_id"))
+    )
+    if ORIGINAL_PRICE in sales.columns:
+        price = F.coalesce("_price", F.lit(0.0)).alias("avg_price_per_item")
+        metrics = metrics.join(_original_prices(sales).withColumnRenamed("avg_price_per_item", "_price"), "rule_id", "left").select(
+            *[price if c == "avg_price_per_item" else c for c in metrics.columns])
+    return metrics.orderBy(F.col("revenue").desc(), F.col("rule_id"))
 
 
 def promotion_revenue(sales: DataFrame, promotions: DataFrame) -> DataFrame:
@@ -98,18 +106,22 @@ def promotion_avg_original_price(sales: DataFrame, metrics: DataFrame) -> DataFr
     """Per promotion in ``metrics``: mean ``base_original_price`` over lines
     listing it (every parsed token, duplicates kept; 0 when none), or, when
     the lines carry no such column, revenue / items (items 0 counts as 1)."""
-    if "base_original_price" not in sales.columns:
+    if ORIGINAL_PRICE not in sales.columns:
         return metrics.select("rule_id", F.round(
             F.col("revenue") / F.when(F.col("item_count") == 0, F.lit(1.0)).otherwise(F.col("item_count")), 6
         ).alias("avg_price_per_item"))
+    return (metrics.select("rule_id").join(_original_prices(sales), "rule_id", "left")
+                   .withColumn("avg_price_per_item", F.coalesce("avg_price_per_item", F.lit(0.0))))
+
+
+def _original_prices(sales: DataFrame) -> DataFrame:
+    """(rule_id, avg_price_per_item): mean original price of the lines listing each rule."""
     priced = sales.filter(F.col("base_original_price").isNotNull())
     per_text = priced.groupBy("applied_rule_ids").agg(
         F.sum(F.col("base_original_price").cast(MONEY)).alias("s_price"), F.count("*").alias("n"))
     tok = per_text.select("s_price", "n", F.explode(parse_rule_ids("applied_rule_ids")).alias("rule_id"))
-    avg = tok.groupBy("rule_id").agg(
+    return tok.groupBy("rule_id").agg(
         F.round(F.sum("s_price").cast("double") / F.sum("n"), 6).alias("avg_price_per_item"))
-    return (metrics.select("rule_id").join(avg, "rule_id", "left")
-                   .withColumn("avg_price_per_item", F.coalesce("avg_price_per_item", F.lit(0.0))))
 
 
 def select_promotions(metrics: DataFrame, n: int, how: str = "top", seed: int = 42) -> DataFrame:
@@ -157,6 +169,6 @@ def kpi_promotions(stats: DataFrame, details: DataFrame, label: str,
         F.col("year").alias("label"),
         F.col("promotion_count").alias("total_promotions"),
         counts.getField("used").alias("used_promotions"),
-        counts.getField("funded").alias("c2b_supported"),
+        counts.getField("funded").alias("externally_funded"),
         F.col("average_duration_days").alias("avg_duration_days"),
         F.col("max_duration_days"))

@@ -8,6 +8,7 @@ arguments of FIXTURES.md. Nothing here subsets rows: work grows with the data.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -62,9 +63,22 @@ def _sql_params(T):
         {"state": "processing", "min_paid": 1000})
 
 
+CATALOG_ARGS = {
+    "monthly_sales_trend": {"state": "complete"}, "sales_by_day_hour": {}, "campaign_timings": {"as_of": AS_OF},
+    "promotion_details": {"start": PERIOD_START, "end": PERIOD_END}, "promotion_duration_stats": {"ranges": RANGES},
+    "category_seasonality": {"attribute_id": 80}, "promotion_impact": {"as_of": AS_OF},
+    "product_counts_year": {"year": YEARS[0], "category_ids": CATEGORIES},
+    "product_counts_cross_year": {"years": YEARS, "category_ids": CATEGORIES},
+    "item_sales_fact": {"category_ids": CATEGORIES, "salt": SALT}, "item_sales_basic": {"category_ids": CATEGORIES, "salt": SALT},
+}
+
+
 @query("query_catalog")
 def _query_catalog(T):
-    return catalog.run_query(T, "monthly_sales_trend", {"state": "complete"})
+    """Every named query, called by name: its number of rows."""
+    counts = [catalog.run_query(T, name, args).agg(F.count("*").alias("n_rows")).select(F.lit(name).alias("query"), "n_rows")
+              for name, args in CATALOG_ARGS.items()]
+    return reduce(DataFrame.unionByName, counts)
 
 
 @query("monthly_sales_trend")
@@ -122,15 +136,15 @@ def fact(T):
     return facts.item_sales_fact(T, CATEGORIES, SALT)
 
 
-def sales_lines(T, reuse: bool = False):
+def sales_lines(T, *reuse: str):
     """The filtered sales lines used by the analytics pages (years,
-    categories); the fact prunes orders by year at the scan. With ``reuse``
-    the lines are checkpointed once for operators that read them several
-    times."""
+    categories); the fact prunes orders by year at the scan. With columns named
+    in ``reuse``, just these are checkpointed, for operators that read the lines
+    several times."""
     from ..operators.materialize import materialize
     lines = facts.apply_filters(facts.item_sales_fact(T, CATEGORIES, SALT, years=YEARS),
                                 categories=CATEGORIES, years=YEARS)
-    return materialize(lines, reuse)
+    return materialize(lines.select(*reuse), True) if reuse else lines
 
 
 @query("item_sales_fact")
@@ -181,20 +195,29 @@ def _apply_filters(T):
 
 @query("normalise_lines")
 def _normalise_lines(T):
-    return facts.normalise_lines(fact(T))
+    """The fact with amounts as text, some of them no number, some missing."""
+    item = F.col("item_id")
+    text = fact(T).select(*[
+        F.when(item % 7 == i, F.lit("n/a")).when(item % 11 == i, F.lit(None)).otherwise(F.col(c).cast("string")).alias(c)
+        if (i := facts.NUMERIC_COLS.index(c) if c in facts.NUMERIC_COLS else -1) >= 0 else F.col(c) for c in facts.FACT_COLS])
+    return facts.normalise_lines(text).withColumn("sales_amount", F.round("sales_amount", 6))
 
 
 @query("require_columns")
 def _require_columns(T):
-    return facts.require_columns(fact(T), ["sku", "order_id", "applied_rule_ids"])
+    """Rows left when all wanted columns are there, and when one is missing."""
+    wanted = ["sku", "order_id", "applied_rule_ids"]
+    count = lambda df, case: facts.require_columns(df, wanted).agg(F.count("*").alias("n_rows")).select(
+        F.lit(case).alias("case"), "n_rows")
+    return count(fact(T), "present").unionByName(count(fact(T).drop("applied_rule_ids"), "missing"))
 
 
 @query("join_isin_set")
 def _join_isin_set(T):
-    """Lines of the 50 top-revenue SKUs (a bounded set, broadcast)."""
-    s = sales_lines(T, reuse=True)
+    """Lines of the 50 top-revenue SKUs."""
+    s = sales_lines(T)
     top = products.select_products(s, 50, "top")
-    return semi_join(s, top.select("sku"), "sku", small=True)
+    return semi_join(s, top.select("sku"), "sku")
 
 
 # ---------------------------------------------------------------- step 3
@@ -313,7 +336,7 @@ def _rotation_variance(T):
 
 
 def _rotation_selected(T, n):
-    s = sales_lines(T, reuse=True)
+    s = sales_lines(T, "sku", "order_date", "qty_ordered", "base_price", "sales_amount")
     return products.rotation_metrics(s, products.select_products(s, n, "top"))
 
 
@@ -322,6 +345,11 @@ def _rotation_distribution(T):
     return products.rotation_distribution(_rotation_selected(T, 300))
 
 
+@query("rotation_outliers")
+def _rotation_outliers(T):
+    return products.rotation_outliers(_rotation_selected(T, 300))
+
+
 @query("rotation_bubble")
 def _rotation_bubble(T):
     return products.rotation_bubble(_rotation_selected(T, 150), "days")
@@ -329,10 +357,11 @@ def _rotation_bubble(T):
 
 # ---------------------------------------------------------------- step 4
 from . import basket, promotions, sensitivity  # noqa: E402
+from ..operators.materialize import materialize  # noqa: E402
 from ..functions.rules import discount_bucket, parse_rule_ids  # noqa: E402
 from ..operators.stats import relative_size  # noqa: E402
 
-N_PROMOTIONS = 20   # promotions per chart (the source's slider picks 50-250)
+N_PROMOTIONS = 150  # promotions per chart (source default)
 N_BASKET = 15       # items per basket (source default)
 N_SENSITIVITY = 300  # products per sensitivity chart (source default)
 
@@ -355,6 +384,13 @@ def _promotion_metrics(T):
     return metrics(T)
 
 
+@query("promotion_metrics_original_price")
+def _promotion_metrics_original_price(T):
+    """Lines that carry an original price: it gives the average price."""
+    return promotions.promotion_metrics(sales_lines(T).withColumn(
+        "base_original_price", F.when(F.col("item_id") % 5 > 0, F.col("base_price") + 1)), T["promotion"])
+
+
 @query("promotion_revenue")
 def _promotion_revenue(T):
     return promotions.promotion_revenue(sales_lines(T), T["promotion"])
@@ -389,7 +425,9 @@ def _promotion_bubble(T):
 
 @query("floor_positive")
 def _floor_positive(T):
-    return sales_lines(T).filter(F.col("sales_amount") > 0)
+    """Lines with a positive net amount; every third line was refunded twice over."""
+    net = F.col("sales_amount") - F.when(F.col("item_id") % 3 == 0, 2 * F.col("base_row_total_incl_tax")).otherwise(0.0)
+    return sales_lines(T).withColumn("sales_amount", F.round(net, 6)).filter(F.col("sales_amount") > 0)
 
 
 @query("join_merge_left")
@@ -422,7 +460,7 @@ def _kpi_promotions_combined(T):
 
 # ---------------------------------------------------------------- step 6
 def basket_items(T, key="sku"):
-    s = sales_lines(T, reuse=True)
+    s = sales_lines(T, "order_id", key, "sales_amount")
     return s, products.select_products(s, N_BASKET, "top", key=key)
 
 
@@ -431,24 +469,22 @@ def _basket_item_support(T):
     return basket.basket_item_support(sales_lines(T))
 
 
-# The lines are already checkpointed by ``basket_items``: the basket's own
-# order-item table is cheap to rebuild from them (reuse=False).
 @query("basket_pairs")
 def _basket_pairs(T):
     s, chosen = basket_items(T)
-    return basket.basket_pairs(s, chosen, reuse=False)
+    return basket.basket_pairs(s, chosen)
 
 
 @query("basket_pairs_brand")
 def _basket_pairs_brand(T):
     s, chosen = basket_items(T, "brand_id")
-    return basket.basket_pairs(s, chosen, item="brand_id", reuse=False)
+    return basket.basket_pairs(s, chosen, item="brand_id")
 
 
 @query("basket_pairs_salted")
 def _basket_pairs_salted(T):
     s, chosen = basket_items(T, "brand_id")
-    return basket.basket_pairs(s, chosen, item="brand_id", salt_buckets=4, reuse=False)
+    return basket.basket_pairs(s, chosen, item="brand_id", salted=True)
 
 
 @query("join_self_pairs")
@@ -466,13 +502,13 @@ def _top_partners(T):
 @query("basket_lift_display")
 def _basket_lift_display(T):
     s, chosen = basket_items(T, "brand_id")
-    return basket.basket_lift_display(basket.basket_pairs(s, chosen, item="brand_id", reuse=False))
+    return basket.basket_lift_display(materialize(basket.basket_pairs(s, chosen, item="brand_id"), True))
 
 
 @query("quantile_cap")
 def _quantile_cap(T):
     s, chosen = basket_items(T, "brand_id")
-    pairs = basket.basket_pairs(s, chosen, item="brand_id", reuse=False)
+    pairs = basket.basket_pairs(s, chosen, item="brand_id")
     return pairs.agg(F.round(F.least(F.lit(10.0), F.percentile("lift", F.lit(0.95))), 9).alias("lift_cap"))
 
 
@@ -501,8 +537,11 @@ def _join_map_lookup(T):
     return lookup_join(tok, sensitivity.rule_discount_lookup(T["promotion"]), "rule_id", {"discount": 0.0})
 
 
+SENSITIVITY_COLS = ("sku", "order_date", "qty_ordered", "applied_rule_ids", "base_row_total_incl_tax", "sales_amount")
+
+
 def _sensitivity(T):
-    s = sales_lines(T, reuse=True)
+    s = sales_lines(T, *SENSITIVITY_COLS)
     return sensitivity.discount_sensitivity(s, T["promotion"], sensitivity_products(s))
 
 
@@ -518,7 +557,7 @@ def _fill_missing_buckets(T):
 
 @query("promo_only_products")
 def _promo_only_products(T):
-    s = sales_lines(T, reuse=True)
+    s = sales_lines(T, *SENSITIVITY_COLS)
     return sensitivity.promo_only_products(s, T["promotion"], sensitivity_products(s))
 
 
@@ -574,9 +613,10 @@ def _result_table(T):
     spark = T["sales_order"].sparkSession
     root = _scratch(spark, "results")
     build = lambda: named.monthly_sales_trend(T)
-    results.result_table(spark, root, "monthly_sales_trend", {"state": "complete"}, build)
-    # second call is served from the stored table
-    return results.result_table(spark, root, "monthly_sales_trend", {"state": "complete"}, build)
+    store = lambda: results.result_table(
+        spark, root, "monthly_sales_trend", {"state": "complete"}, build, source="driver tables")
+    store()
+    return store()  # the second call is served from the stored table
 
 
 @query("result_invalidate")
@@ -610,22 +650,40 @@ def _export_with_metadata(T):
     spark = T["sales_order"].sparkSession
     df = named.monthly_sales_trend(T)
     path = exports.export_with_metadata(df, _scratch(spark, "exports"), "SELECT month, orders\nFROM sales",
-                                        None, None, EXPORT_TIME)
-    return spark.read.option("header", True).csv(path)
+                                        {"state": "complete"}, None, EXPORT_TIME)
+    names = ["Metadata", "Value", *df.columns]
+    return spark.read.schema(", ".join(f"`{c}` string" for c in names)).csv(path)
+
+
+def _read_back(df, path, case):
+    """(case, folder, n_rows) of an export, from the files it wrote; no rows for a path of None."""
+    read = df.sparkSession.read.schema(df.schema).option("header", True)
+    rows = read.csv(path).select(F.col("_metadata.file_path").alias("file")) if path else df.select(
+        F.lit(None).cast("string").alias("file")).where(F.lit(False))
+    return rows.agg(F.max(F.element_at(F.split("file", "/"), -2)).alias("folder"), F.count("*").alias("n_rows")).select(
+        F.lit(case).alias("case"), "folder", "n_rows")
 
 
 @query("export_naming")
 def _export_naming(T):
-    return T["promotion"].select("rule_id", exports.export_name_col("name", EXPORT_TIME.strftime("%Y%m%d_%H%M%S"))
-                                 .alias("export_name"))
+    """Folder names of exports named by hand, after the query text, and by default."""
+    df = named.promotion_details(T, PERIOD_START, PERIOD_END)
+    root = _scratch(df.sparkSession, "exports")
+    cases = {"given": ("Résumé: 50% off/2000", None), "query": (None, "  SELECT *, max(x) FROM sales_order o\nWHERE 1"),
+             "default": (None, None)}
+    return reduce(DataFrame.unionByName, [
+        _read_back(df, exports.export_csv(df, f"{root}/{case}", base, EXPORT_TIME, text), case)
+        for case, (base, text) in cases.items()])
 
 
 @query("export_empty")
 def _export_empty(T):
-    spark = T["sales_order"].sparkSession
-    empty = named.promotion_details(T, "1900-01-01", "1900-12-31")
-    assert exports.export_csv(empty, _scratch(spark, "exports"), "nothing") is None
-    return empty
+    """An export without rows leaves nothing; the control beside it does."""
+    root = _scratch(T["sales_order"].sparkSession, "exports")
+    periods = {"empty": ("1900-01-01", "1900-12-31"), "control": (PERIOD_START, PERIOD_END)}
+    return reduce(DataFrame.unionByName, [
+        _read_back(df := named.promotion_details(T, *period), exports.export_csv(df, root, case, EXPORT_TIME), case)
+        for case, period in periods.items()])
 
 
 @query("filter_flags")

@@ -75,7 +75,7 @@ def _col(label: str) -> str:
 def sku_sensitivity_row(sales: DataFrame, promotions: DataFrame, products: DataFrame) -> DataFrame:
     """One row per chosen SKU with sales: baseline quantity/days and, per
     bucket and overall, promoted quantity and days."""
-    lines = sales.join(F.broadcast(products.select("sku")), "sku", "left_semi")  # bounded pick
+    lines = sales.join(products.select("sku"), "sku", "left_semi")
     rows = _day_text_kinds(lines, promotions)
     k, q = F.col("kind"), F.col("qty")
     day_aggs = [F.sum(F.when(k == BASELINE, q)).alias("bq"), F.count(F.when(k == BASELINE, 1)).alias("bn"),

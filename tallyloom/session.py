@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import os
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -35,17 +35,18 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
     if shuffle_partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     spark = builder.getOrCreate()
-    if spark.sparkContext.master.startswith("local"):
+    if re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
         ensure_checkpoint_dir(spark)
     return spark
 
 
-def ensure_checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> str:
+def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Use the cluster's shared ``spark.checkpoint.dir``; set one only if unset.
 
-    A fallback folder is created only for local masters (tests, a laptop);
-    on a cluster a machine-local folder would not be visible to other
-    executors, so an unset ``spark.checkpoint.dir`` is an error there.
+    A folder is created only for ``local`` masters (tests, a laptop), whose
+    executor is the driver itself; on a cluster a machine-local folder would not
+    be visible to other executors, so an unset ``spark.checkpoint.dir`` is an
+    error there.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
@@ -53,10 +54,9 @@ def ensure_checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> s
         if not sc.getCheckpointDir():
             sc.setCheckpointDir(current)
         return current
-    if fallback is None and not sc.master.startswith("local"):
+    if not re.fullmatch(r"local(\[.*\])?", sc.master):
         raise RuntimeError("spark.checkpoint.dir is not set: configure a folder on shared storage "
                            "(HDFS, object store) that every executor can reach")
-    path = fallback or tempfile.mkdtemp(prefix="tallyloom-ckpt-")
-    os.makedirs(path, exist_ok=True)
+    path = tempfile.mkdtemp(prefix="tallyloom-ckpt-")
     sc.setCheckpointDir(path)
     return path

@@ -2,10 +2,12 @@
 
 ``result_table`` returns a stored result when one exists for the same name and
 arguments and is younger than ``max_age_hours``; otherwise it builds the
-DataFrame, writes it as Parquet under ``{root}/{key}/data`` and then writes a
-one-row metadata record (``{root}/{key}/meta``); a result counts only once its
-metadata exists, so a half-written result is never read. Empty results are
-not stored. Reading the stored table back also cuts the lineage of long plans.
+DataFrame, writes it as Parquet to a new version folder under ``{root}/{key}``
+and then switches the one-row record (``{root}/{key}/meta``) to it, so a
+half-written result is never read and a reader of the version before keeps its
+files (``result_invalidate`` removes all versions). The key holds the name, the
+arguments and ``source``, which names the data read. Empty results are not
+stored. Reading the stored table back also cuts the lineage of long plans.
 
 ``root`` must be a folder every executor can reach (the cluster's shared
 storage, e.g. under ``spark.checkpoint.dir``), never a machine-local folder.
@@ -16,18 +18,19 @@ from __future__ import annotations
 import datetime as dt
 import hashlib
 import json
+import uuid
 from collections.abc import Callable, Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .exports import file_stem
 
-def result_key(name: str, args: Mapping[str, object] | None = None) -> str:
-    """Stable key: readable name prefix + md5 of name and sorted arguments."""
-    payload = json.dumps({"name": name, "args": dict(sorted((args or {}).items()))},
-                         sort_keys=True, default=str)
-    clean = "".join(c if c.isalnum() else "_" for c in name)[:60]
-    return f"{clean}-{hashlib.md5(payload.encode()).hexdigest()}"
+
+def result_key(name: str, args: Mapping[str, object] | None = None, source: str = "") -> str:
+    """Stable key: readable name prefix + md5 of name, arguments and data source."""
+    payload = json.dumps([name, source, dict(args or {})], sort_keys=True, default=str)
+    return f"{file_stem(name)[:60]}-{hashlib.md5(payload.encode()).hexdigest()}"
 
 
 def default_root(spark: SparkSession) -> str:
@@ -61,47 +64,39 @@ def _read_meta(spark: SparkSession, base: str):
 
 def result_table(spark: SparkSession, root: str | None, name: str, args: Mapping[str, object] | None,
                  build: Callable[[], DataFrame], max_age_hours: float = 24.0,
-                 now: dt.datetime | None = None) -> DataFrame:
-    """Fresh stored result for (name, args), else build, store and return it."""
+                 now: dt.datetime | None = None, source: str = "") -> DataFrame:
+    """Fresh stored result for (name, args, source), else build, store and return it.
+
+    ``source`` names the data the result is built from (a path and its version)."""
     root = root or default_root(spark)
-    base = f"{root.rstrip('/')}/{result_key(name, args)}"
+    base = f"{root.rstrip('/')}/{result_key(name, args, source)}"
     now = now or dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)
     meta = _read_meta(spark, base)
     if meta is not None:
         built = dt.datetime.fromisoformat(meta["built_at"])
-        if now - built <= dt.timedelta(hours=max_age_hours) and _exists(spark, f"{base}/data"):
-            return spark.read.parquet(f"{base}/data")
+        if now - built <= dt.timedelta(hours=max_age_hours) and _exists(spark, meta["data"]):
+            return spark.read.parquet(meta["data"])
     df = build()
-    # Drop any stale record first, write the data once, check the written copy
-    # (cheap) instead of computing the result twice; empty results are not kept.
-    result_invalidate(spark, root, name, args)
-    df.write.mode("overwrite").parquet(f"{base}/data")
-    stored = spark.read.parquet(f"{base}/data")
+    # Write the data once and check the written copy (cheap) instead of
+    # computing the result twice; empty results are not kept.
+    data = f"{base}/data-{uuid.uuid4().hex}"
+    df.write.parquet(data)
+    stored = spark.read.parquet(data)
     if stored.isEmpty():
-        result_invalidate(spark, root, name, args)
+        result_invalidate(spark, root, name, args, source)
         return df.where(F.lit(False))
     info = {"name": name, "args": json.dumps(dict(args or {}), sort_keys=True, default=str),
-            "built_at": now.isoformat()}
+            "built_at": now.isoformat(), "data": data}
     spark.createDataFrame([info]).coalesce(1).write.mode("overwrite").json(f"{base}/meta")
     return stored
 
 
 def result_invalidate(spark: SparkSession, root: str | None, name: str | None = None,
-                      args: Mapping[str, object] | None = None) -> bool:
-    """Drop one stored result (name + args) or, with no name, all of them."""
+                      args: Mapping[str, object] | None = None, source: str = "") -> bool:
+    """Drop one stored result (name, args, source) or, with no name, all of them."""
     root = root or default_root(spark)
-    target = root if name is None else f"{root.rstrip('/')}/{result_key(name, args)}"
+    target = root if name is None else f"{root.rstrip('/')}/{result_key(name, args, source)}"
     fs, p = _fs(spark, target)
     if not fs.exists(p):
         return False
     return bool(fs.delete(p, True))
-
-
-def result_built_at(spark: SparkSession, root: str | None, name: str,
-                    args: Mapping[str, object] | None = None) -> DataFrame:
-    """The stored metadata record (empty when there is none)."""
-    root = root or default_root(spark)
-    base = f"{root.rstrip('/')}/{result_key(name, args)}"
-    if not _exists(spark, f"{base}/meta"):
-        return spark.createDataFrame([], "name string, args string, built_at string")
-    return spark.read.json(f"{base}/meta").select("name", "args", F.col("built_at"))

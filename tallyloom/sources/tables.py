@@ -62,17 +62,9 @@ def register_views(tables: dict[str, DataFrame]) -> None:
         df.createOrReplaceTempView(name)
 
 
-_READS: dict[tuple[int, str], DataFrame] = {}
-
-
 def read_source(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """Lazy read of a driver table; the DataFrame (its file listing and
-    footer-derived schema) is reused within a session."""
-    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
-    key = (id(spark._jsparkSession), path)
-    if key not in _READS:
-        _READS[key] = spark.read.parquet(path)
-    return _READS[key]
+    """Lazy read of a driver table."""
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
 # Category option ids by part type. Fixed values of the test mapping

@@ -1,10 +1,8 @@
 """Hand-sized frames for attribution, rotation, basket, sensitivity, plus
-invariants; expected values come from plain-Python models of the per-row
-rules (SURVEY §2.9)."""
+invariants; expected values are worked out by hand (SURVEY §2.9)."""
 
 import datetime as dt
 import math
-import statistics
 
 import pytest
 from pyspark.sql import functions as F
@@ -20,21 +18,6 @@ PROMO_SCHEMA = ("rule_id long, name string, discount_amount double, ctb_discount
                 "ctb_units_used long, from_date date, to_date date")
 
 
-def _parse(text):
-    if not text:
-        return []
-    out = []
-    for part in text.split(","):
-        p = part.strip()
-        if p.startswith("c-"):
-            p = p[2:]
-        try:
-            out.append(int(p))
-        except ValueError:
-            continue
-    return out
-
-
 # ------------------------------------------------------------ attribution
 SALES_ROWS = [
     (1, 11, "A", D(2000, 1, 1), 2.0, 5.0, 110.0, 10.0, "1,2"),      # two rules split 100
@@ -53,42 +36,17 @@ PROMO_ROWS = [
 ]
 
 
-def _attribution_model(sales_rows, promo_rows):
-    used = {r[0] for r in promo_rows if r[3] > 0}
-    rev = {r: 0.0 for r in used}
-    orders = {r: 0 for r in used}
-    items = {r: 0.0 for r in used}
-    skus = {r: set() for r in used}
-    for (_o, _i, sku, _d, qty, _p, incl, disc, ids) in sales_rows:
-        rules = _parse(ids)
-        if not rules:
-            continue
-        if incl is None or disc is None:
-            continue
-        net = incl - disc
-        if net <= 0:
-            continue
-        match = [r for r in rules if r in used]
-        if not match:
-            continue
-        for r in match:
-            rev[r] += net / len(match)
-            orders[r] += 1
-            items[r] += qty or 0
-            if sku is not None:
-                skus[r].add(sku)
-    return {r: (round(rev[r], 4), orders[r], items[r], len(skus[r])) for r in used}
-
-
-def test_promotion_metrics_matches_model(spark):
+# rule 1: 100 / 2 from line 11, all 50 of line 12 (named twice, so two lines and both halves);
+# rule 2: 100 / 2 from line 11, 8 from line 32 (no SKU); rule 4: never sold. Items: line
+# quantities, line 12 twice.
+ATTRIBUTED = {1: (100.0, 3, 4.0, 2), 2: (58.0, 2, 3.0, 1), 4: (0.0, 0, 0.0, 0)}
+
+
+def test_promotion_metrics_by_hand(spark):
     s = spark.createDataFrame(SALES_ROWS, SALES_SCHEMA)
     p = spark.createDataFrame(PROMO_ROWS, PROMO_SCHEMA)
     got = {r.rule_id: r for r in promotions.promotion_metrics(s, p).collect()}
-    model = _attribution_model(SALES_ROWS, PROMO_ROWS)
-    assert set(got) == set(model) == {1, 2, 4}
-    for rid, (rev, oc, items, us) in model.items():
-        r = got[rid]
-        assert (r.revenue, r.order_count, r.item_count, r.unique_sku_count) == (rev, oc, items, us)
+    assert {k: (r.revenue, r.order_count, r.item_count, r.unique_sku_count) for k, r in got.items()} == ATTRIBUTED
     assert got[2].duration_days is None and got[2].units_sold_per_day == 0.0
     assert got[1].duration_days == 10 and got[1].units_sold_per_day == 2.0
     assert got[4].revenue == 0.0 and got[4].avg_price_per_item == 0.0
@@ -99,10 +57,18 @@ def test_attributed_revenue_sums_to_eligible_net(spark):
     s = spark.createDataFrame(SALES_ROWS, SALES_SCHEMA)
     p = spark.createDataFrame(PROMO_ROWS, PROMO_SCHEMA)
     total = sum(r.revenue for r in promotions.promotion_metrics(s, p).collect())
-    used = {r[0] for r in PROMO_ROWS if r[3] > 0}
-    eligible = sum(incl - disc for (*_, incl, disc, ids) in SALES_ROWS
-                   if disc is not None and incl - disc > 0 and any(x in used for x in _parse(ids)))
-    assert total == pytest.approx(eligible, abs=1e-6)
+    assert total == pytest.approx(100.0 + 50.0 + 8.0, abs=1e-6)  # lines 11, 12 and 32
+
+
+def test_original_price_gives_the_average_price(spark):
+    s = spark.createDataFrame(SALES_ROWS, SALES_SCHEMA).withColumn("base_original_price", F.when(F.col("item_id") != 22, 90.0 + F.col("item_id")))
+    p = spark.createDataFrame(PROMO_ROWS, PROMO_SCHEMA)
+    m = promotions.promotion_metrics(s, p)
+    got = {r.rule_id: r.avg_price_per_item for r in m.collect()}
+    # rule 1 is listed by line 11, twice by 12 and by 21 (its zero net does not matter here); rule 2 by 11 and 32
+    assert got == {1: (101 + 102 + 102 + 111) / 4, 2: (101 + 122) / 2, 4: 0.0}
+    size = {r.rule_id: r["size"] for r in promotions.promotion_bubble(m).collect()}
+    assert size[1] == round(math.sqrt(104.0) + 20, 6)
 
 
 def test_select_promotions_lowest_falls_back_to_top(spark):
@@ -129,78 +95,64 @@ ROT_ROWS = [
 ]
 
 
-def _rotation_model(rows):
-    by = {}
-    for (_o, _i, sku, d, q, p, incl, disc, _ids) in rows:
-        by.setdefault(sku, []).append((d, q, p))
-    out = {}
-    for sku, lines in by.items():
-        lines.sort(key=lambda t: t[0])
-        if len(lines) < 2:
-            continue
-        gaps = [(lines[i][0] - lines[i - 1][0]).days for i in range(1, len(lines))]
-        mean_d = statistics.mean(gaps)
-        sd_d = statistics.stdev(gaps) if len(gaps) > 1 else 0.0
-        cv_d = sd_d / mean_d if (mean_d > 0 and len(gaps) > 1) else 0.0
-        qs = [t[1] or 0.0 for t in lines]
-        mean_q = statistics.mean(qs)
-        sd_q = statistics.stdev(qs)
-        cv_q = sd_q / mean_q if mean_q > 0 else 0.0
-        out[sku] = tuple(round(v, 6) for v in (mean_d, mean_q, sd_d, sd_q, cv_d, cv_q))
-    return out
-
-
-def test_rotation_matches_model(spark):
-    s = spark.createDataFrame(ROT_ROWS, SALES_SCHEMA).withColumn(
+# mean gap, mean quantity, sd of gaps, sd of quantity, both CVs
+ROTATION = {
+    "TWO": (10.0, 3.0, 0.0, math.sqrt(2), 0.0, math.sqrt(2) / 3),
+    "SAME": (3.0, 1.5, 3.0, math.sqrt(5 / 3), 1.0, math.sqrt(5 / 3) / 1.5),   # gaps 0, 3, 6; quantities 1, 3, 0, 2
+    "ZERO": (0.0, 0.0, 0.0, 0.0, 0.0, 0.0),
+    "NULLQ": (4.0, 2.0, 0.0, math.sqrt(8), 0.0, math.sqrt(2)),               # quantities 0, 4
+}
+
+
+def _rotation(spark, rows):
+    s = spark.createDataFrame(rows, SALES_SCHEMA).withColumn(
         "sales_amount", F.col("base_row_total_incl_tax") - F.col("base_discount_amount"))
-    got = {r.sku: (r.avg_days_between_orders, r.avg_quantity_per_order, r.days_std, r.quantity_std,
-                   r.days_coefficient_of_variation, r.quantity_coefficient_of_variation)
-           for r in products.rotation_metrics(s).collect()}
-    model = _rotation_model(ROT_ROWS)
-    assert set(got) == set(model) == {"TWO", "SAME", "ZERO", "NULLQ"}
-    for sku in model:
-        assert got[sku] == pytest.approx(model[sku], abs=1e-6), sku
+    return {r.sku: (r.avg_days_between_orders, r.avg_quantity_per_order, r.days_std, r.quantity_std,
+                    r.days_coefficient_of_variation, r.quantity_coefficient_of_variation)
+            for r in products.rotation_metrics(s).collect()}
+
+
+def test_rotation_by_hand(spark):
+    got = _rotation(spark, ROT_ROWS)
+    assert set(got) == set(ROTATION)
+    for sku, want in ROTATION.items():
+        assert got[sku] == pytest.approx(want, abs=1e-6), sku
+
+
+def test_rotation_deviation_of_large_quantities(spark):
+    rows = [(i, i, "BIG", D(2000, 1, 1 + i // 2), 1e9 + i, 2.0, 10.0, 0.0, None) for i in range(1, 4)]
+    assert _rotation(spark, rows)["BIG"][3] == 1.0
+    lines = spark.createDataFrame(rows, SALES_SCHEMA)
+    assert lines.select(F.stddev_samp("qty_ordered")).first()[0] == 1.0
+
+
+def test_rotation_outliers_name_the_sku(spark):
+    rows = [(f"S{i}", 5.0 + i % 3, 2.0) for i in range(20)] + [("FAR", 90.0, 2.0)]
+    m = spark.createDataFrame(rows, "sku string, avg_days_between_orders double, avg_quantity_per_order double")
+    assert [tuple(r) for r in products.rotation_outliers(m).collect()] == [("avg_days_between_orders", "FAR", 90.0)]
+    box = {r.metric: r.outliers for r in products.rotation_distribution(m).collect()}
+    assert box == {"avg_days_between_orders": 1, "avg_quantity_per_order": 0}
 
 
 # ------------------------------------------------------------ basket
-def _basket_model(order_items, chosen, k=5):
-    orders = {}
-    for o, item in order_items:
-        orders.setdefault(o, set()).add(item)
-    n = len(orders)
-    cnt = {}
-    for items in orders.values():
-        for i in items:
-            cnt[i] = cnt.get(i, 0) + 1
-    out = []
-    for a in chosen:
-        co = {}
-        for items in orders.values():
-            if a in items:
-                for b in items:
-                    if b != a:
-                        co[b] = co.get(b, 0) + 1
-        for b, both in sorted(co.items(), key=lambda t: (-t[1], t[0]))[:k]:
-            cab, cba = both / cnt[a], both / cnt[b]
-            lift = (both / n) / ((cnt[a] / n) * (cnt[b] / n))
-            if cab >= cba:
-                out.append((a, b, both, round(cab, 9), round(lift, 6)))
-            else:
-                out.append((b, a, both, round(cba, 9), round(lift, 6)))
-    return sorted(out)
-
-
-def test_basket_matches_model(spark):
+# Seven orders; A is in 4, B in 4, C in 3, D in 2, E in 2, F and G in 1. Partners of A: B and C in
+# two orders, D in one. Partners of B, the first five: A and C in two, D, E and F in one (G is cut).
+# The product of the smaller count comes first; lift is both * 7 / (count of one * count of other).
+BASKET = [
+    ("A", "B", 2, 0.5, 0.875), ("B", "A", 2, 0.5, 0.875), ("C", "A", 2, 0.666666667, 1.166667),
+    ("C", "B", 2, 0.666666667, 1.166667), ("D", "A", 1, 0.5, 0.875), ("D", "B", 1, 0.5, 0.875),
+    ("E", "B", 1, 0.5, 0.875), ("F", "B", 1, 1.0, 1.75),
+]
+
+
+def test_basket_by_hand(spark):
     oi = [(1, "A"), (1, "B"), (1, "C"), (2, "A"), (2, "B"), (3, "A"), (3, "D"), (4, "B"), (5, "E"),
           (6, "A"), (6, "C"), (7, "B"), (7, "C"), (7, "D"), (7, "E"), (7, "F"), (7, "G")]
     s = spark.createDataFrame(oi, "order_id long, sku string")
     chosen = spark.createDataFrame([("A",), ("B",)], "sku string")
-    got = sorted((r.product_a, r.product_b, r["count"], r.confidence, r.lift)
-                 for r in basket.basket_pairs(s, chosen).collect())
-    assert got == _basket_model(oi, ["A", "B"])
-    salted = sorted((r.product_a, r.product_b, r["count"], r.confidence, r.lift)
-                    for r in basket.basket_pairs(s, chosen, salt_buckets=3).collect())
-    assert salted == got
+    pairs = lambda **how: sorted((r.product_a, r.product_b, r["count"], r.confidence, r.lift)
+                                 for r in basket.basket_pairs(s, chosen, **how).collect())
+    assert pairs() == pairs(salted=True) == pairs(reuse=True) == BASKET
 
 
 def test_top_partners_two_stage_equals_single_stage(spark):

@@ -20,7 +20,8 @@ def test_year_range_reaches_stored_order_scan(spark, tables, tmpdir_path):
     f = facts.item_sales_fact(T, [601, 602], "s", years=[1999, 2000])
     plan = _formatted(facts.apply_filters(f, years=[1999, 2000]))
     order_scan = [b for b in plan.split("\n\n") if "sales_order.parquet" in b and "Scan parquet" in b][0]
-    assert "GreaterThanOrEqual(created_at" in order_scan and "LessThan(created_at" in order_scan
+    pushed = [line for line in order_scan.split("\n") if line.startswith("PushedFilters")][0]
+    assert "GreaterThanOrEqual(created_at,1999-01-01" in pushed and "LessThan(created_at," in pushed
     assert "ReadSchema: struct<entity_id:bigint,increment_id:string,created_at" in order_scan
     full = facts.item_sales_fact(T, [601, 602], "s")
     assert f.count() == facts.filter_years(full, [1999, 2000]).count()
@@ -55,15 +56,58 @@ def test_non_local_master_requires_shared_checkpoint_dir():
         ensure_checkpoint_dir(_S())
 
 
-def test_fact_product_join_is_size_checked(spark, tables):
-    # small product side: broadcast after counting it, no salting needed
-    small = _formatted(facts.item_sales_fact(tables, [601, 602], "s"))
-    assert "_hm" not in small and "BroadcastHashJoin" in small
-    # product side over the bound: hot products are salted
-    big = _formatted(facts.item_sales_fact(tables, [601, 602], "s", max_broadcast_products=10))
-    assert "_g" in big and "_hm" in big
-    plain = _formatted(facts.item_sales_fact(tables, [601, 602], "s", hot_sku_buckets=0))
-    assert "_hm" not in plain
+def _jobs_started(spark, build):
+    """Jobs that run while ``build`` makes a plan."""
+    sc = spark.sparkContext
+    sc.setJobGroup("building", "plan building")
+    try:
+        build()
+        return len(sc.statusTracker().getJobIdsForGroup("building"))
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_building_plans_starts_no_job(spark, tables):
+    from tallyloom.plans import basket, named, products, promotions
+    fact = facts.item_sales_fact(tables, [601, 602], "s", years=[1999, 2000])
+    lines = facts.apply_filters(fact, categories=[601], years=[1999], customer_status=["Returning"])
+    plans = [
+        lambda: facts.item_sales_fact(tables, [601, 602], "s", years=[1999, 2000]),
+        lambda: facts.item_sales_fact(tables, [601, 602], "s", detail="basic"),
+        lambda: facts.apply_filters(fact, categories=[601], customer_types=["Guest"], customer_status=["New"]),
+        lambda: named.category_seasonality(tables),
+        lambda: named.promotion_impact(tables, "2001-12-31"),
+        lambda: named.promotion_duration_stats(tables, [("a", "1999-01-01", "1999-12-31")]),
+        lambda: basket.basket_pairs(lines, products.select_products(lines, 5)),
+        lambda: basket.basket_item_support(lines),
+        lambda: products.rotation_metrics(lines),
+        lambda: promotions.promotion_metrics(lines, tables["promotion"]),
+    ]
+    assert [_jobs_started(spark, p) for p in plans] == [0] * len(plans)
+    assert _jobs_started(spark, lambda: basket.basket_item_support(lines, reuse=True)) > 0  # asked for
+
+
+def test_lines_are_cut_to_the_products_before_the_order_join(spark, tables):
+    from tallyloom.plans import named
+    plan = named.product_counts_year(tables, 1999, [601])._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftSemi" in plan
+    below = plan[plan.rindex("Join Inner, (order_id"):] if "Join Inner, (order_id" in plan else plan
+    assert "LeftSemi" in below
+
+
+def test_no_window_over_a_whole_frame(spark, tables):
+    import __spark_entry__ as E
+    for key in ("rotation_distribution", "rotation_bubble", "basket_lift_display", "quantile_cap", "relative_size"):
+        plan = _formatted(E.queries()[key](spark, "/root/testdata/sf0.001"))
+        assert "windowspecdefinition(specifiedwindowframe" not in plan, key
+
+
+def test_ranges_must_be_few(spark, tables):
+    import pytest
+    from tallyloom.operators.joins import range_overlap_join
+    p = tables["promotion"]
+    with pytest.raises(ValueError):
+        range_overlap_join(p, p.select("from_date", "to_date").toDF("a", "b"), "from_date", "to_date", "a", "b")
 
 
 def test_usage_pipeline_on_stored_tables(spark, tables, tmpdir_path):

@@ -1,10 +1,11 @@
-"""A key holding a third of the rows: results stay whole and the hot
-partition of the semi join is split by AQE's skew handling."""
+"""A key holding a third of the rows: results stay whole, AQE splits joins of two
+plain shuffles but not joins against an aggregate, and the salted join does."""
 
-import re
+from contextlib import contextmanager
 
 from pyspark.sql import functions as F
 
+from tallyloom.operators.skew import hot_keys, salted_join
 from tallyloom.plans import facts
 from tallyloom.operators.topk import top_k_per_group
 
@@ -18,7 +19,9 @@ def _skewed_fact(spark, n=30000):
             .withColumn("sku", F.concat(F.lit("S"), (F.col("id") % 97).cast("string"))))
 
 
-def test_hot_email_semi_join_is_salted(spark):
+@contextmanager
+def shuffled(spark):
+    """No broadcast, and partitions of a few KB count as skewed."""
     conf = {
         "spark.sql.autoBroadcastJoinThreshold": "-1",
         "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
@@ -32,22 +35,58 @@ def test_hot_email_semi_join_is_salted(spark):
     try:
         for k, v in conf.items():
             spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def _largest_share(df):
+    """Share of the rows that the largest partition of a result holds."""
+    sizes = [r.n for r in df.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
+    return max(sizes) / sum(sizes)
+
+
+def test_aqe_splits_plain_joins_but_not_joins_with_an_aggregate(spark):
+    with shuffled(spark):
         f = _skewed_fact(spark)
-        out = facts.filter_customer_status(f, ["Returning"], reuse=False, max_broadcast_emails=0)
-        n = len(out.collect())
+        names = f.select("hashed_customer_email").distinct()
+        other = spark.createDataFrame([(r[0],) for r in names.collect()], "hashed_customer_email string")
+        plain = f.join(other, "hashed_customer_email")
+        assert plain.count() == f.count()
+        plain.collect()
+        assert "skew=true" in _plan(plain)
+        grouped = f.join(f.groupBy("hashed_customer_email").agg(F.count("*").alias("n")), "hashed_customer_email", "left_semi")
+        grouped.collect()
+        assert "skew=true" not in _plan(grouped)
+
+
+def test_hot_email_semi_join_is_salted(spark):
+    with shuffled(spark):
+        f = _skewed_fact(spark)
+        out = facts.filter_customer_status(f, ["Returning"])
         expected = f.groupBy("hashed_customer_email").agg(F.count_distinct("order_id").alias("c")) \
                     .filter("c > 1").join(f, "hashed_customer_email").count()
-        assert n == expected
-        final = out._jdf.queryExecution().executedPlan().toString()
-        # the hot e-mail is resolved against a broadcast of the hot keys; the
-        # other rows join on (e-mail, _g), where hot rows spread over buckets
-        assert "_g" in final and "BroadcastHashJoin" in final, final[:3000]
-    finally:
-        for k, v in old.items():
-            if v is None:
-                spark.conf.unset(k)
-            else:
-                spark.conf.set(k, v)
+        assert out.count() == expected
+        plain = f.join(facts.customer_order_counts(f).filter("unique_order_count > 1"), "hashed_customer_email", "left_semi")
+        assert _largest_share(out) < 0.25 < _largest_share(plain)
+
+
+def test_null_keys_stay_out_of_the_salted_join(spark):
+    with shuffled(spark):
+        f = _skewed_fact(spark).withColumn("hashed_customer_email", F.when(F.col("id") % 2 == 0, F.col("hashed_customer_email"))).repartition(8)
+        keys = f.groupBy("hashed_customer_email").agg(F.count("*").alias("n")).filter("n > 2").select("hashed_customer_email")
+        nulls = f.where("hashed_customer_email IS NULL").count()
+        anti = salted_join(f, keys, "hashed_customer_email", "left_anti").where("hashed_customer_email IS NULL")
+        assert anti.count() == nulls and _largest_share(anti) < 0.3  # no partition holds them
+        assert salted_join(f, keys, "hashed_customer_email", "left").where("hashed_customer_email IS NULL").count() == nulls
+        semi = salted_join(f, keys, "hashed_customer_email", "left_semi")
+        assert semi.where("hashed_customer_email IS NULL").isEmpty()
+        assert [r[0] for r in hot_keys(f, "hashed_customer_email", 10).collect()] == ["hot"]
 
 
 def test_hot_group_top_k_keeps_whole_result(spark):
@@ -62,7 +101,6 @@ def test_hot_group_top_k_keeps_whole_result(spark):
 
 
 def test_salted_join_equals_plain_join(spark):
-    from tallyloom.operators.skew import salted_join
     big = _skewed_fact(spark, 6000)
     agg = big.groupBy("hashed_customer_email").agg(F.count("*").alias("n"))
     # several rows per key on the small side, some keys missing from it

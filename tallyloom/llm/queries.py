@@ -76,7 +76,47 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     op1_suffix_dedup, op2_quality, op3_recompression, op4_url_filter, op5_exact_dedup, op6_token_counts, op7_decontaminate, op8_jaccard_join, op9_pii, op10_bpe)}
 
+_WORDS = r"""SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents"""
+
 ORACLES = {
+    "op3_recompression": f"""
+WITH w AS ({_WORDS}), windows AS (
+  SELECT doc_id, pos, array_to_string(words[pos:pos + 12], ' ') AS run
+  FROM (SELECT doc_id, words, unnest(range(1, len(words) - 11)) AS pos FROM w)
+), firsts AS (
+  SELECT run, min(doc_id) AS owner FROM windows GROUP BY run
+), gone AS (
+  SELECT DISTINCT doc_id, pos + step AS place
+  FROM windows JOIN firsts USING (run), range(13) AS steps(step) WHERE owner < doc_id
+), placed AS (
+  SELECT doc_id, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS place FROM w
+), kept AS (
+  SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY place) AS body
+  FROM placed ANTI JOIN gone USING (doc_id, place) GROUP BY doc_id
+)
+SELECT w.doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(len(words) - coalesce(n, 0) AS BIGINT) AS n_removed,
+       sha256(coalesce(body, '')) AS kept_sha256
+FROM w LEFT JOIN kept USING (doc_id)
+""",
+    "op8_jaccard_join": f"""
+WITH RECURSIVE w AS ({_WORDS}), shingles AS (
+  SELECT DISTINCT doc_id, array_to_string(words[pos:pos + 4], ' ') AS shingle
+  FROM (SELECT doc_id, words, unnest(range(1, greatest(len(words) - 3, 2))) AS pos FROM w WHERE len(words) > 0)
+), sizes AS (
+  SELECT doc_id, count(*) AS size FROM shingles GROUP BY doc_id
+), common AS (
+  SELECT a.doc_id AS one, b.doc_id AS other, count(*) AS n
+  FROM shingles a JOIN shingles b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id GROUP BY ALL
+), links AS (
+  SELECT one, other FROM common JOIN sizes s ON s.doc_id = one JOIN sizes t ON t.doc_id = other
+  WHERE n >= 0.8 * (s.size + t.size - n)
+), reached AS (
+  SELECT doc_id, doc_id AS member FROM documents
+  UNION SELECT reached.doc_id, other FROM reached JOIN links ON member = one
+)
+SELECT doc_id, min(member) AS class_id, (SELECT count(*) FROM links WHERE one = doc_id) AS n_links
+FROM reached GROUP BY doc_id
+""",
     "op4_url_filter": r"""
 WITH cut AS (
   SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages

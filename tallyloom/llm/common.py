@@ -58,6 +58,21 @@ def with_row_id(docs: DataFrame, scratch: Scratch, columns: list[str], row: str,
     return keyed if stored else scratch.write(keyed, "rows")
 
 
+def hash_sample(rows: DataFrame, limit: int, *keys: str) -> DataFrame:
+    """At most ``limit`` rows, those of smallest hash of ``keys``; all when there are no more.
+
+    The rows are counted first and those beyond the expected cut dropped where
+    they are read, so no task or driver gets more than about ``limit`` of them.
+    """
+    total = rows.count()
+    if total <= limit:
+        return rows
+    place = F.xxhash64(*keys)
+    cut = int((limit + 4 * limit ** 0.5) / total * 2.0 ** 64) - (1 << 63)
+    few = rows.where(place < min(cut, (1 << 63) - 1)) if cut < (1 << 63) else rows
+    return few.orderBy(place, *keys).limit(limit)
+
+
 def free_name(df: DataFrame, wanted: str) -> str:
     """``wanted``, with underscores added until no column (in any case) has the name."""
     taken = {c.lower() for c in df.columns}

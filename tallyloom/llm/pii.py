@@ -32,7 +32,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tallyloom.llm.common import text_batches, texts_of
+from tallyloom.llm.common import hash_sample, text_batches, texts_of
 
 KINDS = ("email", "ip", "card", "phone")
 LABELS = len(KINDS) + 1  # 0: no personal data
@@ -239,9 +239,8 @@ def find(texts: list[str], crf: Field) -> list[tuple[list, list]]:
 
 def train(docs: DataFrame, limit: int = MAX_TRAIN_DOCS) -> Field:
     """Field learned from at most ``limit`` documents."""
-    rows = (docs.select("doc_id", "text").where(F.octet_length("text") <= MAX_TRAIN_BYTES)
-            .where(F.col("text").rlike("[0-9]{3}|@")).orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text")).limit(limit)).collect()
-    return learn([r["text"] for r in rows])
+    useful = docs.select("doc_id", "text").where(F.octet_length("text") <= MAX_TRAIN_BYTES).where(F.col("text").rlike("[0-9]{3}|@"))
+    return learn(sorted(r["text"] for r in hash_sample(useful, limit, "doc_id", "text").select("text").collect()))
 
 
 def joined(spans: list[tuple[int, int, int]]) -> str:

@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tallyloom.llm.common import byte_buffer, text_batches, word_hashes, word_spans
+from tallyloom.llm.common import byte_buffer, hash_sample, text_batches, word_hashes, word_spans
 
 PASSAGE = 512
 PAIR_BUCKETS = 512
@@ -128,7 +128,9 @@ def fit(texts: pa.Array, labels: np.ndarray, steps: int = STEPS) -> Model:
         return Model([], float(labels.mean()) if len(labels) else 0.5)
     data, cuts, first = passages(texts)
     again = repeated_words(data, cuts, first)
-    x = np.concatenate([encode(data, cuts[i:i + SLICE + 1], again[i:i + SLICE]) for i in range(0, len(cuts) - 1, SLICE)])
+    x = np.empty((len(cuts) - 1, FEATURES), np.float32)
+    for i in range(0, len(x), SLICE):
+        x[i:i + SLICE] = encode(data, cuts[i:i + SLICE + 1], again[i:i + SLICE])
     rng = np.random.default_rng(SEED)
     draw = lambda *s: (rng.standard_normal(s) / np.sqrt(s[0])).astype(np.float32)
     base = np.log(labels.mean() / (1 - labels.mean()))
@@ -161,8 +163,8 @@ def fit(texts: pa.Array, labels: np.ndarray, steps: int = STEPS) -> Model:
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", limit: int = MAX_TRAIN_DOCS,
           max_bytes: int = MAX_TRAIN_BYTES) -> Model:
     """Model learned from the labelled rows that aren't held out, from ``limit`` of them at most."""
-    chosen = (labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & ~held_out(F.col("doc_id")))
-              .select("doc_id", F.col(label).alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(limit))
+    usable = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & ~held_out(F.col("doc_id")))
+    chosen = hash_sample(usable.select("doc_id", F.col(label).alias("label")), limit, "doc_id", "label").limit(limit)
     rows = (docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
             .where(F.octet_length("text") <= max_bytes).join(F.broadcast(chosen), "doc_id")).collect()  # at most ``limit`` ids
     rows.sort(key=lambda r: (r["doc_id"], r["label"], r["text"]))

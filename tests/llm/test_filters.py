@@ -263,3 +263,12 @@ def test_pipeline_on_awkward_and_empty_documents(spark):
             now = stage(spark, now, SF_SMALL)
         assert set(docs.columns) <= set(now.columns)
         assert now.count() <= len(ROWS)
+
+
+def test_hash_sample_is_bounded_and_the_same_on_any_partitioning(spark):
+    from tallyloom.llm.common import hash_sample
+    rows = spark.range(5000).withColumnRenamed("id", "doc_id")
+    want = {r.doc_id for r in rows.orderBy(F.xxhash64("doc_id")).limit(100).collect()}
+    assert {r.doc_id for r in hash_sample(rows, 100, "doc_id").collect()} == want
+    assert {r.doc_id for r in hash_sample(rows.repartition(7), 100, "doc_id").collect()} == want
+    assert hash_sample(rows, 9000, "doc_id").count() == 5000 and hash_sample(rows.limit(0), 10, "doc_id").count() == 0

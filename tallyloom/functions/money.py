@@ -27,11 +27,6 @@ def money_sum(c: Column | str, scale: int = 4) -> Column:
     return F.round(F.sum(money(c)), scale).cast("double")
 
 
-def exact_sum(c: Column | str) -> Column:
-    """Exact decimal sum kept as DECIMAL (for later arithmetic)."""
-    return F.sum(money(c))
-
-
 def money_avg(c: Column | str, scale: int = 6) -> Column:
     """Mean of a money column: exact sum / count, rounded."""
     return F.round(F.try_divide(F.sum(money(c)).cast("double"), F.count(as_col(c))), scale)

@@ -605,8 +605,11 @@ EXPORT_TIME = _dt.datetime(2001, 12, 31, 12, 0, 0)
 
 
 def _scratch(spark, kind: str) -> str:
-    """A fresh folder under the shared checkpoint folder."""
-    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/tallyloom-{kind}/{_uuid.uuid4().hex}"
+    """A fresh folder under the shared checkpoint folder, removed when the application ends."""
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/tallyloom-{kind}/{_uuid.uuid4().hex}"
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(folder)
+    return path
 
 
 @query("result_table")

@@ -44,51 +44,61 @@ def _first_key(symbols: list[np.ndarray]) -> np.ndarray:
     return key
 
 
-def _refine(order: np.ndarray, block: np.ndarray, ahead, depth: int) -> tuple[np.ndarray, np.ndarray]:
+def _blocks(key: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """By element: the first row of its run of equal keys in ``order``; and the rows of runs longer than one."""
+    first, shared = _runs(key[order])
+    block = np.empty(len(key), np.int32)
+    block[order] = first
+    return block, np.flatnonzero(shared)
+
+
+def _runs(ordered: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Start of each value's run of equals, and whether the run has more than one value."""
+    edge = np.ones(len(ordered) + 1, bool)
+    np.not_equal(ordered[1:], ordered[:-1], out=edge[1:-1])
+    start = np.flatnonzero(edge[:-1]).astype(np.int32)
+    number = np.cumsum(edge[:-1], dtype=np.int32) - 1
+    return start[number], ~(edge[:-1] & edge[1:])
+
+
+def _refine(order: np.ndarray, block: np.ndarray, shared: np.ndarray, ahead, depth: int) -> tuple[np.ndarray, np.ndarray]:
     """Refine ``order`` (elements by prefix) and ``block`` (by element: first row of its block) to ``depth``.
 
+    ``shared``: rows whose block has more than one row; the others are settled.
     ``ahead(elements, k)`` gives the elements k symbols on.
     """
-    n = len(order)
     for _, look in _depths(depth):
-        size = np.bincount(block, minlength=n)
-        at = np.flatnonzero(size[block[order]] > 1)
-        if not len(at):
+        if not len(shared):
             break
-        e = order[at]
-        key = block[e] * n + block[ahead(e, look)]
-        by = np.argsort(key, kind="stable")
-        e, key = e[by], key[by]
-        order[at] = e
-        fresh = np.ones(len(at), bool)
-        fresh[1:] = key[1:] != key[:-1]
-        block[e] = at[np.maximum.accumulate(np.where(fresh, np.arange(len(at)), 0))]
+        e = order[shared]
+        key = block[e].astype(np.int64) << 32 | block[ahead(e, look)]
+        by = np.argsort(key)
+        e = e[by]
+        order[shared] = e
+        start, more = _runs(key[by])
+        block[e] = shared[start]
+        shared = shared[more]
     return order, block
 
 
-def _blocks(key: np.ndarray, order: np.ndarray) -> np.ndarray:
-    """By element: the first row of its run of equal keys in ``order``."""
-    ordered = key[order]
-    fresh = np.ones(len(key), bool)
-    fresh[1:] = ordered[1:] != ordered[:-1]
-    block = np.empty(len(key), np.int64)
-    block[order] = np.maximum.accumulate(np.where(fresh, np.arange(len(key)), 0))
-    return block
-
-
 def build(text: np.ndarray, depth: int, offset: int = 0) -> Shard:
     """Shard of one text of symbols (strings ended by 0) with places counted from ``offset``."""
     n = len(text)
-    key = _first_key([np.roll(text, -k) for k in range(FIRST)])
-    order = np.argsort(key, kind="stable")
-    order, block = _refine(order, _blocks(key, order), lambda e, k: (e + k) % n, depth)
+    ring = np.resize(text, n + FIRST)  # goes round
+    key = _first_key([ring[k:k + n] for k in range(FIRST)])
+    order = np.argsort(key).astype(np.int32)
+
+    def ahead(e: np.ndarray, k: int) -> np.ndarray:
+        on = e + np.int32(k % n)
+        return np.where(on >= n, on - n, on)
+
+    order, block = _refine(order, *_blocks(key, order), ahead, depth)
     return Shard(text[order - 1], order + offset, block[order])
 
 
 def _steps(transform: np.ndarray):
     """Rows k symbols on, for the rows of a transform."""
-    one = np.argsort(transform, kind="stable")  # row of the rotation that starts one symbol later
-    power = {1: one}
+    power = {1: np.argsort(transform, kind="stable").astype(np.int32)}  # row of the rotation one symbol on
     k = 1
     while k < 256:
         power[2 * k] = power[k][power[k]]
@@ -107,7 +117,7 @@ def _steps(transform: np.ndarray):
 
 def merge(a: Shard, b: Shard, depth: int) -> Shard:
     """The shard of both texts, from the two transforms by interleave refinement."""
-    na, n = len(a.transform), len(a.transform) + len(b.transform)
+    na = len(a.transform)
     steps = _steps(a.transform), _steps(b.transform)
 
     def ahead(rows: np.ndarray, k: int) -> np.ndarray:
@@ -119,14 +129,14 @@ def merge(a: Shard, b: Shard, depth: int) -> Shard:
 
     keys = []
     for part, step in ((a, steps[0]), (b, steps[1])):
-        first, rows, symbols = np.sort(part.transform), np.arange(len(part.transform)), []
+        first, rows, symbols = np.sort(part.transform, kind="stable"), np.arange(len(part.transform), dtype=np.int32), []
         for _ in range(FIRST):
             symbols.append(first[rows])
             rows = step(rows, 1)
         keys.append(_first_key(symbols))
     key = np.concatenate(keys)
-    order = np.argsort(key, kind="stable")  # two ordered runs
-    order, block = _refine(order, _blocks(key, order), ahead, depth)
+    order = np.argsort(key, kind="stable").astype(np.int32)  # two ordered runs, merged
+    order, block = _refine(order, *_blocks(key, order), ahead, depth)
     return Shard(np.concatenate([a.transform, b.transform])[order], np.concatenate([a.place, b.place])[order], block[order])
 
 

@@ -11,8 +11,9 @@ segments occur at least twice in all is a repeated window; all its rows, copies
 included, are removed wherever they occur. Windows are judged on the input.
 
 Scale: one row per segment, about one in 185 bytes, is shuffled by name. Of
-equal segments only one goes to the transforms, so copies cost nothing there. A
-name with more than ``SPLIT`` distinct segments is split: windows that hold the
+equal segments only one goes to the transforms, so copies cost nothing there; a
+name of one distinct segment is a collection of one string, whose rows are
+intervals of their own with the segment's weight, and needs no transform. A name with more than ``SPLIT`` distinct segments is split: windows that hold the
 bytes left of the anchor, and those that hold the bytes right of it, get new
 names from those longer strings, again and again until names are small or the
 name is the window itself, where many pieces are one interval. A task holds one batch of about ``BATCH_BYTES``. Each
@@ -25,6 +26,7 @@ windows. Repeated rows are occurrences like any other, whatever their doc_id.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -37,10 +39,10 @@ from tallyloom.llm.jaccard_join import groups_of
 
 WINDOW = 400
 ANCHOR = 32
-SPLIT = 4000
+SPLIT = 1500
 BATCH_BYTES = 1 << 20
-SHARD_BYTES = 1 << 18
-PLACE_BITS = 28  # of the window's anchor key, the low bits hold its place
+SHARD_BYTES = 1 << 19
+PLACE_BITS = 31  # of the window's anchor key, the low bits hold its place
 
 
 def anchors(data: np.ndarray, starts: np.ndarray, sums: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -69,9 +71,10 @@ def anchors(data: np.ndarray, starts: np.ndarray, sums: np.ndarray) -> tuple[np.
 
 
 def segment_rows(rows: DataFrame) -> DataFrame:
-    """(name, a, b, row, start, size, anchor): each segment of each text with a 128-bit digest.
+    """(name, a, b, row, starts, size, anchor): each segment of each text with a 128-bit digest.
 
-    start: first byte in the text; size: bytes; anchor: the anchor's place in the segment.
+    starts: first bytes of the segment's occurrences in the text (many where the
+    text repeats itself); size: bytes; anchor: the anchor's place in the segment.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_batches(batches):
@@ -85,14 +88,21 @@ def segment_rows(rows: DataFrame) -> DataFrame:
             begin, of, place = first[at], of[at], place[at]
             end = first[np.append(at[1:], len(first)) - 1] + WINDOW if len(at) else begin
             other = prefix_hashes(OTHER_VALUES[data])
+            a, b = span_hashes(sums, begin, end), span_hashes(other, begin, end)
+            by = np.lexsort((begin, a, of))
+            first = np.ones(len(by), bool)
+            first[1:] = (a[by][1:] != a[by][:-1]) | (of[by][1:] != of[by][:-1])
+            lead = by[first]  # the first occurrence of each segment in its text
+            occurrences = pa.ListArray.from_arrays(
+                pa.array(np.append(np.flatnonzero(first), len(by)).astype(np.int32)), pa.array((begin - starts[of])[by].astype(np.int32)))
             yield pa.RecordBatch.from_arrays([
-                pa.array(span_hashes(sums, place, place + ANCHOR).view(np.int64)), pa.array(span_hashes(sums, begin, end).view(np.int64)),
-                pa.array(span_hashes(other, begin, end).view(np.int64)), batch.column(0).take(pa.array(of)),
-                pa.array((begin - starts[of]).astype(np.int32)), pa.array((end - begin).astype(np.int32)),
-                pa.array((place - begin).astype(np.int32))], names=["name", "a", "b", "row", "start", "size", "anchor"])
+                pa.array(span_hashes(sums, place[lead], place[lead] + ANCHOR).view(np.int64)), pa.array(a[lead].view(np.int64)),
+                pa.array(b[lead].view(np.int64)), batch.column(0).take(pa.array(of[lead])), occurrences,
+                pa.array((end - begin)[lead].astype(np.int32)), pa.array((place - begin)[lead].astype(np.int32))],
+                names=["name", "a", "b", "row", "starts", "size", "anchor"])
 
     return rows.select("row", "text").mapInArrow(
-        run, "name long, a long, b long, row long, start int, size int, anchor int")
+        run, "name long, a long, b long, row long, starts array<int>, size int, anchor int")
 
 
 def split_hot(pieces: DataFrame, scratch: Scratch, limit: int = SPLIT) -> tuple[DataFrame, DataFrame]:
@@ -105,20 +115,18 @@ def split_hot(pieces: DataFrame, scratch: Scratch, limit: int = SPLIT) -> tuple[
     A core of a whole window can't be split: more than ``limit`` pieces of that
     name are one interval, and each window in it is repeated.
     """
-    level, sure = 0, []
+    level, cold, sure = 0, [], []
     while True:
         hot = scratch.write(pieces.groupBy("name").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > max(limit, 1))
-                            .select("name", F.lit(True).alias("hot")), f"hot{level}")
-        found = pieces.sparkSession.createDataFrame([], "a long, b long, start int, count int")
-        for more in sure:
-            found = found.unionByName(more)
+                            .select("name"), f"hot{level}")
         if hot.isEmpty():
-            return pieces, found
-        marked = pieces.join(hot.hint("merge"), "name", "left")
+            found = pieces.sparkSession.createDataFrame([], "a long, b long, start int, count int")
+            return reduce(DataFrame.unionByName, [*cold, pieces]), reduce(DataFrame.unionByName, sure, found)
+        cold.append(pieces.join(hot, "name", "left_anti"))
+        large = pieces.join(hot, "name", "left_semi")
         can = F.col("core_to") - F.col("core_from") < WINDOW
-        sure.append(scratch.write(marked.where(F.col("hot").isNotNull() & ~can).select(
-            "a", "b", F.col("low").cast("int").alias("start"), F.lit(1).alias("count")), f"sure{level}"))
-        split = marked.where(F.col("hot").isNotNull() & can)
+        sure.append(large.where(~can).select("a", "b", F.col("low").cast("int").alias("start"), F.lit(1).alias("count")))
+        split = large.where(can)
         near = F.floor((WINDOW - F.col("core_to") + F.col("core_from") + 1) / 2).cast("int")
         edge = F.col("core_from") - near  # windows that start here or before hold the bytes left of the core
         size = F.octet_length("bytes")
@@ -135,9 +143,8 @@ def split_hot(pieces: DataFrame, scratch: Scratch, limit: int = SPLIT) -> tuple[
 
         left = part(F.lit(0), F.least(size, edge + WINDOW), edge, F.col("core_to"), 0)
         right = part(F.greatest(F.lit(0), edge + 1), size, F.col("core_from"), edge + 1 + WINDOW, 1)
-        rest = marked.where(F.col("hot").isNull()).drop("hot").select(*left.columns)
-        pieces = scratch.write(rest.unionByName(left).unionByName(right), f"pieces{level}")
-        scratch.drop(f"hot{level}", f"pieces{level - 1}")
+        cold[-1] = cold[-1].select(*left.columns)
+        pieces = scratch.write(left.unionByName(right), f"pieces{level}")
         level += 1
 
 
@@ -216,18 +223,21 @@ def suffix_dedup(docs: DataFrame, stored: bool = False, split: int = SPLIT) -> D
     rows = with_row_id(docs, scratch, ["doc_id", "text"], "row", stored).select("row", "text", "doc_id")
     by_name, by_segment = Window.partitionBy("name"), Window.partitionBy("name", "a", "b")
     shared = scratch.write(
-        segment_rows(rows).withColumn("total", F.count(F.lit(1)).over(by_name)).where("total > 1")
-        .withColumn("weight", F.count(F.lit(1)).over(by_segment))
-        .withColumn("lead", F.row_number().over(by_segment.orderBy("row", "start")) == 1).drop("total"), "segments")
-    wanted = shared.where("lead").groupBy("row").agg(F.collect_list(F.struct(
-        "name", "a", "b", "start", "size", "anchor", "weight")).alias("parts"))
+        segment_rows(rows).withColumn("total", F.sum(F.size("starts")).over(by_name)).where("total > 1")
+        .withColumn("weight", F.sum(F.size("starts")).over(by_segment))
+        .withColumn("lead", (F.row_number().over(by_segment.orderBy("row")) == 1).cast("int"))
+        .withColumn("kinds", F.sum("lead").over(by_name)).drop("total"), "segments")
+    alone = shared.where("lead = 1 AND kinds = 1").select(
+        "a", "b", F.lit(0).alias("start"), (F.col("size") - WINDOW + 1).alias("count"))
+    wanted = shared.where("lead = 1 AND kinds > 1").groupBy("row").agg(F.collect_list(F.struct(
+        "name", "a", "b", F.col("starts")[0].alias("start"), "size", "anchor", "weight")).alias("parts"))
     pieces = rows.select("row", F.col("text").cast("binary").alias("text")).join(wanted.hint("merge"), "row").select(
         "text", F.explode("parts").alias("p")).select(
         "p.name", "p.a", "p.b", "p.weight", F.lit(0).alias("low"), F.substring("text", F.col("p.start") + 1, F.col("p.size")).alias("bytes"),
         F.col("p.anchor").alias("core_from"), (F.col("p.anchor") + ANCHOR).alias("core_to"))
     pieces, sure = split_hot(scratch.write(pieces, "pieces-1"), scratch, split)
-    found = scratch.write(repeats(pieces).unionByName(sure).groupBy("a", "b").agg(F.collect_list(F.struct("start", "count")).alias("found")), "found")
-    runs = shared.select("a", "b", "row", F.col("start").alias("at")).join(found.hint("merge"), ["a", "b"]).groupBy("row").agg(
+    found = scratch.write(repeats(pieces).unionByName(sure).unionByName(alone).groupBy("a", "b").agg(F.collect_list(F.struct("start", "count")).alias("found")), "found")
+    runs = shared.select("a", "b", "row", F.explode("starts").alias("at")).join(found.hint("merge"), ["a", "b"]).groupBy("row").agg(
         F.flatten(F.collect_list(F.transform("found", lambda x: F.struct(
             (F.col("at") + x["start"]).alias("start"), x["count"].alias("count"))))).alias("runs"))
     return cut_bytes(rows.join(scratch.write(runs, "runs").hint("merge"), "row", "left"))

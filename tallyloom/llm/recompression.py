@@ -16,7 +16,7 @@ are then compared, by 128-bit digests of their words (two independent halves),
 which verifies the repeat and finds the smallest document that has it.
 
 Scale: equal texts are handled once (a digest of the text, 32 bytes a row, is
-grouped first). One row per symbol occurrence, about one in five words, is
+grouped first). One row per name and text, about one in five words, is
 shuffled by name, and the digests of windows under shared symbols. A name or a
 window in a third of all documents is one row for each of them, among that
 document's many, so no task gets more than that. Texts are shuffled once, by row.
@@ -142,30 +142,35 @@ def segments(texts: pa.Array) -> tuple:
 
 
 def symbol_rows(rows: DataFrame) -> DataFrame:
-    """(name, row, number, content): each segment of each text, numbered in its text; ``content`` is a
-    hash of the text that tells copies of one text from other texts with the same symbol."""
+    """(name, row, content): each name in each text once; ``content`` is a hash of the text that
+    tells copies of one text from other texts with the same symbol."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_batches(batches):
             _, _, _, begin, words, *_, text, name = segments(batch.column(1))
-            number = np.arange(len(text)) - np.searchsorted(text, text)
             content = span_hashes(prefix_hashes(words), begin[:-1], begin[1:])
+            _, once = np.unique(in_text(name, text), return_index=True)
+            name, text = name[once], text[once]
             yield pa.RecordBatch.from_arrays([
-                pa.array(name.view(np.int64)), batch.column(0).take(pa.array(text)), pa.array(number.astype(np.int32)),
-                pa.array(content[text].view(np.int64))], names=["name", "row", "number", "content"])
+                pa.array(name.view(np.int64)), batch.column(0).take(pa.array(text)), pa.array(content[text].view(np.int64))],
+                names=["name", "row", "content"])
 
-    return rows.select("row", "text").mapInArrow(run, "name long, row long, number int, content long")
+    return rows.select("row", "text").mapInArrow(run, "name long, row long, content long")
+
+
+def in_text(name: np.ndarray, text: np.ndarray) -> np.ndarray:
+    """One hash for a name and the number of its text in the batch."""
+    return mix64(name + mix64(text))
 
 
 def window_rows(live: DataFrame) -> DataFrame:
-    """(a, b, row, id, place): digests of the windows of the segments in ``numbers`` of each text."""
+    """(a, b, row, id, place): digests of the windows of the segments named in ``names`` of each text."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_batches(batches):
-            data, first, last, begin, words, at, segment, text, _ = segments(batch.column(1))
-            numbers = batch.column(4)
-            wanted = np.asarray(numbers.flatten(), np.int64)
-            of = np.repeat(np.arange(batch.num_rows), np.asarray(pc.list_value_length(numbers)))
-            chosen = np.zeros(len(segment), bool)
-            chosen[np.searchsorted(text, np.arange(batch.num_rows))[of] + wanted] = True
+            data, first, last, begin, words, at, segment, text, name = segments(batch.column(1))
+            names = batch.column(4)
+            of = np.repeat(np.arange(batch.num_rows), np.asarray(pc.list_value_length(names)))
+            wanted = in_text(np.asarray(names.flatten()).view(np.uint64), of)
+            chosen = np.isin(in_text(name, text), wanted)
             at = at[np.repeat(chosen, np.diff(np.append(segment, len(at))))]
             of = np.searchsorted(begin, at, side="right") - 1
             other = prefix_hashes(word_hashes(data, first, last, OTHER_VALUES))
@@ -175,7 +180,7 @@ def window_rows(live: DataFrame) -> DataFrame:
                 batch.column(0).take(pa.array(of)), batch.column(3).take(pa.array(of)),
                 pa.array((at - begin[of]).astype(np.int32))], names=["a", "b", "row", "id", "place"])
 
-    return live.select("row", "text", "doc_id", "id", "numbers").mapInArrow(run, "a long, b long, row long, id long, place int")
+    return live.select("row", "text", "doc_id", "id", "names").mapInArrow(run, "a long, b long, row long, id long, place int")
 
 
 def cut_words(found: DataFrame) -> DataFrame:
@@ -228,7 +233,7 @@ def substring_dedup(docs: DataFrame, stored: bool = False) -> DataFrame:
     by_name = Window.partitionBy("name")
     shared = scratch.write(
         symbol_rows(rows).withColumn("low", F.min("content").over(by_name)).withColumn("high", F.max("content").over(by_name))
-        .where("low < high").groupBy("row").agg(F.collect_list("number").alias("numbers"))
+        .where("low < high").groupBy("row").agg(F.collect_list("name").alias("names"))
         .join(copies, "row", "left_anti"), "shared")
     by_window = Window.partitionBy("a", "b")
     gone = (window_rows(rows.join(shared.hint("merge"), "row")).withColumn("least", F.min("id").over(by_window))

@@ -23,6 +23,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tallyloom.llm.common import byte_buffer, hash_sample, text_batches, word_hashes, word_spans
@@ -32,11 +33,12 @@ PAIR_BUCKETS = 512
 COUNTS = 256 + PAIR_BUCKETS
 FEATURES = COUNTS + 4
 HIDDEN, GATE = 32, 16
-MAX_TRAIN_DOCS = 4000
+MAX_TRAIN_DOCS = 3000
 MAX_TRAIN_BYTES = 1 << 20
 STEPS, RATE, DECAY, SEED = 160, 0.02, 1e-4, 7
 THRESHOLD = 0.3
-SLICE = 4096  # passages that are encoded at once
+SLICE = 2048  # passages that are encoded at once
+TRAIN_CHUNK = 1 << 20  # bytes of text that training encodes at once
 
 
 def held_out(doc_id: Column) -> Column:
@@ -126,11 +128,7 @@ def fit(texts: pa.Array, labels: np.ndarray, steps: int = STEPS) -> Model:
     labels = labels.astype(np.float32)
     if not len(labels) or labels.min() == labels.max():
         return Model([], float(labels.mean()) if len(labels) else 0.5)
-    data, cuts, first = passages(texts)
-    again = repeated_words(data, cuts, first)
-    x = np.empty((len(cuts) - 1, FEATURES), np.float32)
-    for i in range(0, len(x), SLICE):
-        x[i:i + SLICE] = encode(data, cuts[i:i + SLICE + 1], again[i:i + SLICE])
+    x, first = encode_all(texts)
     rng = np.random.default_rng(SEED)
     draw = lambda *s: (rng.standard_normal(s) / np.sqrt(s[0])).astype(np.float32)
     base = np.log(labels.mean() / (1 - labels.mean()))
@@ -160,6 +158,18 @@ def fit(texts: pa.Array, labels: np.ndarray, steps: int = STEPS) -> Model:
     return model
 
 
+def encode_all(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All passages' features and each document's first passage, plus the end; a few texts at a time."""
+    size = np.asarray(pc.binary_length(texts), np.int64)
+    first = np.concatenate([[0], np.cumsum(np.maximum(1, -(-size // PASSAGE)))])
+    x, at = np.empty((first[-1], FEATURES), np.float32), 0
+    for batch in text_batches(iter([pa.RecordBatch.from_arrays([texts], names=["text"])]), 0, TRAIN_CHUNK):
+        data, cuts, own = passages(batch.column(0))
+        x[at:at + own[-1]] = encode(data, cuts, repeated_words(data, cuts, own))
+        at += own[-1]
+    return x, first
+
+
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", limit: int = MAX_TRAIN_DOCS,
           max_bytes: int = MAX_TRAIN_BYTES) -> Model:
     """Model learned from the labelled rows that aren't held out, from ``limit`` of them at most."""

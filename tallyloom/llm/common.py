@@ -125,10 +125,10 @@ _POWERS: dict[int, np.ndarray] = {}
 
 
 def powers(base: np.uint64, n: int) -> np.ndarray:
-    """``base ** 0 .. n - 1`` modulo 2**64, kept for the process up to the usual chunk."""
+    """``base ** 0 .. n - 1`` modulo 2**64, kept for the process up to a few chunks' size."""
     have = _POWERS.get(int(base))
     if have is None or len(have) < n:
-        steps = np.full(max(n, CHUNK_BYTES + (CHUNK_BYTES >> 2)), base, np.uint64)
+        steps = np.full(-(-max(n, 1) >> 20) << 20, base, np.uint64)
         steps[0] = 1
         have = np.multiply.accumulate(steps)
         if n <= 4 * CHUNK_BYTES:

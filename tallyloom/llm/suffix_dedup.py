@@ -42,6 +42,7 @@ ANCHOR = 32
 SPLIT = 1500
 BATCH_BYTES = 1 << 20
 SHARD_BYTES = 1 << 19
+TEXT_BYTES = 1 << 21  # of whole texts that are cut into segments at once
 PLACE_BITS = 31  # of the window's anchor key, the low bits hold its place
 
 
@@ -77,7 +78,7 @@ def segment_rows(rows: DataFrame) -> DataFrame:
     text repeats itself); size: bytes; anchor: the anchor's place in the segment.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in text_batches(batches):
+        for batch in text_batches(batches, 1, TEXT_BYTES):
             data, starts = byte_buffer(batch.column(1))
             sums = prefix_hashes(BYTE_VALUES[data])
             first, place = anchors(data, starts, sums)

@@ -15,15 +15,15 @@ if its symbol occurs in another document. Only windows under such shared symbols
 are then compared, by 128-bit digests of their words (two independent halves),
 which verifies the repeat and finds the smallest document that has it.
 
-Scale: equal texts are handled once (a digest of the text, 32 bytes a row, is
-grouped first). One row per name and text, about one in five words, is
+Scale: texts of the same words are handled once (a digest of the words joined by
+one space, 32 bytes a row, is grouped first). One row per name and text, about one in five words, is
 shuffled by name, and the digests of windows under shared symbols. A name or a
 window in a third of all documents is one row for each of them, among that
 document's many, so no task gets more than that. Texts are shuffled once, by row.
 
 Nulls and empty texts: no words. A null doc_id is larger than all others. Rows of
-one doc_id don't remove each other's words; of equal texts with different ids
-all but the smallest lose all words covered by windows.
+one doc_id don't remove each other's words; of texts of the same words, whatever
+white space is between them, with different ids all but the smallest lose all words covered by windows.
 """
 
 from __future__ import annotations
@@ -34,7 +34,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tallyloom.llm.common import (OTHER_VALUES, Scratch, byte_buffer, mix64, prefix_hashes, span_hashes, text_batches,
                                   with_row_id, word_hashes, word_spans)
@@ -142,8 +142,8 @@ def segments(texts: pa.Array) -> tuple:
 
 
 def symbol_rows(rows: DataFrame) -> DataFrame:
-    """(name, row, content): each name in each text once; ``content`` is a hash of the text that
-    tells copies of one text from other texts with the same symbol."""
+    """(name, row, content): each name in each text once; ``content`` is a hash of the text's words
+    that tells copies (as ``words_digest`` groups them) from other texts with the same symbol."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_batches(batches):
             _, _, _, begin, words, *_, text, name = segments(batch.column(1))
@@ -157,6 +157,12 @@ def symbol_rows(rows: DataFrame) -> DataFrame:
     return rows.select("row", "text").mapInArrow(run, "name long, row long, content long")
 
 
+def words_digest(text: Column) -> Column:
+    """Digest of the text's words joined by one space: equal for texts that differ in white space only."""
+    words = F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+", " "))
+    return F.sha2(words.cast("binary"), 256)
+
+
 def in_text(name: np.ndarray, text: np.ndarray) -> np.ndarray:
     """One hash for a name and the number of its text in the batch."""
     return mix64(name + mix64(text))
@@ -225,7 +231,7 @@ def substring_dedup(docs: DataFrame, stored: bool = False) -> DataFrame:
     scratch = Scratch(docs.sparkSession, "recompression")
     rows = with_row_id(docs, scratch, ["doc_id", "text"], "row", stored).withColumn(
         "id", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))).select("row", "text", "doc_id", "id")
-    digest = rows.select("row", "id", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("digest"))
+    digest = rows.select("row", "id", words_digest(F.col("text")).alias("digest"))
     groups = scratch.write(digest.groupBy("digest").agg(
         F.min(F.struct("id", "row")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1"), "groups")
     copies = scratch.write(digest.join(groups.hint("merge"), "digest").where(F.col("row") != F.col("first.row")).select(

@@ -149,6 +149,17 @@ def test_substring_dedup_equals_brute_force(spark):
     assert collections.Counter(map(tuple, got)) == words_expected(rows)
 
 
+def test_substring_dedup_copies_differ_in_white_space(spark):
+    words = [f"w{i}" for i in range(1, 14)]
+    one = " ".join(words)
+    rows = [(1, one), (2, one.replace(" ", "  ", 1)), (3, one.replace(" ", "\t")), (4, one + "\n"), (4, "\x0b" + one), (None, "\r\n".join(words)),
+            (5, one.replace(" ", "\u00a0")), (6, " "), (7, ""), (8, "one two"), (9, "one\ntwo"),
+            (20, prose(7, 30)), (20, prose(7, 30).replace(" ", " \f")), (19, prose(7, 30)[:150].replace(" ", "\n") + " other")]
+    got = recompression.substring_dedup(documents(spark, rows)).select("doc_id", "n_words", "n_removed", "kept_sha256").collect()
+    assert collections.Counter(map(tuple, got)) == words_expected(rows)
+    assert sorted(r.n_removed for r in got if r.n_words == 13) == [0, 13, 13, 13, 13, 13]
+
+
 def test_equal_windows_share_their_interior_symbol():
     rng = np.random.default_rng(3)
     shared = rng.integers(1, 6, 13).astype(np.uint64)

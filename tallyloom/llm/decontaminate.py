@@ -1,13 +1,16 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: n-gram seeds, rare ones first, then Smith-Waterman alignment.
 
 Words are lower-cased runs of letters and digits. A first scan counts in how many
-documents each n-gram of the benchmark occurs. An item's seeds are its n-grams
-that aren't far more common than its median one, so even an item of common
-phrases keeps at least half of them. A second scan joins passages to items on the
-seeds: each run of seed hits gives a window of the text around the item's place,
-which is aligned with the item word by word (match +2, mismatch or gap -1). A
-document leaks an item when the best local score is at least ``MIN_SCORE`` of
-the item's full score, so edited, cut or extended copies count too.
+documents each n-gram of the benchmark occurs. An item's rare seeds are its
+n-grams that aren't far more common than the median one of those that occur. A
+second scan joins passages to items on all n-grams: each run of hits gives a
+window of the text around the item's place. Windows with a rare seed come first;
+those of common n-grams alone are aligned too, unless too few of the item's words
+stand close together for the least score, or for a better one than the document
+has. The window is aligned with the item word by word (match +2, mismatch or gap
+-1). A document leaks an item when the best local score is at least ``MIN_SCORE``
+of the item's full score, so edited, cut or extended copies count too, in however
+many documents they stand. A copy without any n-gram of the item isn't found.
 
 Scale: the benchmark is the query set. It is read in blocks of at most
 ``BLOCK_BYTES`` of text, and only a block's n-gram hashes and words are sent to
@@ -22,7 +25,7 @@ its own matches. Empty tables: no matches.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +37,9 @@ from tallyloom.llm.common import (byte_buffer, prefix_hashes, span_hashes, text_
 NGRAM = 3
 MIN_SCORE = 0.5
 MATCH, MISMATCH, GAP = 2, -1, 1
-RARE_TIMES, RARE_PLUS = 4, 16  # a seed is in at most 4 times the item's median number of documents, plus 16
+SPAN = 3 - 2 * MIN_SCORE  # no passage that reaches MIN_SCORE has more than SPAN times the item's words
+RARE_TIMES, RARE_PLUS = 4, 16  # a rare seed is in at most 4 times the item's median number of documents, plus 16
+MAX_HITS = 1 << 20  # hits of items in texts that are expanded at once; more of a single text are handled alone
 BLOCK_BYTES = 4 << 20
 SIEVE_BITS = 22
 
@@ -71,20 +76,21 @@ class Items:
     first: np.ndarray  # of each n-gram's places, plus the end
     item: np.ndarray
     place: np.ndarray
+    seed: np.ndarray  # whether the n-gram is a rare seed of the item
     sieve: np.ndarray
 
     @classmethod
-    def of(cls, ids: list, texts: pa.Array, keep: np.ndarray | None = None) -> Items:
-        """All n-grams of the items, or those in ``keep`` (marks of the places in text order)."""
+    def of(cls, ids: list, texts: pa.Array) -> Items:
+        """All n-grams of the items."""
         words, begin = words_of(texts)
         gram, inside = ngrams(words, begin)
-        at = np.flatnonzero(inside if keep is None else inside & keep)
+        at = np.flatnonzero(inside)
         at = at[np.argsort(gram[at], kind="stable")]
         grams, first = np.unique(gram[at], return_index=True)
         item = np.searchsorted(begin, at, side="right") - 1
         sieve = np.zeros(1 << SIEVE_BITS, bool)
         sieve[grams >> np.uint64(64 - SIEVE_BITS)] = True
-        return cls(ids, words, begin, grams, np.append(first, len(at)), item, at - begin[item], sieve)
+        return cls(ids, words, begin, grams, np.append(first, len(at)), item, at - begin[item], np.ones(len(at), bool), sieve)
 
     def hits(self, words: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Places in the texts where an n-gram of the block stands, and its number."""
@@ -96,58 +102,94 @@ class Items:
         return at[same], number[same]
 
     def rare(self, documents: np.ndarray) -> np.ndarray:
-        """Marks of the n-gram places that are seeds, given each n-gram's number of documents."""
+        """Marks of the n-gram places that are rare seeds, given each n-gram's number of documents."""
         count = np.repeat(documents, np.diff(self.first))
-        order = np.lexsort((count, self.item))
+        there = np.flatnonzero(count)  # an n-gram that occurs nowhere says nothing about the others
+        order = there[np.lexsort((count[there], self.item[there]))]
         start = np.searchsorted(self.item[order], np.arange(len(self.ids) + 1))
         size = np.diff(start)
         middle = np.zeros(len(self.ids))
         middle[size > 0] = count[order][(start[:-1] + size // 2)[size > 0]]
-        keep = np.zeros(max(len(self.words) - NGRAM + 1, 0), bool)
-        seed = count <= RARE_TIMES * middle[self.item] + RARE_PLUS
-        keep[(self.begin[self.item] + self.place)[seed]] = True
-        return keep
+        return count <= RARE_TIMES * middle[self.item] + RARE_PLUS
 
     def leaks(self, texts: pa.Array) -> Iterator[tuple[int, int, float, int, int]]:
         """(text number, item number, score, first word, words) of each leaked item's best passage."""
         words, begin = words_of(texts)
         at, number = self.hits(words, begin)
-        if not len(at):
-            return
+        text = np.searchsorted(begin, at, side="right") - 1
+        total = np.cumsum(np.diff(self.first)[number])
+        start = 0
+        while start < len(at):
+            stop = int(np.searchsorted(total, (total[start - 1] if start else 0) + MAX_HITS, side="right"))
+            if stop < len(at):  # whole texts
+                stop = max(int(np.searchsorted(text, text[stop])), int(np.searchsorted(text, text[start], side="right")))
+            yield from self.passages(words, begin, at[start:stop], number[start:stop])
+            start = stop
+
+    def windows(self, begin: np.ndarray, at: np.ndarray, number: np.ndarray) -> tuple[np.ndarray, ...]:
+        """(text, item, first word, end) of the runs of hits, those with a rare seed first."""
         times = np.diff(self.first)[number]
         at = np.repeat(at, times)
         entry = np.repeat(self.first[number], times) + np.arange(len(at)) - np.repeat(np.cumsum(times) - times, times)
         item = self.item[entry]
         text = np.searchsorted(begin, at, side="right") - 1
+        order = np.lexsort((at - self.place[entry], item, text))
+        at, entry, item, text = at[order], entry[order], item[order], text[order]
         length = np.diff(self.begin)[item]
         slack = length // 2 + 2
         low = np.maximum(at - self.place[entry] - slack, begin[text])
         high = np.minimum(at - self.place[entry] + length + slack, begin[text + 1])
-        order = np.lexsort((low, item, text))
+        fresh = np.ones(len(at), bool)
+        fresh[1:] = (text[1:] != text[:-1]) | (item[1:] != item[:-1]) | (low[1:] >= high[:-1])
+        first = np.flatnonzero(fresh)
+        last = np.append(first[1:], len(at)) - 1
+        rare = np.logical_or.reduceat(self.seed[entry], first)
+        ahead = np.argsort(~rare, kind="stable")
+        return text[first][ahead], item[first][ahead], low[first][ahead], high[last][ahead]
+
+    def passages(self, words: np.ndarray, begin: np.ndarray, at: np.ndarray, number: np.ndarray
+                 ) -> Iterator[tuple[int, int, float, int, int]]:
+        """As ``leaks``, from the hits of whole texts; of equal scores the first passage."""
         best: dict[tuple[int, int], tuple[float, int, int]] = {}
         known: dict[tuple[int, bytes], tuple[float, int, int]] = {}
-        i = 0
-        while i < len(order):
-            j = order[i]
-            key, a, b = (int(text[j]), int(item[j])), int(low[j]), int(high[j])
-            i += 1
-            while i < len(order) and (int(text[order[i]]), int(item[order[i]])) == key and low[order[i]] < b:
-                b = max(b, int(high[order[i]]))
-                i += 1
-            wanted = self.words[self.begin[key[1]]:self.begin[key[1] + 1]]
-            memo = (key[1], words[a:b].tobytes())
-            if memo not in known:
-                # at most the words of either side that the other has can match
-                shared = min(np.isin(wanted, words[a:b]).sum(), np.isin(words[a:b], wanted).sum())
-                known[memo] = align(words[a:b], wanted) if shared >= MIN_SCORE * len(wanted) else (0.0, 0, 0)
-            score, start, size = known[memo]
-            share = score / (MATCH * len(wanted))
-            if share >= MIN_SCORE and share > best.get(key, (0.0,))[0]:
-                best[key] = (share, a + start - int(begin[key[0]]), size)
+        for t, n, a, b in zip(*(x.tolist() for x in self.windows(begin, at, number))):
+            wanted = self.words[self.begin[n]:self.begin[n + 1]]
+            for low, high, most in likely(words[a:b], wanted):
+                have = best.get((t, n), (0.0, 0))
+                if most < have[0]:
+                    continue
+                memo = (n, words[a + low:a + high].tobytes())
+                if memo not in known:
+                    known[memo] = align(words[a + low:a + high], wanted)
+                score, start, size = known[memo]
+                share = score / (MATCH * len(wanted))
+                start += a + low - int(begin[t])
+                if share >= MIN_SCORE and (share, -start) > (have[0], -have[1]):
+                    best[t, n] = (share, start, size)
         for (t, n), found in best.items():
             yield t, n, *found
 
 
+def likely(passage: np.ndarray, item: np.ndarray) -> Iterator[tuple[int, int, float]]:
+    """Parts of the passage that can reach ``MIN_SCORE``: start, end, and a bound of the score's share.
+
+    With m words matched and e edits 2 m - e is at least 2 MIN_SCORE n for n words of
+    the item, so m is MIN_SCORE n at least, and the part spans m + e <= SPAN n words.
+    """
+    n, size = len(item), len(passage)
+    shared = np.isin(item, passage).sum()
+    if shared < MIN_SCORE * n:
+        return
+    sums = np.concatenate([[0], np.cumsum(np.isin(passage, item))])
+    span = int(SPAN * n)
+    count = sums[np.minimum(np.arange(size) + span, size)] - sums[:-1]
+    at = np.flatnonzero(count >= MIN_SCORE * n)
+    if not len(at):
+        return
+    for part in np.split(at, np.flatnonzero(np.diff(at) >= span) + 1):
+        yield int(part[0]), min(int(part[-1]) + span, size), min(int(shared), int(count[part].max())) / n
+
+
 def align(passage: np.ndarray, item: np.ndarray) -> tuple[float, int, int]:
     """Smith-Waterman: best local score, and the start and number of the passage's words in it.
 
@@ -193,7 +235,7 @@ def blocks_of(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> Iterator[
 
 
 def seeded(docs: DataFrame, ids: list, texts: pa.Array) -> Items:
-    """The block with its rare n-grams only, after one scan of the documents for their counts."""
+    """The block with its rare n-grams marked, after one scan of the documents for their counts."""
     every = Items.of(ids, texts)
     shared = docs.sparkSession.sparkContext.broadcast(every)  # a block: bounded by its bytes
 
@@ -212,7 +254,7 @@ def seeded(docs: DataFrame, ids: list, texts: pa.Array) -> Items:
     documents = np.zeros(len(every.grams), np.int64)
     for row in found.collect():  # at most one row for each n-gram of the block
         documents[row["gram"]] = row["docs"]
-    return Items.of(ids, texts, every.rare(documents))
+    return replace(every, seed=every.rare(documents))
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:

@@ -115,6 +115,34 @@ def test_leaks_planted_and_clean(spark):
     assert kept.columns == docs.columns and kept.count() == len(rows) - 9
 
 
+@pytest.mark.parametrize("copies", [10, 30, 60])
+def test_one_edited_copy_in_many_documents_leaks(spark, copies):
+    words = [f"w{i}" for i in range(40)]
+    passage = " ".join("edit" if i % 5 == 2 else w for i, w in enumerate(words))
+    rows = [(i, f"{prose(i, 20)} {passage} {prose(1000 + i, 20)}") for i in range(copies)] + [(900, prose(900, 80))]
+    rows += [(901, " ".join(words[:5] + ["x"] * 60 + words[30:]))]  # common n-grams of the item, too few of its words
+    bench = spark.createDataFrame([(1, " ".join(words))], "item_id long, text string")
+    got = decontaminate.find_leaks(documents(spark, rows), bench).collect()
+    assert sorted(r.doc_id for r in got) == list(range(copies)) and {r.score for r in got} == {0.7}
+    assert {(r.first_word, r.n_words) for r in got} == {(20, 40)}
+    assert {r.doc_id for r in decontaminate.drop_leaks(documents(spark, rows), bench).collect()} == {900, 901}
+
+
+def test_common_ngrams_alone_are_aligned():
+    rng = random.Random(5)
+    for _ in range(300):
+        wanted = [rng.choice("abcdefghijklmnop") for _ in range(rng.randint(4, 25))]
+        text = [rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(0, 60))]
+        text[10:10] = [w if rng.random() < 0.8 else "zz" for w in wanted]
+        items = decontaminate.Items.of([1], pa.array([" ".join(wanted)]))
+        w, begin = decontaminate.words_of(pa.array([" ".join(text)]))
+        best = max((decontaminate.align(w[a:b], items.words) for *_, a, b in zip(*items.windows(begin, *items.hits(w, begin)))),
+                   default=(0, 0, 0))[0] if len(items.hits(w, begin)[0]) else 0
+        items.seed[:] = False
+        got = list(items.leaks(pa.array([" ".join(text)])))
+        assert [s for _, _, s, *_ in got] == ([best / 2 / len(wanted)] if best >= len(wanted) else [])
+
+
 def test_leaks_empty(spark):
     bench = spark.createDataFrame([(1, prose(2, 40))], "item_id long, text string")
     assert decontaminate.find_leaks(none(spark), bench).count() == 0

@@ -7,7 +7,8 @@ the base spans of a document, whose labels are given, and looser candidates
 the same digits or the same mailbox name, however far apart, share skip
 potentials. Loopy message passing gives every candidate's label probabilities.
 A candidate becomes a span when it has a skip link and a kind is at least
-``ADD_AT`` likely, so a document without such a repeat gains nothing.
+``ADD_AT`` likely, so a document without such a repeat gains nothing. Candidates
+linked with each other alone pass messages too; the potentials decide.
 
 Weights are learned by pseudo-likelihood from the base spans and candidates of a
 bounded sample of documents (``MAX_TRAIN_DOCS`` rows, the smallest hashes of
@@ -223,8 +224,10 @@ def find(texts: list[str], crf: Field) -> list[tuple[list, list]]:
     base = [base_spans(t) for t in texts]
     graph = Graph()
     for i, (text, spans) in enumerate(zip(texts, base)):
-        if spans:  # without a given label nothing can spread
-            graph.add(i, text, spans)
+        nodes, chains, skips = len(graph.spans), len(graph.chain), len(graph.skip)
+        graph.add(i, text, spans)
+        if len(graph.skip) == skips:  # only linked nodes can become spans
+            del graph.spans[nodes:], graph.shape[nodes:], graph.chain[chains:]
     added: list[list] = [[] for _ in texts]
     if graph.skip and any(not s[3] for s in graph.spans):
         p = crf.probabilities(graph)

@@ -206,6 +206,23 @@ def test_field_adds_linked_repeats_only(spark):
     assert [k for k, *_ in found[0][1]] == [0] and all(not added for _, added in found[1:])
 
 
+def test_field_runs_on_candidates_without_base_spans():
+    text = "joe (at) x.com, joe (at) x.com; joe (at) x.com, ann (at) y.org"
+    crf = pii.Field(np.zeros((pii.SHAPES, pii.LABELS)), np.zeros((pii.LABELS, pii.LABELS)), np.zeros((pii.LABELS, pii.LABELS)))
+    crf.node[1, 1], crf.skip[1, 1] = 1.0, 3.0  # a name may be an address; two alike are likely to be
+    got = pii.find([text, "joe (at) x.com", "no data"], crf)
+    assert [base for base, _ in got] == [[], [], []]
+    assert sorted(got[0][1]) == [(0, 0, 14), (0, 16, 30), (0, 32, 46)] and got[1][1] == got[2][1] == []
+
+
+@pytest.mark.parametrize("kind,base,loose", [(2, "4111 1111 1111 1111", "4111.1111.1111.1111"), (3, "+1 (523) 555-1055", "(523) 555-1055")])
+def test_field_adds_cards_and_phones(kind, base, loose):
+    text = f"{base} {'x' * 50} {loose}"
+    crf = pii.Field(np.zeros((pii.SHAPES, pii.LABELS)), np.zeros((pii.LABELS, pii.LABELS)), 4 * np.eye(pii.LABELS))
+    (spans, added), = pii.find([text], crf)
+    assert [k for k, *_ in spans] == [kind] and added == [(kind, len(text) - len(loose), len(text))]
+
+
 def test_pii_rows(spark):
     rows = ROWS + [(60, "é +1 (523) 555-1055, a.b@c.org 1.2.3.4, 4111111111111111"), (61, "1" * 50_000), (62, "a@" * 5000)]
     got = {r.doc_id: r for r in pii.digest(pii.find_pii(documents(spark, rows), pii.learn([]))).collect()}

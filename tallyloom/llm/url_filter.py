@@ -70,13 +70,38 @@ def rule_of(host: Column, path: Column, rules: tuple[Rule, ...]) -> Column:
     return found
 
 
+# Public suffixes of two labels that many hosts register names under; others count as one label.
+SUFFIXES = tuple(f"{second}.{country}" for country, seconds in {
+    "ar": "com gob net org", "au": "com edu gov id net org", "br": "com edu gov net org", "cn": "ac com edu gov net org",
+    "hk": "com edu gov net org", "id": "ac co go or", "il": "ac co gov net org", "in": "ac co edu gov net org",
+    "jp": "ac ad co ed go gr lg ne or", "ke": "ac co go or", "kr": "ac co go ne or re", "mx": "com edu gob net org",
+    "my": "com edu gov net org", "nz": "ac co govt net org school", "pl": "com edu gov net org", "sg": "com edu gov net org",
+    "th": "ac co go in or", "tr": "com edu gov net org", "tw": "com edu gov net org", "ua": "com edu gov net org",
+    "uk": "ac co gov ltd me net nhs org plc police sch", "za": "ac co gov net org"}.items() for second in seconds.split())
+
+
+def name_of(host: Column) -> Column:
+    """The host without user, port and final dot."""
+    return F.regexp_replace(host, r"^.*@|\.?(:[0-9]*)?$", "")
+
+
+def is_address(name: Column) -> Column:
+    """Whether the name is an IPv4 or a bracketed IPv6 address."""
+    return name.rlike(r"^([0-9]+(\.[0-9]+){3}|\[.*\])$")
+
+
 def suffix_of(host: Column) -> Column:
-    return F.substring_index(host, ".", -1)
+    """The last label, the last two where ``SUFFIXES`` has them, or the whole of an address."""
+    name = name_of(host)
+    two = F.substring_index(name, ".", -2)
+    return F.when(is_address(name), name).when(two.isin(*SUFFIXES), two).otherwise(F.substring_index(name, ".", -1))
 
 
 def domain_of(host: Column) -> Column:
-    """Registered domain: the last two labels."""
-    return F.substring_index(host, ".", -2)
+    """Registered domain: the suffix and the label before it, or the whole of an address."""
+    name = name_of(host)
+    two = F.substring_index(name, ".", -2)
+    return F.when(is_address(name), name).when(two.isin(*SUFFIXES), F.substring_index(name, ".", -3)).otherwise(two)
 
 
 def prior_weight(level: DataFrame) -> float:

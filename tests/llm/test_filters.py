@@ -81,6 +81,16 @@ def test_url_rules_and_parts(spark):
         11: ("É.org", "/Ä", None, "allow")}
 
 
+def test_domains_and_suffixes(spark):
+    want = {"a.b.example.com": ("example.com", "com"), "example.com:8080": ("example.com", "com"), "example.com.": ("example.com", "com"),
+            "www.shop.co.uk": ("shop.co.uk", "co.uk"), "shop.co.uk:80": ("shop.co.uk", "co.uk"), "co.uk": ("co.uk", "co.uk"),
+            "x.com.au": ("x.com.au", "com.au"), "10.0.0.1": ("10.0.0.1", "10.0.0.1"), "10.0.0.1:99": ("10.0.0.1", "10.0.0.1"),
+            "[::1]:80": ("[::1]", "[::1]"), "me:pw@a.example.org": ("example.org", "org"), "localhost": ("localhost", "localhost"), "": ("", "")}
+    hosts = spark.createDataFrame([(h,) for h in want], "host string")
+    got = hosts.select("host", url_filter.domain_of(F.col("host")), url_filter.suffix_of(F.col("host"))).collect()
+    assert {r[0]: (r[1], r[2]) for r in got} == want
+
+
 def test_host_reputation_blocks_bad_hosts_only(spark):
     rows = [(i, f"http://{'bad' if i % 2 else 'good'}{i % 4}.site{i % 3}.org/p") for i in range(400)]
     pages = spark.createDataFrame(rows + [(1000, "http://new.site1.org/"), (None, "http://bad1.site1.org/")], "page_id long, url string")

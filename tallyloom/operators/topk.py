@@ -28,7 +28,9 @@ HOW_ALIASES = {
 
 
 def order_for(how: str, key: str, measure: str, seed: int = 42) -> list[Column]:
-    h = HOW_ALIASES.get(how, "top")
+    if how not in HOW_ALIASES:
+        raise ValueError(f"unknown order {how!r}; known: {sorted(HOW_ALIASES)}")
+    h = HOW_ALIASES[how]
     if h == "top":
         return [F.col(measure).desc_nulls_last(), F.col(key).asc()]
     if h == "bottom":

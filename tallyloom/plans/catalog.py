@@ -1,8 +1,9 @@
 """Named, parameterised queries: call by name with a dict of arguments.
 
-``run_sql`` is the parameterised-SQL path (text with bound values); the
-registered views are the shop tables, and Spark binds the values (no string
-formatting of user values into SQL).
+``run_sql`` is the parameterised-SQL path: Spark binds the values (no string
+formatting of user values into SQL) and the shop tables, which the text names like
+any table. No view of the session is made or replaced, so a user's own view of the
+same name stays, and threads with different tables don't meet.
 """
 
 from __future__ import annotations
@@ -15,7 +16,6 @@ from functools import partial
 from pyspark.sql import DataFrame, SparkSession
 
 from ..sources import exports
-from ..sources.tables import register_views
 from . import facts, named
 
 QueryFn = Callable[..., DataFrame]
@@ -75,11 +75,16 @@ def run_sql(spark: SparkSession, T: dict[str, DataFrame], text: str,
     """Run SQL text over the shop tables with bound parameters.
 
     Named parameters use ``:name``; positional ones may be written ``?`` or
-    the DB-API ``%s`` (rewritten to ``?`` outside quoted text and comments).
+    the DB-API ``%s`` (rewritten to ``?`` outside quoted text and comments). The
+    text is one query; a table of ``T`` hides a view or table of that name in it.
     """
-    register_views(T)
-    if params is None:
-        return spark.sql(text)
-    if isinstance(params, Mapping):
-        return spark.sql(text, args=dict(params))
-    return spark.sql(_MARKS.sub(lambda m: "?" if m[0] == "%s" else m[0], text), args=list(params))
+    if params is not None and not isinstance(params, Mapping):
+        text, params = _MARKS.sub(lambda m: "?" if m[0] == "%s" else m[0], text), list(params)
+    elif params is not None:
+        params = dict(params)
+    used = {n: df for n, df in T.items() if re.search(rf"\b{re.escape(n)}\b", text, re.IGNORECASE)}
+    if not used:
+        return spark.sql(text, args=params)
+    heads = ", ".join(f"`{n}` AS (SELECT * FROM {{{n}}})" for n in used)
+    body = text.strip().rstrip(";").replace("{", "{{").replace("}", "}}")
+    return spark.sql(f"WITH {heads}\n(\n{body}\n)", args=params, **used)  # an inner WITH may follow

@@ -27,10 +27,9 @@ from pyspark.sql import functions as F
 from ..functions.dates import month_label
 from ..functions.money import money_sum
 
-# Output decimals. The moving average of 4-decimal money over p months has at
-# most 7 decimals exactly (p <= 12, half weights), so 8 decimals never cut an
-# exact value on a tie: two engines that differ in the last bit still agree.
-MONEY_DIGITS, RATIO_DIGITS = 4, 8  # decimals kept of money and of multiplicative parts
+# Output decimals: money-sized parts keep those of money, factors (multiplicative
+# seasonal and residual) twice as many.
+MONEY_DIGITS, RATIO_DIGITS = 4, 8
 
 
 def monthly_series(sales: DataFrame, series_cols: Sequence[str] = (), measure: str = "sales_amount") -> DataFrame:

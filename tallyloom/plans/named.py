@@ -194,9 +194,11 @@ def _sold_in(T: dict[str, DataFrame], products: DataFrame, years: Iterable[int],
 
 def _products_existing(T: dict[str, DataFrame], category_ids: Iterable[int], year: int,
                        attr: int) -> DataFrame:
+    """(category_num, product_id), each once: counts of its rows are distinct counts of products."""
     cats = (T["product_attribute_int"]
             .filter((F.col("attribute_id") == attr) & F.col("value").isin(list(category_ids)))
-            .select(F.col("value").alias("category_num"), F.col("entity_id").alias("product_id")))
+            .where(F.col("entity_id").isNotNull())
+            .select(F.col("value").alias("category_num"), F.col("entity_id").alias("product_id")).distinct())
     existing = T["product"].filter(year_at_most("created_at", year)).select(
         F.col("entity_id").alias("product_id"))
     return cats.join(existing, "product_id", "left_semi")
@@ -210,13 +212,12 @@ def product_counts_year(T: dict[str, DataFrame], year: int, category_ids: Iterab
     base = _products_existing(T, category_ids, year, attr)
     per_product = (base.join(_sold_in(T, base, [year], channel_prefixes), "product_id", "left")
                        .withColumn("order_count", F.coalesce("order_count", F.lit(0))))
-    pid = F.col("product_id")
     n = F.col("order_count")
     return per_product.groupBy("category_num").agg(
-        F.count_distinct(pid).alias("total_products"),
-        F.count_distinct(F.when(n > 0, pid)).alias("sold_products"),
-        F.count_distinct(F.when(n == 1, pid)).alias("single_order_products"),
-        F.count_distinct(F.when(n == 0, pid)).alias("unsold_products"))
+        F.count(F.lit(1)).alias("total_products"),
+        F.count_if(n > 0).alias("sold_products"),
+        F.count_if(n == 1).alias("single_order_products"),
+        F.count_if(n == 0).alias("unsold_products"))
 
 
 def product_counts_cross_year(T: dict[str, DataFrame], years: Iterable[int], category_ids: Iterable[int],
@@ -238,10 +239,9 @@ def product_counts_cross_year(T: dict[str, DataFrame], years: Iterable[int], cat
     per_product = per_year.groupBy("product_id").agg(F.sum("order_count").alias("total_orders"))
     joined = (base.join(per_product, "product_id", "left")
                   .withColumn("total_orders", F.coalesce("total_orders", F.lit(0))))
-    pid = F.col("product_id")
     n = F.col("total_orders")
     return joined.groupBy("category_num").agg(
-        F.count_distinct(pid).alias("total_products"),
-        F.count_distinct(F.when(n > 1, pid)).alias("multiple_order_products"),
-        F.count_distinct(F.when(n == 1, pid)).alias("single_order_products"),
-        F.count_distinct(F.when(n == 0, pid)).alias("unsold_products"))
+        F.count(F.lit(1)).alias("total_products"),
+        F.count_if(n > 1).alias("multiple_order_products"),
+        F.count_if(n == 1).alias("single_order_products"),
+        F.count_if(n == 0).alias("unsold_products"))

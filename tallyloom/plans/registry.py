@@ -14,7 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.dates import weekday_rank, day_name
-from ..operators.joins import range_overlap_join
+from ..operators.joins import interval_join, range_overlap_join
+from ..operators.stats import cap_value
 from ..sources.tables import shop_tables_from_tpch
 from . import catalog, named
 
@@ -126,6 +127,18 @@ def _join_range_overlap(T):
                               "start_date", "end_date").select("rule_id", "label")
 
 
+@query("join_range_overlap_many")
+def _join_range_overlap_many(T):
+    """Promotions against the order days as ranges: a range for each day and customer group, of one to six weeks."""
+    day, group = F.to_date("created_at"), F.coalesce("customer_group_id", F.lit(0))
+    ranges = T["sales_order"].select(
+        F.concat_ws(":", group, F.date_format(day, "yyyy-MM-dd")).alias("label"), day.alias("start_date"),
+        F.date_add(day, (7 + group * 4).cast("int")).alias("end_date")).distinct()
+    pairs = interval_join(T["promotion"], ranges, "from_date", "to_date", "start_date", "end_date")
+    return pairs.groupBy("rule_id").agg(F.count("*").alias("n_ranges"), F.min("label").alias("first_label"),
+                                        F.max("end_date").alias("last_day"))
+
+
 # ---------------------------------------------------------------- step 2
 from . import facts, products, sales  # noqa: E402
 from ..functions.predicates import exclude_channels  # noqa: E402
@@ -510,7 +523,7 @@ def _basket_lift_display(T):
 def _quantile_cap(T):
     s, chosen = basket_items(T, "brand_id")
     pairs = basket.basket_pairs(s, chosen, item="brand_id", reuse=True)
-    return pairs.agg(F.round(F.least(F.lit(10.0), F.percentile("lift", F.lit(0.95))), 9).alias("lift_cap"))
+    return cap_value(pairs, "lift").select(F.col("cap").alias("lift_cap"))
 
 
 # ---------------------------------------------------------------- step 7
@@ -641,6 +654,17 @@ def _export_csv(T):
     return spark.read.schema(df.schema).option("header", True).csv(path)
 
 
+@query("export_csv_text")
+def _export_csv_text(T):
+    """The files' own text, number by number, of totals of every size."""
+    spark = T["sales_order"].sparkSession
+    df = named.monthly_sales_trend(T).select(
+        "month", "total_revenue", (F.col("total_revenue") * 1e3).alias("thousandfold"),
+        F.when(F.col("month") < "1996", F.col("total_revenue")).alias("some"))
+    path = exports.export_csv(df, _scratch(spark, "exports"), "raw", EXPORT_TIME)
+    return spark.read.schema(", ".join(f"{c} string" for c in df.columns)).option("header", True).csv(path)
+
+
 @query("export_json")
 def _export_json(T):
     spark = T["sales_order"].sparkSession

@@ -12,9 +12,13 @@ checked on generated data. It is lazy too: no table is materialised.
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .schemas import DRIVER_SCHEMAS, SHOP_SCHEMAS
+
 SHOP_TABLES = (
     "sales_order",            # one row per order
     "sales_item",             # one row per order line
@@ -25,10 +29,18 @@ SHOP_TABLES = (
 )
 
 
-def open_tables(spark: SparkSession, path: str, fmt: str = "parquet",
-                names: tuple[str, ...] = SHOP_TABLES) -> dict[str, DataFrame]:
-    """Read ``{path}/{name}.{fmt}`` for each shop table (lazy)."""
-    return {n: spark.read.format(fmt).load(f"{path.rstrip('/')}/{n}.{fmt}") for n in names}
+def open_tables(spark: SparkSession, path: str, fmt: str = "parquet", names: tuple[str, ...] = SHOP_TABLES,
+                schemas: Mapping[str, str] | None = SHOP_SCHEMAS) -> dict[str, DataFrame]:
+    """Read ``{path}/{name}.{fmt}`` for each shop table (lazy).
+
+    Columns come from ``schemas`` (DDL text by table), so opening starts no job;
+    tables it doesn't name, or all with None, have theirs read from the files.
+    """
+    def reader(name: str):
+        declared = (schemas or {}).get(name)
+        return spark.read.schema(declared) if declared else spark.read
+
+    return {n: reader(n).format(fmt).load(f"{path.rstrip('/')}/{n}.{fmt}") for n in names}
 
 
 def open_jdbc_tables(spark: SparkSession, url: str, properties: dict[str, str],
@@ -56,15 +68,9 @@ def open_jdbc_tables(spark: SparkSession, url: str, properties: dict[str, str],
     return out
 
 
-def register_views(tables: dict[str, DataFrame]) -> None:
-    """Expose each table as a temp view under its own name (for ``spark.sql``)."""
-    for name, df in tables.items():
-        df.createOrReplaceTempView(name)
-
-
 def read_source(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """Lazy read of a driver table."""
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    """Lazy read of a driver table, by its declared columns."""
+    return spark.read.schema(DRIVER_SCHEMAS[name]).parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
 # Category option ids by part type. Fixed values of the test mapping

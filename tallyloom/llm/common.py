@@ -8,12 +8,13 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from tallyloom.session import ensure_checkpoint_dir
 
 # Text bytes that a task handles at once in numpy; longer single texts are handled alone.
 CHUNK_BYTES = 4 << 20
+MOST_FILES = 50_000  # whose numbers are broadcast; a row of some 200 bytes each
 
 
 class Scratch:
@@ -49,13 +50,22 @@ class Scratch:
 def with_row_id(docs: DataFrame, scratch: Scratch, columns: list[str], row: str, stored: bool = False) -> DataFrame:
     """The named columns with a unique long row key ``row``.
 
-    Document ids may be null or repeated, so joins use this key. The frame is
-    written and reread, which makes the key the same in every later read and
-    after a retry; ``stored`` says that ``docs`` is itself a plain read of files,
-    whose splits don't change, and saves that copy.
+    Document ids may be null or repeated, so joins use this key. It is the same in
+    every later read, however the files are then split and whichever executors are
+    there. With ``stored``, which says that ``docs`` is itself a plain read of Parquet
+    files, it is the row's place in its file after the file's number among all files,
+    written once; no text is copied. Otherwise (or with more than ``MOST_FILES`` files)
+    the frame is written with its keys and reread.
     """
-    keyed = docs.select(*columns).withColumn(row, F.monotonically_increasing_id())
-    return keyed if stored else scratch.write(keyed, "rows")
+    if stored and "_metadata" not in docs.columns:
+        paths = scratch.write(docs.select(F.col("_metadata.file_path").alias("__path")).distinct(), "paths")
+        if paths.count() <= MOST_FILES:
+            number = F.row_number().over(Window.orderBy("__path")).cast("long")
+            files = scratch.write(paths.select("__path", number.alias("__file")), "files")
+            placed = docs.select(*columns, F.col("_metadata.file_path").alias("__path"), F.col("_metadata.row_index").alias("__at"))
+            return placed.join(F.broadcast(files), "__path").select(  # a row for each of at most ``MOST_FILES`` files
+                *columns, (F.shiftleft("__file", 40) + F.col("__at")).alias(row))
+    return scratch.write(docs.select(*columns).withColumn(row, F.monotonically_increasing_id()), "rows")
 
 
 def hash_sample(rows: DataFrame, limit: int, *keys: str) -> DataFrame:

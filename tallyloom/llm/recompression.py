@@ -17,9 +17,10 @@ which verifies the repeat and finds the smallest document that has it.
 
 Scale: texts of the same words are handled once (a digest of the words joined by
 one space, 32 bytes a row, is grouped first). One row per name and text, about one in five words, is
-shuffled by name, and the digests of windows under shared symbols. A name or a
-window in a third of all documents is one row for each of them, among that
-document's many, so no task gets more than that. Texts are shuffled once, by row.
+shuffled by name, and the digests of windows under shared symbols. Each batch of
+texts first decides what it can by itself, and sends its decided rows under keys of
+their own; a name or a window in a third of all documents is a few rows for each
+batch (``CHUNK_BYTES`` of text) in its group. Texts are shuffled once, by row.
 
 Nulls and empty texts: no words. A null doc_id is larger than all others. Rows of
 one doc_id don't remove each other's words; of texts of the same words, whatever
@@ -142,19 +143,45 @@ def segments(texts: pa.Array) -> tuple:
 
 
 def symbol_rows(rows: DataFrame) -> DataFrame:
-    """(name, row, content): each name in each text once; ``content`` is a hash of the text's words
-    that tells copies (as ``words_digest`` groups them) from other texts with the same symbol."""
+    """(key, row, content): each name in each text once; ``content`` is a hash of the text's words
+    that tells copies (as ``words_digest`` groups them) from other texts with the same symbol.
+
+    Of the copies in a batch of texts only the first stands for all. What the batch
+    decides stays out of the name's group: a name in two contents of it is shared,
+    so its rows have no content and a key of their own (``own_key``), and only two
+    rows without a text, of two contents, go to the name. So a name has a few rows
+    for each batch, however many texts hold it.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_batches(batches):
             _, _, _, begin, words, *_, text, name = segments(batch.column(1))
             content = span_hashes(prefix_hashes(words), begin[:-1], begin[1:])
+            id_, row = np.asarray(batch.column(2)), np.asarray(batch.column(0))
+            by = np.lexsort((row, id_, content))
+            first = np.zeros(len(by), bool)
+            first[by] = np.append(True, content[by][1:] != content[by][:-1])[:len(by)]
+            mine = first[text]
+            name, text = name[mine], text[mine]
             _, once = np.unique(in_text(name, text), return_index=True)
             name, text = name[once], text[once]
-            yield pa.RecordBatch.from_arrays([
-                pa.array(name.view(np.int64)), batch.column(0).take(pa.array(text)), pa.array(content[text].view(np.int64))],
-                names=["name", "row", "content"])
+            names, at, n = np.unique(name, return_index=True, return_counts=True)  # the contents of a name's texts differ
+            shared = n[np.searchsorted(names, name)] > 1
+            again = names[n > 1]
+            low, high = text[at[n > 1]], text[len(name) - 1 - np.unique(name[::-1], return_index=True)[1][n > 1]]
+            own = own_key(name[shared], row[text[shared]])
+            key = np.concatenate([name[~shared], own, again, again])
+            out_row = pa.concat_arrays([pa.array(row[text[~shared]]), pa.array(row[text[shared]]), pa.nulls(2 * len(again), pa.int64())])
+            said = content.view(np.int64)
+            out = pa.concat_arrays([pa.array(said[text[~shared]]), pa.nulls(int(shared.sum()), pa.int64()),
+                                    pa.array(said[low]), pa.array(said[high])])
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), out_row, out], names=["key", "row", "content"])
+
+    return rows.select("row", "text", "id").mapInArrow(run, "key long, row long, content long")
 
-    return rows.select("row", "text").mapInArrow(run, "name long, row long, content long")
+
+def own_key(name: np.ndarray, row: np.ndarray) -> np.ndarray:
+    """A key that spreads the rows of a name; applied again it gives the name back."""
+    return name ^ mix64(row.astype(np.int64).view(np.uint64) + np.uint64(1))
 
 
 def words_digest(text: Column) -> Column:
@@ -169,24 +196,37 @@ def in_text(name: np.ndarray, text: np.ndarray) -> np.ndarray:
 
 
 def window_rows(live: DataFrame) -> DataFrame:
-    """(a, b, row, id, place): digests of the windows of the segments named in ``names`` of each text."""
+    """(a, b, row, id, place): digests of the windows of the segments in ``names`` and ``keys`` of each text.
+
+    A window that stands under a smaller id in the same batch of texts is decided:
+    it has no id and a key of its own. Only the batch's smallest id of a window
+    goes to the window's group.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_batches(batches):
             data, first, last, begin, words, at, segment, text, name = segments(batch.column(1))
-            names = batch.column(4)
-            of = np.repeat(np.arange(batch.num_rows), np.asarray(pc.list_value_length(names)))
-            wanted = in_text(np.asarray(names.flatten()).view(np.uint64), of)
+            row, id_ = np.asarray(batch.column(0)), np.asarray(batch.column(3))
+            names, keys = batch.column(4), batch.column(5)
+            count = lambda x: np.repeat(np.arange(batch.num_rows), np.asarray(pc.list_value_length(x)))
+            of, spread = count(names), count(keys)
+            back = own_key(np.asarray(keys.flatten()).view(np.uint64), row[spread])
+            wanted = np.concatenate([in_text(np.asarray(names.flatten()).view(np.uint64), of), in_text(back, spread)])
             chosen = np.isin(in_text(name, text), wanted)
             at = at[np.repeat(chosen, np.diff(np.append(segment, len(at))))]
             of = np.searchsorted(begin, at, side="right") - 1
             other = prefix_hashes(word_hashes(data, first, last, OTHER_VALUES))
+            a, b = span_hashes(prefix_hashes(words), at, at + WINDOW), span_hashes(other, at, at + WINDOW)
+            by = np.lexsort((id_[of], b, a))
+            fresh = np.append(True, (a[by][1:] != a[by][:-1]) | (b[by][1:] != b[by][:-1]))[:len(by)]
+            least = np.empty(len(by), np.int64)
+            least[by] = id_[of][by][np.flatnonzero(fresh)][np.cumsum(fresh) - 1]
+            decided = least < id_[of]
+            a[decided] = own_key(a[decided], row[of[decided]])
             yield pa.RecordBatch.from_arrays([
-                pa.array(span_hashes(prefix_hashes(words), at, at + WINDOW).view(np.int64)),
-                pa.array(span_hashes(other, at, at + WINDOW).view(np.int64)),
-                batch.column(0).take(pa.array(of)), batch.column(3).take(pa.array(of)),
+                pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.array(row[of]), pa.array(id_[of], mask=decided),
                 pa.array((at - begin[of]).astype(np.int32))], names=["a", "b", "row", "id", "place"])
 
-    return live.select("row", "text", "doc_id", "id", "names").mapInArrow(run, "a long, b long, row long, id long, place int")
+    return live.select("row", "text", "doc_id", "id", "names", "keys").mapInArrow(run, "a long, b long, row long, id long, place int")
 
 
 def cut_words(found: DataFrame) -> DataFrame:
@@ -236,14 +276,16 @@ def substring_dedup(docs: DataFrame, stored: bool = False) -> DataFrame:
         F.min(F.struct("id", "row")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1"), "groups")
     copies = scratch.write(digest.join(groups.hint("merge"), "digest").where(F.col("row") != F.col("first.row")).select(
         "row", (F.col("id") > F.col("first.id")).alias("every"), F.col("first.row").alias("twin")), "copies")
-    by_name = Window.partitionBy("name")
+    by_name = Window.partitionBy("key")
+    own = F.when(F.col("content").isNull(), F.col("key"))
     shared = scratch.write(
         symbol_rows(rows).withColumn("low", F.min("content").over(by_name)).withColumn("high", F.max("content").over(by_name))
-        .where("low < high").groupBy("row").agg(F.collect_list("name").alias("names"))
+        .where("row IS NOT NULL AND (content IS NULL OR low < high)").groupBy("row").agg(
+            F.collect_list(F.when(F.col("content").isNotNull(), F.col("key"))).alias("names"), F.collect_list(own).alias("keys"))
         .join(copies, "row", "left_anti"), "shared")
     by_window = Window.partitionBy("a", "b")
     gone = (window_rows(rows.join(shared.hint("merge"), "row")).withColumn("least", F.min("id").over(by_window))
-            .where("least < id").groupBy("row").agg(F.collect_list("place").alias("places")))
+            .where("id IS NULL OR least < id").groupBy("row").agg(F.collect_list("place").alias("places")))
     gone = scratch.write(gone, "gone")
     marks = gone.select("row", F.lit(False).alias("every"), "places").unionByName(
         copies.where("every").select("row", "every", F.lit(None).cast("array<int>").alias("places"))).unionByName(

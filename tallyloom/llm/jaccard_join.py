@@ -19,7 +19,8 @@ Scale: equal sets are one set with a count of copies, so a group of copies costs
 one row. Paths are shuffled without sketches, which only rows of shared nodes
 fetch. A leaf is walked breadth first and visited sets drop out, so a tight group
 costs about its size; leaves that stay larger are searched in pairs of blocks.
-Components larger than a block are compared block by
+Components larger than a block are dealt to blocks by hash
+(a block's number comes from the component's totals, no set is numbered) and compared block by
 block, each block pair a task; pairs themselves are never emitted, only each
 set's number of links and one link per set to its group's smallest member.
 
@@ -34,7 +35,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from tallyloom.llm.common import (Scratch, byte_buffer, free_name, mix64, prefix_hashes, span_hashes, text_batches,
                                   with_row_id, word_hashes, word_spans)
@@ -196,8 +197,10 @@ def loose_components(sets: DataFrame, scratch: Scratch, runs: int) -> DataFrame:
     roots = [int(x) for x in mix64(np.arange(1, runs + 1) * 104729)]
     active, links = children(sets, roots), []
     for depth in range(1, MAX_DEPTH + 1):
-        sized = scratch.write(active.withColumn("size", F.count(F.lit(1)).over(Window.partitionBy("path")))
-                              .where("size > 1"), f"paths{depth}")
+        active = scratch.write(active, f"children{depth}")
+        sizes = scratch.write(active.groupBy("path").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), f"sizes{depth}")
+        sized = scratch.write(active.join(sizes.hint("merge"), "path"), f"paths{depth}")  # two plain shuffles: a hot path is split
+        scratch.drop(f"children{depth}", f"sizes{depth}")
         ready = in_blocks(sized) if depth == MAX_DEPTH else sized.where(F.col("size") <= LEAF).select("path", "node")
         links.append(scratch.write(leaf_links(ready.join(sets.hint("merge"), "node")).distinct(), f"leaves{depth}"))
         large = sized.where(F.col("size") > LEAF)
@@ -279,11 +282,11 @@ def classes_of(rows: DataFrame, scratch: Scratch, recall: float = TARGET_RECALL)
     sets = scratch.write(some.groupBy("a", "b", "n").agg(
         F.min_by("tokens", "row").alias("tokens"), F.min("row").alias("node"), F.count(F.lit(1)).alias("copies")), "sets")
     loose = loose_components(sets.select("node", "tokens"), scratch, runs_for(recall))
-    by_label = Window.partitionBy("label").orderBy("node")
-    sized = loose.join(sets.select("node", "n", "copies"), "node").withColumn(
-        "block", F.greatest(F.floor(F.sum("n").over(by_label) / BLOCK_SHINGLES), F.floor(F.row_number().over(by_label) / BLOCK_SETS)))
-    blocks = sized.withColumn("last", F.max("block").over(Window.partitionBy("label")))
-    blocks = scratch.write(blocks.select("node", "label", "block", "last", "copies"), "blocks")
+    sized = scratch.write(loose.join(sets.select("node", "n", "copies"), "node"), "sized")
+    parts = scratch.write(sized.groupBy("label").agg(F.greatest(
+        F.ceil(F.sum("n") / BLOCK_SHINGLES), F.ceil(F.count(F.lit(1)) / BLOCK_SETS)).cast("long").alias("parts")), "parts")
+    blocks = scratch.write(sized.join(parts.hint("merge"), "label").select(
+        "node", "label", F.pmod(F.xxhash64("node"), "parts").alias("block"), (F.col("parts") - 1).alias("last"), "copies"), "blocks")
     whole = rows.select("row", "text").join(blocks.withColumnRenamed("node", "row").hint("merge"), "row")
     exact = scratch.write(exact_rows(block_pairs(whole)), "exact")
     links = exact.groupBy("node").agg(F.sum("links").alias("links"))

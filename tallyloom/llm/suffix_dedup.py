@@ -10,7 +10,9 @@ merged (``bwt``). An interval of rows with a common prefix of 400 bytes whose
 segments occur at least twice in all is a repeated window; all its rows, copies
 included, are removed wherever they occur. Windows are judged on the input.
 
-Scale: one row per segment, about one in 185 bytes, is shuffled by name. Of
+Scale: one row per segment, about one in 185 bytes, is written; segments and names
+are counted by aggregates, combined before the shuffle, that join back, so a name or a
+segment in a third of all texts is never in one task. Of
 equal segments only one goes to the transforms, so copies cost nothing there; a
 name of one distinct segment is a collection of one string, whose rows are
 intervals of their own with the segment's weight, and needs no transform. A name with more than ``SPLIT`` distinct segments is split: windows that hold the
@@ -30,7 +32,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from tallyloom.llm.bwt import repeated_windows
 from tallyloom.llm.common import (BYTE_VALUES, OTHER_VALUES, Scratch, byte_buffer, prefix_hashes, span_hashes, text_batches,
@@ -222,23 +224,25 @@ def suffix_dedup(docs: DataFrame, stored: bool = False, split: int = SPLIT) -> D
     """
     scratch = Scratch(docs.sparkSession, "suffix-dedup")
     rows = with_row_id(docs, scratch, ["doc_id", "text"], "row", stored).select("row", "text", "doc_id")
-    by_name, by_segment = Window.partitionBy("name"), Window.partitionBy("name", "a", "b")
-    shared = scratch.write(
-        segment_rows(rows).withColumn("total", F.sum(F.size("starts")).over(by_name)).where("total > 1")
-        .withColumn("weight", F.sum(F.size("starts")).over(by_segment))
-        .withColumn("lead", (F.row_number().over(by_segment.orderBy("row")) == 1).cast("int"))
-        .withColumn("kinds", F.sum("lead").over(by_name)).drop("total"), "segments")
-    alone = shared.where("lead = 1 AND kinds = 1").select(
-        "a", "b", F.lit(0).alias("start"), (F.col("size") - WINDOW + 1).alias("count"))
-    wanted = shared.where("lead = 1 AND kinds > 1").groupBy("row").agg(F.collect_list(F.struct(
-        "name", "a", "b", F.col("starts")[0].alias("start"), "size", "anchor", "weight")).alias("parts"))
+    segments = scratch.write(segment_rows(rows), "segments")
+    lead = [F.first(c).alias(c) for c in ("row", "start", "size", "anchor")]  # all of one occurrence
+    kinds = scratch.write(segments.withColumn("start", F.col("starts")[0]).groupBy("name", "a", "b").agg(
+        F.sum(F.size("starts")).alias("weight"), *lead), "kinds")
+    names = scratch.write(kinds.groupBy("name").agg(F.sum("weight").alias("total"), F.count(F.lit(1)).alias("kinds"))
+                          .where("total > 1").select("name", "kinds"), "names")
+    shared = scratch.write(kinds.join(names.hint("merge"), "name"), "shared")
+    scratch.drop("kinds", "names")
+    alone = shared.where("kinds = 1").select("a", "b", F.lit(0).alias("start"), (F.col("size") - WINDOW + 1).alias("count"))
+    wanted = shared.where("kinds > 1").groupBy("row").agg(F.collect_list(F.struct(
+        "name", "a", "b", "start", "size", "anchor", "weight")).alias("parts"))
     pieces = rows.select("row", F.col("text").cast("binary").alias("text")).join(wanted.hint("merge"), "row").select(
         "text", F.explode("parts").alias("p")).select(
         "p.name", "p.a", "p.b", "p.weight", F.lit(0).alias("low"), F.substring("text", F.col("p.start") + 1, F.col("p.size")).alias("bytes"),
         F.col("p.anchor").alias("core_from"), (F.col("p.anchor") + ANCHOR).alias("core_to"))
     pieces, sure = split_hot(scratch.write(pieces, "pieces-1"), scratch, split)
     found = scratch.write(repeats(pieces).unionByName(sure).unionByName(alone).groupBy("a", "b").agg(F.collect_list(F.struct("start", "count")).alias("found")), "found")
-    runs = shared.select("a", "b", "row", F.explode("starts").alias("at")).join(found.hint("merge"), ["a", "b"]).groupBy("row").agg(
+    runs = segments.select("a", "b", "row", "starts").join(found.hint("merge"), ["a", "b"]).select(
+        "row", "found", F.explode("starts").alias("at")).groupBy("row").agg(
         F.flatten(F.collect_list(F.transform("found", lambda x: F.struct(
             (F.col("at") + x["start"]).alias("start"), x["count"].alias("count"))))).alias("runs"))
     return cut_bytes(rows.join(scratch.write(runs, "runs").hint("merge"), "row", "left"))

@@ -68,19 +68,19 @@ def with_row_id(docs: DataFrame, scratch: Scratch, columns: list[str], row: str,
     return scratch.write(docs.select(*columns).withColumn(row, F.monotonically_increasing_id()), "rows")
 
 
-def hash_sample(rows: DataFrame, limit: int, *keys: str) -> DataFrame:
-    """At most ``limit`` rows, those of smallest hash of ``keys``; all when there are no more.
+def below_cut(rows: DataFrame, limit: int, *keys: str) -> DataFrame:
+    """The rows of smallest hash of ``keys``, somewhat more than ``limit`` of them; all when there are no more.
 
-    The rows are counted first and those beyond the expected cut dropped where
-    they are read, so no task or driver gets more than about ``limit`` of them.
+    The rows are counted first and those beyond the expected cut dropped where they are read.
     """
     total = rows.count()
-    if total <= limit:
-        return rows
-    place = F.xxhash64(*keys)
-    cut = int((limit + 4 * limit ** 0.5) / total * 2.0 ** 64) - (1 << 63)
-    few = rows.where(place < min(cut, (1 << 63) - 1)) if cut < (1 << 63) else rows
-    return few.orderBy(place, *keys).limit(limit)
+    cut = int((limit + 4 * limit ** 0.5) / max(total, 1) * 2.0 ** 64) - (1 << 63)
+    return rows if total <= limit or cut >= 1 << 63 else rows.where(F.xxhash64(*keys) < cut)
+
+
+def hash_sample(rows: DataFrame, limit: int, *keys: str) -> DataFrame:
+    """At most ``limit`` rows, those of smallest hash of ``keys``; no task or driver gets more than about as many."""
+    return below_cut(rows, limit, *keys).orderBy(F.xxhash64(*keys), *keys).limit(limit)
 
 
 def free_name(df: DataFrame, wanted: str) -> str:

@@ -12,7 +12,8 @@ linked with each other alone pass messages too; the potentials decide.
 
 Weights are learned by pseudo-likelihood from the base spans and candidates of a
 bounded sample of documents (``MAX_TRAIN_DOCS`` rows, the smallest hashes of
-their id, up to ``MAX_TRAIN_BYTES`` each).
+their id and text, up to ``MAX_TRAIN_BYTES`` and ``MAX_TRAIN_NODES`` nodes each). Tasks turn
+them into graphs, so the driver gets some 40 bytes a node and no text.
 
 Scale: one pass without a shuffle. A group of equal tokens is linked as a chain
 in text order, so links grow with the nodes, and the messages of all documents
@@ -33,13 +34,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tallyloom.llm.common import hash_sample, text_batches, texts_of
+from tallyloom.llm.common import below_cut, text_batches, texts_of
 
 KINDS = ("email", "ip", "card", "phone")
 LABELS = len(KINDS) + 1  # 0: no personal data
 ADD_AT = 0.9
 ROUNDS = 12
-MAX_TRAIN_DOCS, MAX_TRAIN_BYTES = 4000, 1 << 18
+MAX_TRAIN_DOCS, MAX_TRAIN_BYTES, MAX_TRAIN_NODES = 4000, 1 << 18, 500
 
 # The characters and patterns of the contract. Where a repetition can't give back
 # characters to any use, it is possessive, and a run of digits is only entered at its start.
@@ -188,24 +189,29 @@ def log_sum(x: np.ndarray, axis: int) -> np.ndarray:
     return np.log(np.exp(x - top).sum(axis)) + top.squeeze(axis)
 
 
-def learn(texts: list[str], steps: int = 300, penalty: float = 2e-3) -> Field:
-    """Pseudo-likelihood: each node's label given its shape and its neighbours' labels."""
+def learn(texts: list[str]) -> Field:
+    """Field learned from whole texts, by ``fit``."""
     graph = Graph()
     for i, text in enumerate(texts):
         graph.add(i, text, base_spans(text))
+    return fit([s[3] for s in graph.spans], graph.shape, graph.chain, graph.skip)
+
+
+def fit(labels: list[int], shapes, chains, skips, steps: int = 300, penalty: float = 2e-3) -> Field:
+    """Pseudo-likelihood: each node's label given its shape and its neighbours' labels."""
     weights = [np.zeros((SHAPES, LABELS)), np.zeros((LABELS, LABELS)), np.zeros((LABELS, LABELS))]
-    if not graph.spans:
+    if not len(labels):
         return Field(*weights)
-    y = np.array([s[3] for s in graph.spans])
+    y = np.array(labels)
     one = np.eye(LABELS)[y]
     sides = []
-    for links in (graph.chain, graph.skip):
+    for links in (chains, skips):
         pair = np.array(links, np.int64).reshape(-1, 2)
         before, after = np.zeros_like(one), np.zeros_like(one)
         np.add.at(before, pair[:, 1], one[pair[:, 0]])
         np.add.at(after, pair[:, 0], one[pair[:, 1]])
         sides.append((before, after))
-    x = np.array(graph.shape)
+    x = np.array(shapes, np.float64)
     mean = [np.zeros_like(w) for w in weights]
     for step in range(steps):
         node, chain, skip = weights
@@ -240,10 +246,41 @@ def find(texts: list[str], crf: Field) -> list[tuple[list, list]]:
     return list(zip(base, added))
 
 
+def graph_rows(docs: DataFrame) -> DataFrame:
+    """(place, labels, shapes, chain, skip): each text's graph, its links as pairs of node numbers one after the other.
+
+    Texts of no node, or of more than ``MAX_TRAIN_NODES``, are left out.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        numbers = pa.list_(pa.int32())
+        kinds = pa.schema([("place", pa.int64()), ("labels", numbers), ("shapes", pa.binary()), ("chain", numbers), ("skip", numbers)])
+        for batch in text_batches(batches):
+            out = []
+            for place, text in zip(batch.column(0).to_pylist(), texts_of(batch)):
+                graph = Graph()
+                graph.add(0, text, base_spans(text))
+                if 0 < len(graph.spans) <= MAX_TRAIN_NODES:
+                    flat = lambda links: [n for pair in links for n in pair]
+                    out.append({"place": place, "labels": [s[3] for s in graph.spans], "shapes": np.array(graph.shape, np.uint8).tobytes(),
+                                "chain": flat(graph.chain), "skip": flat(graph.skip)})
+            yield pa.RecordBatch.from_pylist(out, kinds)
+
+    return docs.select("place", "text").mapInArrow(run, "place long, labels array<int>, shapes binary, chain array<int>, skip array<int>")
+
+
 def train(docs: DataFrame, limit: int = MAX_TRAIN_DOCS) -> Field:
-    """Field learned from at most ``limit`` documents."""
+    """Field learned from the graphs of at most ``limit`` documents."""
     useful = docs.select("doc_id", "text").where(F.octet_length("text") <= MAX_TRAIN_BYTES).where(F.col("text").rlike("[0-9]{3}|@"))
-    return learn(sorted(r["text"] for r in hash_sample(useful, limit, "doc_id", "text").select("text").collect()))
+    few = below_cut(useful, limit, "doc_id", "text").select(F.xxhash64("doc_id", "text").alias("place"), "text")
+    rows = graph_rows(few).orderBy("place", "labels", "shapes").limit(limit).collect()  # some 40 bytes a node
+    labels, shapes, chains, skips = [], [], [], []
+    for r in rows:
+        base = len(labels)
+        labels += r["labels"]
+        shapes.append(np.frombuffer(r["shapes"], np.uint8).reshape(-1, SHAPES))
+        chains += [n + base for n in r["chain"]]
+        skips += [n + base for n in r["skip"]]
+    return fit(labels, np.concatenate(shapes) if shapes else [], chains, skips)
 
 
 def joined(spans: list[tuple[int, int, int]]) -> str:

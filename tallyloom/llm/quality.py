@@ -7,8 +7,8 @@ Gated attention gives each passage a weight within its document, and a logistic
 unit scores the weighted sum; only document labels train all of it.
 
 Scale: training takes a bounded sample of labelled rows (``MAX_TRAIN_DOCS``
-rows of at most ``MAX_TRAIN_BYTES``, those with the smallest hash of their id)
-to the driver; the model has about 26,000 numbers. Scoring is one pass without
+rows of at most ``MAX_TRAIN_BYTES``, those with the smallest hash of their id, and one
+text for an id) to the driver; the model has about 26,000 numbers. Scoring is one pass without
 a shuffle that holds ``CHUNK_BYTES`` of text, or one longer text in slices.
 
 Nulls and empty texts: scored as one passage without bytes. Null labels or ids
@@ -34,7 +34,7 @@ COUNTS = 256 + PAIR_BUCKETS
 FEATURES = COUNTS + 4
 HIDDEN, GATE = 32, 16
 MAX_TRAIN_DOCS = 3000
-MAX_TRAIN_BYTES = 1 << 20
+MAX_TRAIN_BYTES = 1 << 15  # so the driver gets 96 MB of text at most
 STEPS, RATE, DECAY, SEED = 160, 0.02, 1e-4, 7
 THRESHOLD = 0.3
 SLICE = 2048  # passages that are encoded at once
@@ -135,20 +135,8 @@ def fit(texts: pa.Array, labels: np.ndarray, steps: int = STEPS) -> Model:
     model = Model([draw(FEATURES, HIDDEN) * 3, np.zeros(HIDDEN, np.float32), draw(HIDDEN, GATE), draw(HIDDEN, GATE),
                    draw(GATE), draw(HIDDEN), np.full(1, base, np.float32)])
     mean, square = [np.zeros_like(w) for w in model.weights], [np.zeros_like(w) for w in model.weights]
-    count = np.diff(first)
     for step in range(1, steps + 1):
-        w, b, v, u, a, c, d = model.weights
-        h, left, gate, e = model.parts(x)
-        z, weight = pool(h, e, first)
-        y = 1 / (1 + np.exp(-(z @ c + d[0])))
-        dy = (y - labels) / len(labels)
-        dz = np.repeat(dy[:, None] * c[None, :], count, axis=0)
-        da = (dz * h).sum(1)
-        de = weight * (da - np.repeat(np.add.reduceat(weight * da, first[:-1]), count))
-        dm = de[:, None] * a[None, :]
-        dl, dg = dm * gate * (1 - left * left), dm * left * gate * (1 - gate)
-        dp = (weight[:, None] * dz + dl @ v.T + dg @ u.T) * (1 - h * h)
-        grads = [x.T @ dp, dp.sum(0), h.T @ dl, h.T @ dg, (left * gate).T @ de, z.T @ dy, np.array([dy.sum()], np.float32)]
+        grads = gradients(model, x, first, labels)
         for i, g in enumerate(grads):
             g = g + DECAY * model.weights[i]
             mean[i] = 0.9 * mean[i] + 0.1 * g
@@ -158,6 +146,23 @@ def fit(texts: pa.Array, labels: np.ndarray, steps: int = STEPS) -> Model:
     return model
 
 
+def gradients(model: Model, x: np.ndarray, first: np.ndarray, labels: np.ndarray) -> list[np.ndarray]:
+    """Of the mean cross-entropy of the documents, for each weight."""
+    _, _, v, u, a, c, d = model.weights
+    count = np.diff(first)
+    h, left, gate, e = model.parts(x)
+    z, weight = pool(h, e, first)
+    y = 1 / (1 + np.exp(-(z @ c + d[0])))
+    dy = (y - labels) / len(labels)
+    dz = np.repeat(dy[:, None] * c[None, :], count, axis=0)
+    da = (dz * h).sum(1)
+    de = weight * (da - np.repeat(np.add.reduceat(weight * da, first[:-1]), count))
+    dm = de[:, None] * a[None, :]
+    dl, dg = dm * gate * (1 - left * left), dm * left * gate * (1 - gate)
+    dp = (weight[:, None] * dz + dl @ v.T + dg @ u.T) * (1 - h * h)
+    return [x.T @ dp, dp.sum(0), h.T @ dl, h.T @ dg, (left * gate).T @ de, z.T @ dy, np.array([dy.sum()], x.dtype)]
+
+
 def encode_all(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """All passages' features and each document's first passage, plus the end; a few texts at a time."""
     size = np.asarray(pc.binary_length(texts), np.int64)
@@ -175,8 +180,9 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", limit: int
     """Model learned from the labelled rows that aren't held out, from ``limit`` of them at most."""
     usable = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & ~held_out(F.col("doc_id")))
     chosen = hash_sample(usable.select("doc_id", F.col(label).alias("label")), limit, "doc_id", "label").limit(limit)
-    rows = (docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-            .where(F.octet_length("text") <= max_bytes).join(F.broadcast(chosen), "doc_id")).collect()  # at most ``limit`` ids
+    found = (docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+             .where(F.octet_length("text") <= max_bytes).join(F.broadcast(chosen), "doc_id"))  # at most ``limit`` ids
+    rows = found.groupBy("doc_id", "label").agg(F.min_by("text", F.xxhash64("text")).alias("text")).collect()
     rows.sort(key=lambda r: (r["doc_id"], r["label"], r["text"]))
     return fit(pa.array([r["text"] for r in rows], pa.string()), np.array([r["label"] for r in rows], np.float32))
 

@@ -12,14 +12,17 @@ has. The window is aligned with the item word by word (match +2, mismatch or gap
 of the item's full score, so edited, cut or extended copies count too, in however
 many documents they stand. A copy without any n-gram of the item isn't found.
 
-Scale: the benchmark is the query set. It is read in blocks of at most
+An item of fewer than ``NGRAM`` words is its own seed: it matches where all its words
+stand in a row, as half of one or two words says nothing.
+
+Scale: the benchmark is the query set. It is read in blocks of about
 ``BLOCK_BYTES`` of text, and only a block's n-gram hashes and words are sent to
-the tasks; each block costs two scans of the documents and no shuffle but one
+the tasks (some 40 bytes a word); each block costs two scans of the documents and no shuffle but one
 count per n-gram and split. No seed, hit or window is capped.
 
-Nulls and empty texts: never leak. Items of fewer than ``NGRAM`` words have no
-seeds and match nothing; null items are skipped; of repeated items each reports
-its own matches. Empty tables: no matches.
+Nulls and empty texts: never leak. Items without a word match nothing; null items are
+skipped; of repeated items each reports its own matches; ids of any type are
+returned as they are. Empty tables: no matches.
 """
 
 from __future__ import annotations
@@ -32,7 +35,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from tallyloom.llm.common import (byte_buffer, prefix_hashes, span_hashes, text_batches, word_hashes, word_spans)
+from tallyloom.llm.common import (byte_buffer, mix64, prefix_hashes, span_hashes, text_batches, word_hashes, word_spans)
 
 NGRAM = 3
 MIN_SCORE = 0.5
@@ -40,8 +43,8 @@ MATCH, MISMATCH, GAP = 2, -1, 1
 SPAN = 3 - 2 * MIN_SCORE  # no passage that reaches MIN_SCORE has more than SPAN times the item's words
 RARE_TIMES, RARE_PLUS = 4, 16  # a rare seed is in at most 4 times the item's median number of documents, plus 16
 MAX_HITS = 1 << 20  # hits of items in texts that are expanded at once; more of a single text are handled alone
-BLOCK_BYTES = 4 << 20
-SIEVE_BITS = 22
+BLOCK_BYTES = 32 << 20
+SIEVE_BITS = 22, 26  # at least, at most; some 16 places for each n-gram between
 
 LETTERS = np.zeros(256, bool)
 LETTERS[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
@@ -66,6 +69,11 @@ def ngrams(words: np.ndarray, begin: np.ndarray, n: int = NGRAM) -> tuple[np.nda
     return span_hashes(prefix_hashes(words), at, at + n), inside
 
 
+def sized(gram: np.ndarray, n: int) -> np.ndarray:
+    """Hashes of n-grams shorter than ``NGRAM`` apart from the others."""
+    return gram if n == NGRAM else mix64(gram + np.uint64(n))
+
+
 @dataclass
 class Items:
     """A block of the benchmark: item ids, their words, and the n-grams with the places they stand at."""
@@ -79,27 +87,48 @@ class Items:
     seed: np.ndarray  # whether the n-gram is a rare seed of the item
     sieve: np.ndarray
 
+    sizes: list[int]  # of n-grams: ``NGRAM``, and the lengths of shorter items
+
     @classmethod
     def of(cls, ids: list, texts: pa.Array) -> Items:
         """All n-grams of the items."""
         words, begin = words_of(texts)
-        gram, inside = ngrams(words, begin)
-        at = np.flatnonzero(inside)
-        at = at[np.argsort(gram[at], kind="stable")]
-        grams, first = np.unique(gram[at], return_index=True)
+        length = np.diff(begin)
+        sizes = [n for n in range(1, NGRAM + 1) if (length == n).any() or n == NGRAM]
+        gram, at = [], []
+        for n in sizes:
+            value, inside = ngrams(words, begin, n)
+            here = np.flatnonzero(inside)
+            if n < NGRAM:
+                here = here[length[np.searchsorted(begin, here, side="right") - 1] == n]
+            gram.append(sized(value[here], n))
+            at.append(here)
+        gram, at = np.concatenate(gram), np.concatenate(at)
+        order = np.argsort(gram, kind="stable")
+        gram, at = gram[order], at[order]
+        grams, first = np.unique(gram, return_index=True)
         item = np.searchsorted(begin, at, side="right") - 1
-        sieve = np.zeros(1 << SIEVE_BITS, bool)
-        sieve[grams >> np.uint64(64 - SIEVE_BITS)] = True
-        return cls(ids, words, begin, grams, np.append(first, len(at)), item, at - begin[item], np.ones(len(at), bool), sieve)
+        bits = min(max(SIEVE_BITS[0], 4 + int(len(grams)).bit_length()), SIEVE_BITS[1])
+        sieve = np.zeros(1 << bits, bool)
+        sieve[grams >> np.uint64(64 - bits)] = True
+        return cls(ids, words, begin, grams, np.append(first, len(at)), item, at - begin[item], np.ones(len(at), bool), sieve, sizes)
 
     def hits(self, words: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Places in the texts where an n-gram of the block stands, and its number."""
-        gram, inside = ngrams(words, begin)
-        at = np.flatnonzero(self.sieve[gram >> np.uint64(64 - SIEVE_BITS)] & inside)
-        number = np.searchsorted(self.grams, gram[at])
-        same = number < len(self.grams)
-        same[same] = self.grams[number[same]] == gram[at[same]]
-        return at[same], number[same]
+        shift = np.uint64(64 - (len(self.sieve).bit_length() - 1))
+        places, numbers = [], []
+        for n in self.sizes:
+            gram, inside = ngrams(words, begin, n)
+            gram = sized(gram, n)
+            at = np.flatnonzero(self.sieve[gram >> shift] & inside)
+            number = np.searchsorted(self.grams, gram[at])
+            same = number < len(self.grams)
+            same[same] = self.grams[number[same]] == gram[at[same]]
+            places.append(at[same])
+            numbers.append(number[same])
+        at, number = np.concatenate(places), np.concatenate(numbers)
+        order = np.argsort(at, kind="stable")
+        return at[order], number[order]
 
     def rare(self, documents: np.ndarray) -> np.ndarray:
         """Marks of the n-gram places that are rare seeds, given each n-gram's number of documents."""
@@ -164,7 +193,7 @@ class Items:
                 score, start, size = known[memo]
                 share = score / (MATCH * len(wanted))
                 start += a + low - int(begin[t])
-                if share >= MIN_SCORE and (share, -start) > (have[0], -have[1]):
+                if share >= (MIN_SCORE if len(wanted) >= NGRAM else 1.0) and (share, -start) > (have[0], -have[1]):
                     best[t, n] = (share, start, size)
         for (t, n), found in best.items():
             yield t, n, *found
@@ -264,6 +293,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_B
                            T.StructField("score", T.DoubleType()), T.StructField("first_word", T.LongType()),
                            T.StructField("n_words", T.LongType())])
     out = docs.sparkSession.createDataFrame([], schema)
+    kind = benchmark.select("item_id").limit(0).toArrow().schema.field(0).type
     for ids, texts in blocks_of(benchmark, block_bytes):
         shared = docs.sparkSession.sparkContext.broadcast(seeded(docs, ids, texts))
 
@@ -272,7 +302,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_B
             for batch in text_batches(batches):
                 t, n, score, at, size = zip(*found) if (found := list(items.leaks(batch.column(1)))) else [()] * 5
                 yield pa.RecordBatch.from_arrays([
-                    batch.column(0).take(pa.array(t, pa.int64())), pa.array([items.ids[i] for i in n], pa.int64()),
+                    batch.column(0).take(pa.array(t, pa.int64())), pa.array([items.ids[i] for i in n], kind),
                     pa.array(score, pa.float64()), pa.array(at, pa.int64()), pa.array(size, pa.int64())], names=schema.names)
 
         out = out.unionByName(docs.select("doc_id", "text").mapInArrow(run, schema))

@@ -249,9 +249,17 @@ WITH cut AS (
 ), o AS (
   SELECT u.host, count(l.quality) AS n, coalesce(sum(1 - l.quality), 0) AS bad
   FROM u LEFT JOIN labels l ON l.doc_id = u.page_id GROUP BY u.host
+), named AS (
+  SELECT *, regexp_replace(regexp_replace(host, '^.*@', ''), '\.?(:[0-9]*)?$', '') AS name FROM o
+), labelled AS (
+  SELECT *, array_to_string(list_slice(string_split(name, '.'), -1, -1), '.') AS one, array_to_string(list_slice(string_split(name, '.'), -2, -1), '.') AS two,
+         array_to_string(list_slice(string_split(name, '.'), -3, -1), '.') AS three,
+         regexp_matches(name, '^([0-9]+(\.[0-9]+){3}|\[.*\])$') AS address
+  FROM named
 ), h AS (
-  SELECT *, array_to_string(list_slice(string_split(host, '.'), -2, -1), '.') AS domain,
-         array_to_string(list_slice(string_split(host, '.'), -1, -1), '.') AS suffix FROM o
+  SELECT host, n, bad, CASE WHEN address THEN name WHEN two IN (@SUFFIXES@) THEN three ELSE two END AS domain,
+         CASE WHEN address THEN name WHEN two IN (@SUFFIXES@) THEN two ELSE one END AS suffix
+  FROM labelled
 ), d AS (
   SELECT domain, suffix, sum(n) AS n, sum(bad) AS bad FROM h GROUP BY domain, suffix
 ), s AS (
@@ -276,20 +284,30 @@ WITH cut AS (
 ), ph AS (
   SELECT h.host, pd.a / (pd.a + pd.b) * x + bad AS a, (1 - pd.a / (pd.a + pd.b)) * x + n - bad AS b
   FROM h JOIN pd ON h.domain = pd.domain, (SELECT coalesce(max(w), 2.0) AS x FROM w WHERE level = 'h')
+), curve AS (
+  SELECT host, a, b, ln(a / b) AS mode, ln(a / b) - 8 * sqrt(1 / a + 1 / b) AS low, ln(a / b) + 8 * sqrt(1 / a + 1 / b) AS high FROM ph
+), ends AS (
+  SELECT *, greatest(low, least(high, ln(0.25::DOUBLE / 0.75))) AS cut FROM curve
+), points AS (
+  SELECT host, a, b, mode, high - cut AS above, cut - low AS below, unnest(range(401)) AS i, cut, low FROM ends
+), heights AS (
+  SELECT host, above, below, CASE WHEN i IN (0, 400) THEN 0.5 ELSE 1 END AS half,
+         exp(@HEIGHT@(cut + above * i / 400) - @HEIGHT@(mode)) AS y, exp(@HEIGHT@(low + below * i / 400) - @HEIGHT@(mode)) AS x FROM points
+), sure AS (
+  SELECT host, any_value(above) * sum(half * y) / (any_value(below) * sum(half * x) + any_value(above) * sum(half * y)) AS p FROM heights GROUP BY host
 ), judged AS (
   SELECT u.page_id, u.host, u.path,
          CASE WHEN (u.host = 'www.example.com' OR u.host LIKE '%.www.example.com') AND starts_with(path, '/en/') THEN 'www.example.com/en/'
               WHEN (u.host = 'example.com' OR u.host LIKE '%.example.com') AND starts_with(path, '/en/') THEN 'example.com/en/'
               WHEN (u.host = 'net' OR u.host LIKE '%.net') AND starts_with(path, '/es/') THEN 'net/es/'
               WHEN (u.host = 'net' OR u.host LIKE '%.net') AND starts_with(path, '/fr/') THEN 'net/fr/'
-              WHEN (u.host = 'com' OR u.host LIKE '%.com') AND starts_with(path, '/') THEN 'com/' END AS rule,
-         a / (a + b) - 1.645 * sqrt(a * b / ((a + b) * (a + b) * (a + b + 1))) AS low
-  FROM u JOIN ph ON u.host = ph.host
+              WHEN (u.host = 'com' OR u.host LIKE '%.com') AND starts_with(path, '/') THEN 'com/' END AS rule, p
+  FROM u JOIN sure ON u.host = sure.host
 )
 SELECT page_id, host, path, rule,
        CASE WHEN rule IN ('www.example.com/en/', 'com/') THEN 'allow'
             WHEN rule IS NOT NULL THEN 'block'
-            WHEN low > 0.25 THEN 'block' ELSE 'allow' END AS verdict
+            WHEN p >= 0.95 THEN 'block' ELSE 'allow' END AS verdict
 FROM judged
 """,
     "op5_exact_dedup": r"""
@@ -306,3 +324,15 @@ SELECT n.doc_id, best.keep_id, best.group_size, n.doc_id = best.keep_id AS kept,
 FROM n JOIN best ON n.body = best.body
 """,
 }
+
+
+def _written_out(text: str) -> str:
+    """The statement with its suffixes and the beta density's logarithm at a point put in."""
+    import re
+    from tallyloom.llm.url_filter import SUFFIXES
+    text = text.replace("@SUFFIXES@", ", ".join(f"'{s}'" for s in SUFFIXES))
+    return re.sub(r"@HEIGHT@\(((?:[^()]|\([^()]*\))*)\)", lambda m: (
+        f"(-a * (greatest(-({m[1]}), 0) + ln(1 + exp(-abs({m[1]})))) - b * (greatest({m[1]}, 0) + ln(1 + exp(-abs({m[1]})))))"), text)
+
+
+ORACLES["op4_url_filter"] = _written_out(ORACLES["op4_url_filter"])

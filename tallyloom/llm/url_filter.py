@@ -5,7 +5,8 @@ its suffix. From the top down, each level's beta prior is fitted to the spread
 of its children's rates (method of moments) and centred on the parent's
 posterior mean, so a host with few labels is shrunk towards its domain, that
 towards its suffix, that towards all pages. A url is blocked when the lower
-bound of its host's posterior rate of bad pages exceeds a limit.
+bound (a quantile) of its host's posterior rate of bad pages exceeds a limit: when
+the beta distribution has at most ``1 - confidence`` of its mass below the limit.
 
 Scale: one aggregation to hosts, combined before the shuffle; all later levels
 work on the host table. Its reputations are written once, so the join with the
@@ -19,6 +20,7 @@ empty output, or the allowing prior for all.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -131,7 +133,7 @@ def reputation(pages: DataFrame, labels: DataFrame, scratch: Scratch) -> DataFra
     """(host, n, bad, alpha, beta): each host's beta posterior of its rate of bad pages.
 
     ``pages``: page_id, host. ``labels``: page_id, bad (0/1). Hosts without
-    labels are in it too, with their prior. Written to ``scratch``.
+    labels are in it too, with their prior.
     """
     outcomes = pages.join(labels.where(F.col("bad").isNotNull()), "page_id", "left")
     counts = outcomes.groupBy("host").agg(F.count("bad").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"))
@@ -145,27 +147,48 @@ def reputation(pages: DataFrame, labels: DataFrame, scratch: Scratch) -> DataFra
     middle = domains.join(as_up(top, "suffix"), "suffix")
     middle = middle.select("domain", *_posterior(middle, prior_weight(domains), centre))
     low = hosts.join(as_up(middle, "domain"), "domain")
-    return scratch.write(low.select("host", "n", "bad", *_posterior(low, prior_weight(hosts), centre)), "reputation")
+    return low.select("host", "n", "bad", *_posterior(low, prior_weight(hosts), centre))
 
 
-def bad_rate_bound(z: float) -> Column:
-    """Lower bound of the posterior: mean minus z deviations of the beta distribution."""
+STEPS, REACH = 400, 8  # points of an integral less one; deviations on either side of the mode
+
+
+def bad_probability(limit: float) -> Column:
+    """Posterior probability that a host's rate of bad pages exceeds ``limit``.
+
+    On the scale s = log(t / (1 - t)) the beta density is t^a (1 - t)^b, log-concave
+    with mode log(a / b) and deviation about sqrt(1/a + 1/b) for any a and b above 0,
+    so the trapezoidal rule on either side of the limit gives some four digits.
+    """
     a, b = F.col("alpha"), F.col("beta")
-    return a / (a + b) - z * F.sqrt(a * b / ((a + b) * (a + b) * (a + b + 1)))
+    mode, reach = F.log(a / b), REACH * F.sqrt(1 / a + 1 / b)
+    softplus = lambda s: F.greatest(s, F.lit(0.0)) + F.log1p(F.exp(-F.abs(s)))
+    height = lambda s: -a * softplus(-s) - b * softplus(s)
+    low, high = mode - reach, mode + reach
+    cut = F.greatest(low, F.least(high, F.lit(math.log(limit / (1 - limit)))))
+
+    def area(start: Column, end: Column) -> Column:
+        point = lambda i: F.exp(height(start + (end - start) * i / STEPS) - height(mode))
+        half = lambda i: F.when((i == 0) | (i == STEPS), 0.5).otherwise(1.0)
+        return (end - start) * F.aggregate(F.sequence(F.lit(0), F.lit(STEPS)), F.lit(0.0), lambda sum_, i: sum_ + half(i) * point(i))
+
+    above = area(cut, high)
+    return above / (area(low, cut) + above)
 
 
 def filter_urls(pages: DataFrame, labels: DataFrame, rules: tuple[Rule, ...] = RULES, max_bad: float = 0.25,
-                z: float = 1.645) -> DataFrame:
-    """One row per page: page_id, host, path, rule, verdict, bad_rate_low (the host's bound).
+                confidence: float = 0.95) -> DataFrame:
+    """One row per page: page_id, host, path, rule, verdict, bad_probability (of its host).
 
     ``pages``: page_id, url. ``labels``: page_id, bad (1: bad page). Without a
-    rule a page is blocked when its host's bound exceeds ``max_bad``.
+    rule a page is blocked when its host's rate of bad pages exceeds ``max_bad``
+    with the posterior probability ``confidence`` or more.
     """
     scratch = Scratch(pages.sparkSession, "url-filter")
     cut = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     known = reputation(cut.select("page_id", "host"), labels.select("page_id", "bad"), scratch)
-    low = known.select("host", bad_rate_bound(z).alias("bad_rate_low"))
-    judged = cut.withColumn("fit", rule_of(F.col("host"), F.col("path"), rules)).join(low, "host", "left")
-    own = F.when(F.col("bad_rate_low") > max_bad, F.lit("block")).otherwise(F.lit("allow"))
+    sure = scratch.write(known.select("host", bad_probability(max_bad).alias("bad_probability")), "sure")
+    judged = cut.withColumn("fit", rule_of(F.col("host"), F.col("path"), rules)).join(sure, "host", "left")
+    own = F.when(F.col("bad_probability") >= confidence, F.lit("block")).otherwise(F.lit("allow"))
     return judged.select("page_id", "host", "path", F.col("fit.text").alias("rule"),
-                         F.coalesce("fit.verdict", own).alias("verdict"), "bad_rate_low")
+                         F.coalesce("fit.verdict", own).alias("verdict"), "bad_probability")

@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -91,14 +92,44 @@ def test_domains_and_suffixes(spark):
     assert {r[0]: (r[1], r[2]) for r in got} == want
 
 
+def test_bad_probability_is_the_betas_tail(spark):
+    """Whole parameters have a closed form: the tail of a binomial."""
+    cases = [(a, b) for a in (1, 2, 3, 7, 40, 300) for b in (1, 2, 5, 30, 900)]
+    tail = lambda a, b, x: sum(math.comb(a + b - 1, j) * x ** j * (1 - x) ** (a + b - 1 - j) for j in range(a))
+    frame = spark.createDataFrame([(float(a), float(b)) for a, b in cases], "alpha double, beta double")
+    for limit in (0.05, 0.25, 0.6):
+        got = {(r.alpha, r.beta): r.p for r in frame.select("alpha", "beta", url_filter.bad_probability(limit).alias("p")).collect()}
+        assert all(got[a, b] == pytest.approx(tail(a, b, limit), abs=2e-4) for a, b in cases)
+    odd = spark.createDataFrame([(1e9, 1e9), (1e-6, 2.0), (2.0, 1e-6), (3e8, 7e8), (2e8, 8e8)], "alpha double, beta double")
+    assert [round(r[0], 2) for r in odd.select(url_filter.bad_probability(0.25)).collect()] == [1.0, 0.0, 1.0, 1.0, 0.0]
+
+
+HOSTS = ["a.shop.co.uk", "b.shop.co.uk:80", "c.other.co.uk", "10.0.0.1", "10.0.0.1:99", "10.0.0.2", "[::1]:8", "u:p@x.site.org.", "x.site.org", "localhost", "q.com.au"]
+
+
+def test_url_query_equals_sql_on_awkward_hosts(spark, tmpdir_path):
+    rng = random.Random(6)
+    hosts = HOSTS + [f"h{i}.d{i % 7}.{'net' if i % 2 else 'co.uk'}" for i in range(30)]
+    rows = [(i, f"http://{rng.choice(hosts)}/{rng.choice(['en', 'es/', ''])}") for i in range(600)] + [(700, None), (701, "no scheme"), (702, "x://")]
+    labels = [(i, int(rng.random() > 0.3 * (zlib.crc32(rows[i][1].encode()) % 3)), 0) for i in range(0, 600, 2)]
+    spark.createDataFrame(rows, "page_id long, url string").coalesce(1).write.parquet(f"{tmpdir_path}/pages.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").coalesce(1).write.parquet(f"{tmpdir_path}/labels.parquet")
+    import duckdb
+    con = duckdb.connect()
+    for name in ("pages", "labels"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM read_parquet('{tmpdir_path}/{name}.parquet/*.parquet')")
+    got = compare(spark, con, "op4_url_filter", queries.QUERIES["op4_url_filter"], queries.ORACLES["op4_url_filter"], tmpdir_path)
+    assert got["status"] == "ok" and got["spark_rows"] == 603, got
+
+
 def test_host_reputation_blocks_bad_hosts_only(spark):
     rows = [(i, f"http://{'bad' if i % 2 else 'good'}{i % 4}.site{i % 3}.org/p") for i in range(400)]
     pages = spark.createDataFrame(rows + [(1000, "http://new.site1.org/"), (None, "http://bad1.site1.org/")], "page_id long, url string")
     labels = spark.createDataFrame([(i, i % 2) for i in range(300)] + [(5, None)], "page_id long, bad int")
     got = url_filter.filter_urls(pages, labels, rules=()).collect()
     assert all((r.verdict == "block") == ("bad" in r.host) for r in got if r.host != "new.site1.org")
-    low = {r.host: r.bad_rate_low for r in got}
-    assert low["good0.site1.org"] < low["new.site1.org"] < low["bad1.site1.org"]
+    p = {r.host: r.bad_probability for r in got}
+    assert p["good0.site1.org"] < p["new.site1.org"] < p["bad1.site1.org"]
     assert url_filter.filter_urls(pages.limit(0), labels).count() == 0
 
 

@@ -185,4 +185,13 @@ def word_spans(data: np.ndarray, starts: np.ndarray, kept: np.ndarray = NOT_SPAC
 
 
 def word_hashes(data: np.ndarray, first: np.ndarray, last: np.ndarray, values: np.ndarray = BYTE_VALUES) -> np.ndarray:
-    return span_hashes(prefix_hashes(values[data]), first, last)
+    """Hash of each word, the same wherever it stands; about ``CHUNK_BYTES`` of the bytes are handled at once."""
+    out = np.empty(len(first), np.uint64)
+    at = 0
+    while at < len(first):
+        low = int(first[at])
+        end = max(at + 1, int(np.searchsorted(last, low + CHUNK_BYTES, side="right")))
+        sums = prefix_hashes(values[data[low:int(last[end - 1])]])
+        out[at:end] = span_hashes(sums, first[at:end] - low, last[at:end] - low)
+        at = end
+    return out

@@ -42,6 +42,7 @@ from tallyloom.llm.common import (OTHER_VALUES, Scratch, byte_buffer, mix64, pre
 
 WINDOW = 13
 PAIR_ROUNDS = 4
+SLICE_WORDS = 1 << 20  # whose windows are named at once; more of a longer text follow
 NO_ID = (1 << 63) - 1
 RUN, LEFT, RIGHT = np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB), np.uint64(0x8EBC6AF09C88C6E3)
 
@@ -113,6 +114,18 @@ def name_windows(words: np.ndarray, begin: np.ndarray, window: int = WINDOW) ->
     return at, name, place
 
 
+def named_in_slices(words: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``name_windows``, ``SLICE_WORDS`` of them at a time: a window's name depends on its words alone."""
+    if len(words) <= 2 * SLICE_WORDS:
+        return name_windows(words, begin)
+    parts = []
+    for low in range(0, len(words), SLICE_WORDS):
+        high = min(low + SLICE_WORDS + WINDOW - 1, len(words))
+        at, name, place = name_windows(words[low:high], np.unique(np.clip(begin - low, 0, high - low)))
+        parts.append((at + low, name, place + low * (PAIR_ROUNDS + 2)))
+    return tuple(np.concatenate(x) for x in zip(*parts))
+
+
 def longest(symbols: Symbols, low: np.ndarray, high: np.ndarray, end: int) -> np.ndarray:
     """In each range of symbols the one of most words, then of smallest name, then the first."""
     length = np.diff(np.append(symbols.start, end))
@@ -134,7 +147,7 @@ def segments(texts: pa.Array) -> tuple:
     data, starts = byte_buffer(texts)
     first, last, begin = word_spans(data, starts)
     words = word_hashes(data, first, last)
-    at, name, place = name_windows(words, begin)
+    at, name, place = named_in_slices(words, begin)
     fresh = np.ones(len(at), bool)
     text = np.searchsorted(begin, at, side="right") - 1
     fresh[1:] = (place[1:] != place[:-1]) | (text[1:] != text[:-1])

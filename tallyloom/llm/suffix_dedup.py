@@ -22,7 +22,9 @@ name is the window itself, where many pieces are one interval. A task holds one
 text is shuffled twice by its row, to cut out segments and to remove bytes.
 
 Nulls and empty texts: no bytes, nothing removed. Texts under 400 bytes have no
-windows. Repeated rows are occurrences like any other, whatever their doc_id.
+windows. Repeated rows are occurrences like any other, whatever their doc_id. Long
+texts are handled ``SLICE_BYTES`` at a time, in some 50 bytes of memory for each; a
+text has under 2 GB.
 """
 
 from __future__ import annotations
@@ -45,6 +47,7 @@ SPLIT = 1500
 BATCH_BYTES = 1 << 20
 SHARD_BYTES = 1 << 19
 TEXT_BYTES = 1 << 21  # of whole texts that are cut into segments at once
+SLICE_BYTES = 1 << 22  # of a single longer text
 PLACE_BITS = 31  # of the window's anchor key, the low bits hold its place
 
 
@@ -73,36 +76,46 @@ def anchors(data: np.ndarray, starts: np.ndarray, sums: np.ndarray) -> tuple[np.
     return first[keep], place[keep]
 
 
+def segments(row: pa.Array, data: np.ndarray, starts: np.ndarray, offset: int) -> pa.RecordBatch:
+    """``segment_rows`` of texts held in a row, or of a slice of one text that begins at ``offset``."""
+    sums = prefix_hashes(BYTE_VALUES[data])
+    first, place = anchors(data, starts, sums)
+    of = np.searchsorted(starts, first, side="right") - 1
+    fresh = np.ones(len(first), bool)
+    fresh[1:] = (place[1:] != place[:-1]) | (of[1:] != of[:-1])
+    at = np.flatnonzero(fresh)
+    begin, of, place = first[at], of[at], place[at]
+    end = first[np.append(at[1:], len(first)) - 1] + WINDOW if len(at) else begin
+    other = prefix_hashes(OTHER_VALUES[data])
+    a, b = span_hashes(sums, begin, end), span_hashes(other, begin, end)
+    by = np.lexsort((begin, a, of))
+    first = np.ones(len(by), bool)
+    first[1:] = (a[by][1:] != a[by][:-1]) | (of[by][1:] != of[by][:-1])
+    lead = by[first]  # the first occurrence of each segment in its text
+    occurrences = pa.ListArray.from_arrays(
+        pa.array(np.append(np.flatnonzero(first), len(by)).astype(np.int32)), pa.array((begin - starts[of] + offset)[by].astype(np.int32)))
+    return pa.RecordBatch.from_arrays([
+        pa.array(span_hashes(sums, place[lead], place[lead] + ANCHOR).view(np.int64)), pa.array(a[lead].view(np.int64)),
+        pa.array(b[lead].view(np.int64)), row.take(pa.array(of[lead])), occurrences,
+        pa.array((end - begin)[lead].astype(np.int32)), pa.array((place - begin)[lead].astype(np.int32))],
+        names=["name", "a", "b", "row", "starts", "size", "anchor"])
+
+
 def segment_rows(rows: DataFrame) -> DataFrame:
     """(name, a, b, row, starts, size, anchor): each segment of each text with a 128-bit digest.
 
     starts: first bytes of the segment's occurrences in the text (many where the
     text repeats itself); size: bytes; anchor: the anchor's place in the segment.
+    A long text is cut in slices that share ``WINDOW - 1`` bytes, so each window is
+    in one; where that cuts a segment, both parts keep the anchor's name.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_batches(batches, 1, TEXT_BYTES):
             data, starts = byte_buffer(batch.column(1))
-            sums = prefix_hashes(BYTE_VALUES[data])
-            first, place = anchors(data, starts, sums)
-            of = np.searchsorted(starts, first, side="right") - 1
-            fresh = np.ones(len(first), bool)
-            fresh[1:] = (place[1:] != place[:-1]) | (of[1:] != of[:-1])
-            at = np.flatnonzero(fresh)
-            begin, of, place = first[at], of[at], place[at]
-            end = first[np.append(at[1:], len(first)) - 1] + WINDOW if len(at) else begin
-            other = prefix_hashes(OTHER_VALUES[data])
-            a, b = span_hashes(sums, begin, end), span_hashes(other, begin, end)
-            by = np.lexsort((begin, a, of))
-            first = np.ones(len(by), bool)
-            first[1:] = (a[by][1:] != a[by][:-1]) | (of[by][1:] != of[by][:-1])
-            lead = by[first]  # the first occurrence of each segment in its text
-            occurrences = pa.ListArray.from_arrays(
-                pa.array(np.append(np.flatnonzero(first), len(by)).astype(np.int32)), pa.array((begin - starts[of])[by].astype(np.int32)))
-            yield pa.RecordBatch.from_arrays([
-                pa.array(span_hashes(sums, place[lead], place[lead] + ANCHOR).view(np.int64)), pa.array(a[lead].view(np.int64)),
-                pa.array(b[lead].view(np.int64)), batch.column(0).take(pa.array(of[lead])), occurrences,
-                pa.array((end - begin)[lead].astype(np.int32)), pa.array((place - begin)[lead].astype(np.int32))],
-                names=["name", "a", "b", "row", "starts", "size", "anchor"])
+            for at in range(0, max(len(data) - WINDOW + 1, 1), SLICE_BYTES) if batch.num_rows == 1 else [0]:
+                end = at + SLICE_BYTES + WINDOW - 1 if batch.num_rows == 1 else len(data)
+                cut = np.minimum(starts, len(data[at:end])) if batch.num_rows == 1 else starts
+                yield segments(batch.column(0), data[at:end], cut, at)
 
     return rows.select("row", "text").mapInArrow(
         run, "name long, a long, b long, row long, starts array<int>, size int, anchor int")
@@ -189,24 +202,31 @@ def repeats(pieces: DataFrame) -> DataFrame:
             .mapInArrow(run, "a long, b long, start int, count int"))
 
 
+def covered(start: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and last byte (exclusive) of the stretches that the windows of the runs (start, count) cover."""
+    by = np.argsort(start, kind="stable")
+    start, end = start[by], start[by] + count[by] + WINDOW - 1
+    reach = np.maximum.accumulate(end) if len(end) else end
+    fresh = np.append(True, start[1:] > reach[:-1])[:len(start)]
+    at = np.flatnonzero(fresh)
+    return start[at], reach[np.append(at[1:], len(start)) - 1] if len(at) else reach
+
+
 def cut_bytes(found: DataFrame) -> DataFrame:
     """Remove the bytes covered by the windows in ``runs`` (start, count)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_batches(batches):
             n, gone, spans, kept = [], [], [], []
             for text, runs in zip(batch.column(1), batch.column(2)):
-                data = np.frombuffer(text.as_buffer(), np.uint8) if text.is_valid else np.empty(0, np.uint8)
-                edge = np.zeros(len(data) + 1, np.int32)
+                raw = text.as_buffer() if text.is_valid else None
+                data = np.frombuffer(raw, np.uint8) if raw is not None and raw.size else np.empty(0, np.uint8)
+                low = high = np.empty(0, np.int64)
                 if runs.is_valid:
-                    start = np.asarray(runs.values.field("start"), np.int64)
-                    np.add.at(edge, start, 1)
-                    np.add.at(edge, start + np.asarray(runs.values.field("count")) + WINDOW - 1, -1)
-                cover = np.cumsum(edge) > 0
-                change = np.flatnonzero(np.diff(np.concatenate([[False], cover])))
+                    low, high = covered(np.asarray(runs.values.field("start"), np.int64), np.asarray(runs.values.field("count"), np.int64))
                 n.append(len(data))
-                gone.append(int(cover.sum()))
-                spans.append([{"start": int(a), "end": int(b)} for a, b in zip(change[::2], change[1::2])])
-                kept.append(data[~cover[:-1]].tobytes())
+                gone.append(int((high - low).sum()))
+                spans.append([{"start": int(a), "end": int(b)} for a, b in zip(low, high)])
+                kept.append(b"".join(data[a:b].tobytes() for a, b in zip([0, *high.tolist()], [*low.tolist(), len(data)])))
             yield pa.RecordBatch.from_arrays([
                 batch.column(0), pa.array(n, pa.int64()), pa.array(gone, pa.int64()),
                 pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array(kept, pa.binary())],

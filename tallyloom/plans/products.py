@@ -30,11 +30,11 @@ def kpi_products(counts: DataFrame, sales: DataFrame) -> DataFrame:
     sold = per_sku.agg(F.count("*").alias("sold"),
                        F.count_if(F.col("n_orders") == 1).alias("single"))
     # Both sides are single-row aggregates: the total is attached as a scalar
-    # subquery, no join.
-    t = total.scalar()
-    s, one = F.col("sold"), F.col("single")
+    # subquery, no join; it stands in the plan once, as a column.
+    row = sold.withColumn("t", total.scalar())
+    t, s, one = F.col("t"), F.col("sold"), F.col("single")
     empty = (t.isNull()) | (t == 0) | (s == 0)
-    return sold.select(
+    return row.select(
         F.when(empty, F.lit(0)).otherwise(t).cast("bigint").alias("total_products"),
         F.when(empty, F.lit(0)).otherwise(s).cast("bigint").alias("unique_products_sold"),
         F.when(empty, F.lit(0)).otherwise(one).cast("bigint").alias("single_order_products"),

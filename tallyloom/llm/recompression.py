@@ -209,11 +209,12 @@ def in_text(name: np.ndarray, text: np.ndarray) -> np.ndarray:
 
 
 def window_rows(live: DataFrame) -> DataFrame:
-    """(a, b, row, id, place): digests of the windows of the segments in ``names`` and ``keys`` of each text.
+    """(a, b, row, id, place, more): digests of the windows of the segments in ``names`` and ``keys`` of each text.
 
     A window that stands under a smaller id in the same batch of texts is decided:
     it has no id and a key of its own. Only the batch's smallest id of a window
-    goes to the window's group.
+    goes to the window's group, in one row for a text: ``more`` are the places where the
+    text has the window again (else null).
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_batches(batches):
@@ -229,17 +230,23 @@ def window_rows(live: DataFrame) -> DataFrame:
             of = np.searchsorted(begin, at, side="right") - 1
             other = prefix_hashes(word_hashes(data, first, last, OTHER_VALUES))
             a, b = span_hashes(prefix_hashes(words), at, at + WINDOW), span_hashes(other, at, at + WINDOW)
-            by = np.lexsort((id_[of], b, a))
-            fresh = np.append(True, (a[by][1:] != a[by][:-1]) | (b[by][1:] != b[by][:-1]))[:len(by)]
-            least = np.empty(len(by), np.int64)
-            least[by] = id_[of][by][np.flatnonzero(fresh)][np.cumsum(fresh) - 1]
+            by = np.lexsort((of, b, a))  # equal windows of one text in their order
+            a, b, of, place = a[by], b[by], of[by], (at - begin[of])[by].astype(np.int32)
+            window = np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]))[:len(a)]
+            text = window | np.append(True, of[1:] != of[:-1])[:len(a)]
+            least = np.minimum.reduceat(id_[of], np.flatnonzero(window))[np.cumsum(window) - 1] if len(a) else id_[of]
+            lead = np.flatnonzero(text)
+            count = np.diff(np.append(lead, len(a))) - 1
+            ends = pa.array(np.append(0, np.cumsum(count)).astype(np.int32), mask=np.append(count == 0, False))
+            a, b, of, least = a[lead], b[lead], of[lead], least[lead]
             decided = least < id_[of]
             a[decided] = own_key(a[decided], row[of[decided]])
             yield pa.RecordBatch.from_arrays([
                 pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.array(row[of]), pa.array(id_[of], mask=decided),
-                pa.array((at - begin[of]).astype(np.int32))], names=["a", "b", "row", "id", "place"])
+                pa.array(place[lead]), pa.ListArray.from_arrays(ends, pa.array(place[~text]))], names=["a", "b", "row", "id", "place", "more"])
 
-    return live.select("row", "text", "doc_id", "id", "names", "keys").mapInArrow(run, "a long, b long, row long, id long, place int")
+    return live.select("row", "text", "doc_id", "id", "names", "keys").mapInArrow(
+        run, "a long, b long, row long, id long, place int, more array<int>")
 
 
 def cut_words(found: DataFrame) -> DataFrame:
@@ -298,7 +305,8 @@ def substring_dedup(docs: DataFrame, stored: bool = False) -> DataFrame:
         .join(copies, "row", "left_anti"), "shared")
     by_window = Window.partitionBy("a", "b")
     gone = (window_rows(rows.join(shared.hint("merge"), "row")).withColumn("least", F.min("id").over(by_window))
-            .where("id IS NULL OR least < id").groupBy("row").agg(F.collect_list("place").alias("places")))
+            .where("id IS NULL OR least < id").groupBy("row").agg(F.concat(
+                F.collect_list("place"), F.flatten(F.collect_list("more"))).alias("places")))
     gone = scratch.write(gone, "gone")
     marks = gone.select("row", F.lit(False).alias("every"), "places").unionByName(
         copies.where("every").select("row", "every", F.lit(None).cast("array<int>").alias("places"))).unionByName(

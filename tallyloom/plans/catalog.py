@@ -82,7 +82,7 @@ def run_sql(spark: SparkSession, T: dict[str, DataFrame], text: str,
         text, params = _MARKS.sub(lambda m: "?" if m[0] == "%s" else m[0], text), list(params)
     elif params is not None:
         params = dict(params)
-    used = {n: df for n, df in T.items() if re.search(rf"\b{re.escape(n)}\b", text, re.IGNORECASE)}
+    used = {n: T[n] for n in T if re.search(rf"\b{re.escape(n)}\b", text, re.IGNORECASE)}
     if not used:
         return spark.sql(text, args=params)
     heads = ", ".join(f"`{n}` AS (SELECT * FROM {{{n}}})" for n in used)

@@ -15,6 +15,8 @@ DEFAULT_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.ansi.enabled": "true",
     "spark.ui.enabled": "false",
+    # the Python line of each column expression isn't looked up while a plan is built
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
     # checkpoints of forked inputs are removed once their DataFrames are gone
     "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }

@@ -12,9 +12,10 @@ checked on generated data. It is lazy too: no table is materialised.
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
+from functools import partial
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .schemas import DRIVER_SCHEMAS, SHOP_SCHEMAS
@@ -78,123 +79,87 @@ def read_source(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 # anything else 606.
 _TYPE_OPTION = {"ECONOMY": 601, "LARGE": 602, "MEDIUM": 603, "PROMO": 604, "SMALL": 605}
 _OTHER_OPTION = 606
-
-
-def _type_option(col: Column) -> Column:
-    expr = None
-    for label, option in _TYPE_OPTION.items():
-        expr = (F.when(col == label, F.lit(option)) if expr is None
-                else expr.when(col == label, F.lit(option)))
-    return expr.otherwise(F.lit(_OTHER_OPTION))
-
-
-def shop_tables_from_tpch(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    """Derive the six shop tables from orders/lineitem/part/supplier."""
-    orders = read_source(spark, sf_dir, "orders")
-    lineitem = read_source(spark, sf_dir, "lineitem")
-    part = read_source(spark, sf_dir, "part")
-    supplier = read_source(spark, sf_dir, "supplier")
-
-    # Order money: pre-aggregated per order before the join (map-side combine).
-    line_money = lineitem.groupBy("l_orderkey").agg(
-        F.sum("l_extendedprice").alias("sub"),
-        F.sum(F.col("l_extendedprice") * F.col("l_discount")).alias("disc"),
-    )
-    ok = F.col("o_orderkey")
-    ck = F.col("o_custkey")
-    channel = (F.when((F.col("o_orderpriority") == "1-URGENT") & (ok % 2 == 0), F.lit("EBAY"))
-               .when((F.col("o_orderpriority") == "2-HIGH") & (ok % 2 == 0), F.lit("AMZ"))
-               .otherwise(F.lit("1")))
-    sales_order = orders.join(line_money, orders.o_orderkey == line_money.l_orderkey, "left").select(
-        ok.alias("entity_id"),
-        F.concat(channel, ok.cast("string")).alias("increment_id"),
-        F.timestamp_add("MINUTE", (ok * 37 % 1440), F.col("o_orderdate")).alias("created_at"),
-        F.when(F.col("o_orderstatus") == "F", "complete")
-         .when(F.col("o_orderstatus") == "O", "processing")
-         .otherwise("canceled").alias("state"),
-        F.col("o_totalprice").alias("base_total_paid"),
-        F.coalesce(F.col("sub"), F.lit(0.0)).alias("base_subtotal"),
-        F.coalesce(F.col("disc"), F.lit(0.0)).alias("base_discount_amount"),
-        F.when(ck % 3 == 0, 1).otherwise(0).cast("int").alias("customer_is_guest"),
-        F.when(ck % 3 == 0, F.lit(0).cast("bigint")).otherwise(1 + ck % 9).alias("customer_group_id"),
-        F.when(ck % 50 == 0, F.lit(None).cast("string"))
-         .when((ck % 3 == 0) & (ok % 2 == 0),
-               F.concat(F.lit("g"), ok.cast("string"), F.lit("@example.com")))
-         .otherwise(F.concat(F.lit("c"), ck.cast("string"), F.lit("@example.com")))
-         .alias("customer_email"),
-    )
-
-    disc = F.col("l_discount")
-    supp = F.col("l_suppkey").cast("string")
-    rule_text = (
-        F.when(disc < 0.025, F.lit(None).cast("string"))
-        .when(disc < 0.055, supp)
-        .when(disc < 0.085, F.concat(F.lit("c-"), supp, F.lit(", "),
-                                     ((F.col("l_suppkey") + F.col("l_partkey")) % 10).cast("string")))
-        .otherwise(F.concat(F.lit("bad,"), supp, F.lit(",c-"), supp))
-    )
-    sales_item = lineitem.select(
-        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("item_id"),
-        F.col("l_orderkey").alias("order_id"),
-        F.col("l_partkey").alias("product_id"),
-        F.concat(F.lit("SKU-"), F.col("l_partkey").cast("string")).alias("sku"),
-        F.col("l_quantity").alias("qty_ordered"),
-        (F.col("l_extendedprice") / F.col("l_quantity")).alias("base_price"),
-        F.col("l_extendedprice").alias("base_row_total"),
-        (F.col("l_extendedprice") * (1 + F.col("l_tax"))).alias("base_row_total_incl_tax"),
-        (F.col("l_extendedprice") * disc).alias("base_discount_amount"),
-        rule_text.alias("applied_rule_ids"),
-    )
-
-    sk = F.col("s_suppkey")
-    from_date = F.date_add(F.lit("1998-11-01").cast("date"), (sk * 11 % 700).cast("int"))
-    promo_base = supplier.select(
-        sk.alias("rule_id"), F.col("s_name").alias("name"), from_date.alias("from_date"),
-        (10 + 5 * (sk % 6)).cast("double").alias("discount_amount"),
-        F.when(sk % 4 == 0, 0).otherwise(1).cast("int").alias("is_active"),
-        F.when(sk % 3 == 0, F.lit(0.0)).otherwise(F.abs("s_acctbal") / 100).alias("ctb_discount_amount"),
-        (sk % 5 * 20).alias("ctb_units_used"),
-        F.lit(100).cast("int").alias("ctb_limit_units"),
-        F.lit(1000.0).alias("ctb_limit_discount"),
-        F.when(sk % 7 == 0, F.lit(0.0)).otherwise(F.abs("s_acctbal")).alias("ctb_discount_used"),
-    )
-    rid = F.col("rule_id")
-    promotion = promo_base.select(
-        "rule_id", "name", "from_date",
-        F.when(rid % 10 == 9, F.lit(None).cast("date"))
-         .otherwise(F.date_add("from_date", (5 + rid % 60).cast("int"))).alias("to_date"),
-        "discount_amount", "is_active", "ctb_discount_amount", "ctb_units_used",
-        "ctb_limit_units", "ctb_limit_discount", "ctb_discount_used",
-    )
-
-    product = part.select(
-        F.col("p_partkey").alias("entity_id"),
-        F.date_add(F.lit("1995-01-01").cast("date"), (F.col("p_size") * 60).cast("int")).alias("created_at"),
-    )
-
-    option = _type_option(F.col("p_type")).cast("int")
-    category_168 = part.select(F.col("p_partkey").alias("entity_id"),
-                               F.lit(168).alias("attribute_id"), option.alias("value"))
-    category_80 = part.select(F.col("p_partkey").alias("entity_id"),
-                              F.lit(80).alias("attribute_id"), option.alias("value"))
-    brand_81 = part.filter(F.col("p_partkey") % 20 != 0).select(
-        F.col("p_partkey").alias("entity_id"), F.lit(81).alias("attribute_id"),
-        F.substring("p_brand", 7, 1 << 20).cast("int").alias("value"))
-    product_attribute_int = category_168.unionByName(category_80).unionByName(brand_81)
-
-    # Two stores label every option: one row per (option, store) via explode,
-    # no join needed.
-    attribute_option = part.select(
-        option.alias("option_id"),
-        F.explode(F.array(F.lit(0), F.lit(1))).alias("store_id"),
-        F.col("p_type").alias("value"),
-    ).distinct()
-
-    return {
+_OPTION = "CAST(CASE p_type {} ELSE {} END AS INT)".format(
+    " ".join(f"WHEN '{label}' THEN {option}" for label, option in _TYPE_OPTION.items()), _OTHER_OPTION)
+
+# Columns of the mapping, as SQL expressions over the driver tables.
+_SALES_ORDER = (
+    "o_orderkey AS entity_id",
+    """concat(CASE WHEN o_orderpriority = '1-URGENT' AND o_orderkey % 2 = 0 THEN 'EBAY'
+                   WHEN o_orderpriority = '2-HIGH' AND o_orderkey % 2 = 0 THEN 'AMZ' ELSE '1' END, CAST(o_orderkey AS STRING)) AS increment_id""",
+    "timestampadd(MINUTE, o_orderkey * 37 % 1440, o_orderdate) AS created_at",
+    "CASE o_orderstatus WHEN 'F' THEN 'complete' WHEN 'O' THEN 'processing' ELSE 'canceled' END AS state",
+    "o_totalprice AS base_total_paid", "coalesce(sub, 0.0D) AS base_subtotal", "coalesce(disc, 0.0D) AS base_discount_amount",
+    "CASE WHEN o_custkey % 3 = 0 THEN 1 ELSE 0 END AS customer_is_guest",
+    "CASE WHEN o_custkey % 3 = 0 THEN 0L ELSE 1 + o_custkey % 9 END AS customer_group_id",
+    """CASE WHEN o_custkey % 50 = 0 THEN NULL
+            WHEN o_custkey % 3 = 0 AND o_orderkey % 2 = 0 THEN concat('g', CAST(o_orderkey AS STRING), '@example.com')
+            ELSE concat('c', CAST(o_custkey AS STRING), '@example.com') END AS customer_email""")
+_SALES_ITEM = (
+    "l_orderkey * 10 + l_linenumber AS item_id", "l_orderkey AS order_id", "l_partkey AS product_id",
+    "concat('SKU-', CAST(l_partkey AS STRING)) AS sku", "l_quantity AS qty_ordered", "l_extendedprice / l_quantity AS base_price",
+    "l_extendedprice AS base_row_total", "l_extendedprice * (1 + l_tax) AS base_row_total_incl_tax",
+    "l_extendedprice * l_discount AS base_discount_amount",
+    """CASE WHEN l_discount < 0.025D THEN NULL WHEN l_discount < 0.055D THEN CAST(l_suppkey AS STRING)
+            WHEN l_discount < 0.085D THEN concat('c-', CAST(l_suppkey AS STRING), ', ', CAST((l_suppkey + l_partkey) % 10 AS STRING))
+            ELSE concat('bad,', CAST(l_suppkey AS STRING), ',c-', CAST(l_suppkey AS STRING)) END AS applied_rule_ids""")
+_FROM_DATE = "date_add(DATE'1998-11-01', CAST(s_suppkey * 11 % 700 AS INT))"
+_PROMOTION = (
+    "s_suppkey AS rule_id", "s_name AS name", f"{_FROM_DATE} AS from_date",
+    f"CASE WHEN s_suppkey % 10 = 9 THEN NULL ELSE date_add({_FROM_DATE}, CAST(5 + s_suppkey % 60 AS INT)) END AS to_date",
+    "CAST(10 + 5 * (s_suppkey % 6) AS DOUBLE) AS discount_amount", "CASE WHEN s_suppkey % 4 = 0 THEN 0 ELSE 1 END AS is_active",
+    "CASE WHEN s_suppkey % 3 = 0 THEN 0.0D ELSE abs(s_acctbal) / 100 END AS ctb_discount_amount",
+    "s_suppkey % 5 * 20 AS ctb_units_used", "100 AS ctb_limit_units", "1000.0D AS ctb_limit_discount",
+    "CASE WHEN s_suppkey % 7 = 0 THEN 0.0D ELSE abs(s_acctbal) END AS ctb_discount_used")
+_PRODUCT = ("p_partkey AS entity_id", "date_add(DATE'1995-01-01', CAST(p_size * 60 AS INT)) AS created_at")
+# One row of a part gives its rows: two categories and, but for every twentieth part, a brand.
+_ATTRIBUTES = (
+    "p_partkey AS entity_id",
+    f"""inline(filter(array(named_struct('attribute_id', 168, 'value', {_OPTION}), named_struct('attribute_id', 80, 'value', {_OPTION}),
+                            named_struct('attribute_id', 81, 'value', try_cast(substring(p_brand, 7) AS INT))),
+                  a -> a.attribute_id <> 81 OR p_partkey % 20 <> 0))""")
+_OPTIONS = (f"{_OPTION} AS option_id", "explode(array(0, 1)) AS store_id", "p_type AS value")
+
+
+class LazyTables(Mapping):
+    """Tables by name, each built when it is first asked for."""
+
+    def __init__(self, makers: Mapping[str, Callable[[], DataFrame]]):
+        self._makers, self._made = dict(makers), {}
+
+    def __getitem__(self, name: str) -> DataFrame:
+        if name not in self._made:
+            self._made[name] = self._makers[name]()
+        return self._made[name]
+
+    def __iter__(self):
+        return iter(self._makers)
+
+    def __len__(self) -> int:
+        return len(self._makers)
+
+    def __or__(self, other: Mapping[str, DataFrame]) -> LazyTables:
+        out = LazyTables(self._makers | {name: partial(other.__getitem__, name) for name in other})
+        out._made = {name: df for name, df in self._made.items() if name not in other}
+        return out
+
+
+def shop_tables_from_tpch(spark: SparkSession, sf_dir: str) -> LazyTables:
+    """Derive the six shop tables from orders/lineitem/part/supplier, those that are asked for."""
+    source = partial(read_source, spark, sf_dir)
+
+    def sales_order() -> DataFrame:
+        # Order money: pre-aggregated per order before the join (map-side combine).
+        money = source("lineitem").groupBy("l_orderkey").agg(
+            F.expr("sum(l_extendedprice) AS sub"), F.expr("sum(l_extendedprice * l_discount) AS disc"))
+        return source("orders").join(money, F.expr("o_orderkey = l_orderkey"), "left").selectExpr(*_SALES_ORDER)
+
+    return LazyTables({
         "sales_order": sales_order,
-        "sales_item": sales_item,
-        "promotion": promotion,
-        "product": product,
-        "product_attribute_int": product_attribute_int,
-        "attribute_option": attribute_option,
-    }
+        "sales_item": lambda: source("lineitem").selectExpr(*_SALES_ITEM),
+        "promotion": lambda: source("supplier").selectExpr(*_PROMOTION),
+        "product": lambda: source("part").selectExpr(*_PRODUCT),
+        "product_attribute_int": lambda: source("part").selectExpr(*_ATTRIBUTES),
+        # Two stores label every option: one row per (option, store) via explode, no join needed.
+        "attribute_option": lambda: source("part").selectExpr(*_OPTIONS).distinct(),
+    })

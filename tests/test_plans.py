@@ -102,12 +102,19 @@ def test_no_window_over_a_whole_frame(spark, tables):
         assert "windowspecdefinition(specifiedwindowframe" not in plan, key
 
 
-def test_ranges_must_be_few(spark, tables):
-    import pytest
-    from tallyloom.operators.joins import range_overlap_join
-    p = tables["promotion"]
-    with pytest.raises(ValueError):
-        range_overlap_join(p, p.select("from_date", "to_date").toDF("a", "b"), "from_date", "to_date", "a", "b")
+def test_only_few_literal_ranges_are_broadcast(spark, tables):
+    """Literal frames up to the bound take the broadcast; larger and other frames the interval join, with the same rows."""
+    from tallyloom.operators import joins
+    p = tables["promotion"].where("to_date IS NOT NULL")
+    frames = {n: spark.sql("SELECT * FROM VALUES " + ", ".join(
+        f"({i}, DATE'1999-{1 + i % 12:02d}-{1 + i % 28:02d}', DATE'2000-{1 + i % 12:02d}-15')" for i in range(n)) + " AS t(i, a, b)")
+        for n in (50, joins.MAX_RANGES + 1)}
+    frames["stored"] = p.select(F.col("rule_id").alias("i"), F.col("from_date").alias("a"), F.col("to_date").alias("b"))
+    for name, ranges in frames.items():
+        got = joins.range_overlap_join(p, ranges, "from_date", "to_date", "a", "b")
+        assert ("NestedLoop" in _formatted(got)) == (name == 50)
+        want = p.join(F.broadcast(ranges), (F.col("to_date") >= F.col("a")) & (F.col("from_date") <= F.col("b")))
+        assert sorted(map(str, got.collect())) == sorted(map(str, want.select(got.columns).collect())) and got.count() > 0
 
 
 def test_usage_pipeline_on_stored_tables(spark, tables, tmpdir_path):

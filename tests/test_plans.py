@@ -58,11 +58,12 @@ def test_non_local_master_requires_shared_checkpoint_dir():
 
 def _jobs_started(spark, build):
     """Jobs that run while ``build`` makes a plan."""
-    sc = spark.sparkContext
-    sc.setJobGroup("building", "plan building")
+    import uuid
+    sc, group = spark.sparkContext, f"building-{uuid.uuid4().hex}"  # jobs of other calls aren't counted
+    sc.setJobGroup(group, "plan building")
     try:
         build()
-        return len(sc.statusTracker().getJobIdsForGroup("building"))
+        return len(sc.statusTracker().getJobIdsForGroup(group))
     finally:
         sc.setLocalProperty("spark.jobGroup.id", None)
 

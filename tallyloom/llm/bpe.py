@@ -13,6 +13,8 @@ cache is full it starts afresh, so memory doesn't grow with the data.
 
 Nulls and empty texts: no tokens, empty decoded text. The tokenizer file's
 special tokens found in a text become their ids, as its library does by default.
+Where two begin at one place the file's order decides, and flags that strip white space
+around them aren't used: the given vocabulary has one special token, without flags.
 """
 
 from __future__ import annotations

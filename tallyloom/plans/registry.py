@@ -131,12 +131,16 @@ def _join_range_overlap(T):
 def _join_range_overlap_many(T):
     """Promotions against the order days as ranges: a range for each day and customer group, of one to six weeks."""
     day, group = F.to_date("created_at"), F.coalesce("customer_group_id", F.lit(0))
-    ranges = T["sales_order"].select(
-        F.concat_ws(":", group, F.date_format(day, "yyyy-MM-dd")).alias("label"), day.alias("start_date"),
-        F.date_add(day, (7 + group * 4).cast("int")).alias("end_date")).distinct()
+    ranges = T["sales_order"].select(group.alias("range_group"), day.alias("start_date"),
+                                     F.date_add(day, (7 + group * 4).cast("int")).alias("end_date")).distinct()
     pairs = interval_join(T["promotion"], ranges, "from_date", "to_date", "start_date", "end_date")
-    return pairs.groupBy("rule_id").agg(F.count("*").alias("n_ranges"), F.min("label").alias("first_label"),
-                                        F.max("end_date").alias("last_day"))
+    # A group's least label is that of its first day, so pairs are combined by numbers and days, which a hash
+    # aggregate holds; a least text would sort all pairs of a task first.
+    groups = pairs.groupBy("rule_id", "range_group").agg(F.count("*").alias("n"), F.min("start_date").alias("first_day"),
+                                                         F.max("end_date").alias("last_day"))
+    label = F.concat_ws(":", "range_group", F.date_format("first_day", "yyyy-MM-dd"))
+    return groups.groupBy("rule_id").agg(F.sum("n").alias("n_ranges"), F.min(label).alias("first_label"),
+                                         F.max("last_day").alias("last_day"))
 
 
 # ---------------------------------------------------------------- step 2

@@ -138,3 +138,28 @@ def test_usage_pipeline_on_stored_tables(spark, tables, tmpdir_path):
     direct = facts.apply_filters(facts.item_sales_fact(tables, cats, "s", years=years), categories=cats,
                                  years=years, customer_status=["Returning"])
     assert sorted(map(tuple, lines.collect())) == sorted(map(tuple, direct.collect()))
+
+
+def test_many_range_overlaps_combine_pairs_in_a_hash_aggregate(spark, tables):
+    """A least text over the pairs would sort all pairs of a task first."""
+    from datetime import date, datetime, timedelta
+
+    from tallyloom.plans.registry import _join_range_overlap_many
+    orders = [(datetime(1999, 1, 1 + d, 5), g) for d in (0, 3, 20) for g in (None, 1, 2, 10)] * 2 + [(None, 1)]
+    promotions = [(1, date(1999, 1, 4), date(1999, 1, 6)), (2, date(1999, 1, 30), date(1999, 2, 9)), (3, date(1999, 1, 1), None),
+                  (4, date(2001, 1, 1), date(2001, 2, 1)), (5, date(1999, 1, 2), date(1999, 1, 3))]
+    T = tables | {"sales_order": spark.createDataFrame(orders, "created_at timestamp, customer_group_id long"),
+                  "promotion": spark.createDataFrame(promotions, "rule_id long, from_date date, to_date date")}
+    found = _join_range_overlap_many(T)
+
+    ranges = {(f"{g or 0}:{at.date()}", at.date(), at.date() + timedelta(days=7 + 4 * (g or 0))) for at, g in orders if at}
+    wanted = {}
+    for rule, opens, closes in promotions:
+        met = [r for r in ranges if closes and closes >= r[1] and opens <= r[2]]
+        if met:
+            wanted[rule] = (len(met), min(r[0] for r in met), max(r[2] for r in met))
+    assert wanted and {r["rule_id"]: tuple(r)[1:] for r in found.collect()} == wanted
+
+    plan = found._jdf.queryExecution().sparkPlan().toString().split("\n")
+    over = plan[next(i for i, line in enumerate(plan) if line.strip(" :+-").startswith("Union")) - 1]
+    assert "HashAggregate" in over and "SortAggregate" not in over and "min(" in over, over

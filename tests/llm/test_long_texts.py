@@ -83,6 +83,27 @@ def test_memory_of_a_text_of_50_mb():
     tracemalloc.stop()
 
 
+@pytest.mark.parametrize("n_bytes, size", [(suffix_dedup.TEXT_BYTES, 2048), (suffix_dedup.SLICE_BYTES, suffix_dedup.SLICE_BYTES)])
+def test_memory_of_the_bytes_cut_at_once(n_bytes, size):
+    data = np.random.default_rng(2).integers(97, 123, n_bytes).astype(np.uint8)
+    starts = np.arange(0, n_bytes + 1, size)
+    tracemalloc.start()
+    found = suffix_dedup.segments(pa.array(np.arange(len(starts) - 1)), data, starts, 0)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found.num_rows > 1000 and most < 100 << 20
+
+
+def test_batches_of_names_stay_within_the_limit():
+    names = [1, 1, 2, 3, 4, 4, 5, 6]
+    sizes = [300_000, 400_000, 700_000, 10, 900_000, 900_000, 20, 30]
+    rows = pa.RecordBatch.from_arrays([pa.array(names), pa.array([b"x" * n for n in sizes])], names=["name", "bytes"])
+    batches = list(suffix_dedup.name_batches(iter([rows.slice(0, 5), rows.slice(5)])))
+    assert [x for held in batches for t in held for x in t.column("name").to_pylist()] == names
+    assert [[t.column("name")[0].as_py() for t in held] for held in batches] == [[1], [2, 3], [4], [5, 6]]
+    assert not list(suffix_dedup.name_batches(iter([])))
+
+
 def test_suffix_dedup_of_a_text_of_20_mb(spark):
     text = big_text(20 << 20)
     rows = [(1, text), (2, text[8_000_000:8_003_000] + "#"), (3, "plain")]
